@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quire.plans import documents  # noqa: F401
+    from quire.plans import documents, library, logs, notes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -71,13 +71,10 @@ class Suffixes:
         n = len(code)
         pair = np.append(code[:-1] * self.base + code[1:], 0) if n else code
         pair[code == 0] = 0
-        inside = np.isin(pair, self.pairs)
-        fits = inside.copy()
-        for k in range(2, self.window - 1, 2):
-            fits[: n - k] &= inside[k:]
-            fits[n - k :] = False
-        if self.window % 2:
-            fits[: max(0, n - self.window + 2)] &= inside[self.window - 2 :]
+        inside = np.append(np.isin(pair, self.pairs), np.zeros(self.window, bool))
+        fits = inside[:n].copy()
+        for k in {*range(2, self.window - 1, 2), max(0, self.window - 2)}:
+            fits &= inside[k : k + n]
         if len(self.short_pairs):
             fits |= np.isin(pair, self.short_pairs)
         if len(self.short_ones):

@@ -9,17 +9,22 @@ from quire.functions import text as X
 from quire.operators.order import first_by
 
 
-def noterefs(points: DataFrame, fragments: DataFrame) -> DataFrame:
-    """point_id, noteref_id: the first fragment (by line, then fragment) under each point that refers to a note, else null.
+def anchors(points: DataFrame, fragments: DataFrame) -> DataFrame:
+    """point_id, noteref_id, x, y, width, height: the first fragment (by line, then fragment) under each point that refers to a note, else nulls.
 
     points: point_id, book_id, page_index, px, py. fragments: book_id, page_index, line_index, frag_index, x, y, width, height, noteref_id.
     """
     linked = fragments.filter("noteref_id is not null")
     met = points.join(linked, ["book_id", "page_index"]).filter("py between y and y + height and px between x and x + width")
-    first = first_by(met, ["point_id"], F.struct("line_index", "frag_index"), "noteref_id")
+    first = first_by(met, ["point_id"], F.struct("line_index", "frag_index"), "noteref_id", "x", "y", "width", "height")
     return points.select("point_id").join(first, "point_id", "left")
 
 
+def noterefs(points: DataFrame, fragments: DataFrame) -> DataFrame:
+    """point_id, noteref_id: the note that the text under each point refers to, else null."""
+    return anchors(points, fragments).select("point_id", "noteref_id")
+
+
 def lines_under(points: DataFrame, lines: DataFrame) -> DataFrame:
     """The line for each point: the first that holds it, else the one whose middle is nearest (the first of equals)."""
     met = points.join(lines, ["book_id", "page_index"])

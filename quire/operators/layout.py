@@ -77,7 +77,8 @@ def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
     run = F.coalesce(F.sum(F.col("full").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chapters = chapters.withColumn("run", run)
     carried = F.sum(F.when(~F.col("full"), F.col("fall")).otherwise(0.0)).over(Window.partitionBy("book_id", "run").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1))
-    starts = chapters.filter("full").select("book_id", "chapter_index", (MARGIN + F.coalesce(carried, F.lit(0.0))).alias("start"))
+    # the window looks at chapters without lines too, so they go only after it
+    starts = chapters.withColumn("start", MARGIN + F.coalesce(carried, F.lit(0.0))).filter("full").select("book_id", "chapter_index", "start")
     rows = shaped.drop("text").join(starts, ["book_id", "chapter_index"])
     lines = rows.select("book_id", "chapter_index", "block_index", "is_heading", "n_lines", "line_height", "start").groupBy("book_id", "chapter_index").applyInArrow(_folded(height), LINES)
     pages = lines.groupBy("book_id", "chapter_index").agg(F.max("chapter_pages").alias("n"))
@@ -114,3 +115,21 @@ def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:
     own = run.groupBy(*line, "frag_index").agg(F.first("span_index").alias("span_index"), F.min("x").alias("x"), F.max(F.col("x") + F.col("width")).alias("_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_index", "text"))), lambda g: g["text"]), "").alias("text"))
     after = F.lead("x").over(Window.partitionBy(*line).orderBy("frag_index"))
     return own.withColumn("width", F.coalesce(after, F.col("_end")) - F.col("x")).drop("_end")
+
+
+def span_fragments(lines: DataFrame, shaped: DataFrame, spans: DataFrame) -> DataFrame:
+    """The parts of each line that are of one span, with its style; x and width by the pitch of the block's size."""
+    keys = ["book_id", "chapter_index", "block_index"]
+    own = spans.withColumn("_n", F.char_length(X.without_returns(F.col("text")))).filter("_n > 0")
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("span_index").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    own = own.select(*keys, "span_index", before.alias("_from"), "_n", "bold", "italic", "superscript", "noteref_id", F.col("font_size").cast("double").alias("_size"))
+    met = lines.join(shaped.select(*keys, "text", "font_size", "columns"), keys).join(own, keys)
+    first = F.col("line_in_block") * F.col("columns")
+    a, b = F.greatest(F.col("_from"), first), F.least(F.col("_from") + F.col("_n"), first + F.col("columns"))
+    met = met.withColumn("_a", a.cast("int")).withColumn("_b", b.cast("int")).filter("_a < _b")
+    place = Window.partitionBy("book_id", "page_index", "line_index").orderBy("span_index")
+    advance = F.col("font_size").cast("double") * PITCH
+    return met.select(
+        "book_id", "page_index", "line_index", (F.row_number().over(place) - 1).alias("frag_index"), *keys[1:], F.substring("text", F.col("_a") + 1, F.col("_b") - F.col("_a")).alias("text"),
+        (MARGIN + (F.col("_a") - first) * advance).alias("x"), "y", ((F.col("_b") - F.col("_a")) * advance).alias("width"), "height", "baseline", F.col("_size").alias("font_size"), "bold", "italic", "superscript", "noteref_id",
+    )

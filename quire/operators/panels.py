@@ -6,9 +6,10 @@ Steps clamp, so they don't associate and a layout's events fold in sequence; lay
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.order import islands, last_by
 from quire.schema import PANEL
 
 EVENTS = "layout_id string, seq bigint, type string, panel_id string, delta double, weights map<string,double>"
@@ -92,3 +93,27 @@ def stored(folded: DataFrame) -> DataFrame:
 
 def visible(panels: DataFrame) -> DataFrame:
     return panels.filter(~F.col("collapsed"))
+
+
+def declared(children: DataFrame, panels: DataFrame) -> DataFrame:
+    """layout_id, id, content of the children (layout_id, position, id, content) whose panel there is; the last of an id counts."""
+    known = children.join(panels.select("layout_id", "id"), ["layout_id", "id"], "left_semi")
+    return last_by(known, ["layout_id", "id"], F.col("position"), "content")
+
+
+def items(panels: DataFrame) -> DataFrame:
+    """layout_id, item_index, type, ids: what is drawn for panels (layout_id, position, id, collapsed).
+
+    A run of collapsed panels is one rail; a splitter that names the visible panel before it stands before each later visible one.
+    """
+    order = Window.partitionBy("layout_id").orderBy("position")
+    own = panels.withColumn("_goes_on", F.col("collapsed") & F.coalesce(F.lag("collapsed").over(order), F.lit(False)))
+    own = islands(own, ["layout_id"], ["position"], ~F.col("_goes_on"), "_run")
+    runs = own.groupBy("layout_id", "_run").agg(F.every("collapsed").alias("rail"), F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("ids"))
+    before = Window.partitionBy("layout_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.last(F.when(~F.col("rail"), F.col("ids")), ignorenulls=True).over(before))
+    splitter = F.when(~F.col("rail") & F.col("_before").isNotNull(), F.struct(F.lit(0).alias("o"), F.lit("splitter").alias("type"), F.col("_before").alias("ids")))
+    panel = F.struct(F.lit(1).alias("o"), F.when(F.col("rail"), "rail").otherwise("panel").alias("type"), F.col("ids").alias("ids"))
+    drawn = runs.select("layout_id", "_run", F.explode(F.filter(F.array(splitter, panel), lambda x: x.isNotNull())).alias("i"))
+    place = F.row_number().over(Window.partitionBy("layout_id").orderBy("_run", "i.o")) - 1
+    return drawn.select("layout_id", place.alias("item_index"), "i.type", "i.ids")

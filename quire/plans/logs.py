@@ -168,3 +168,17 @@ def highlight_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = own.filter("event_type = 'view'").select(F.col("user_id").alias("book_id"), at(o).alias("start"), at(o + 3).alias("end")).distinct()
     new = own.filter("event_type <> 'view'").select(F.col("user_id").alias("book_id"), at(o).alias("start"), at(F.when(o == 2, 2).otherwise(o + 3)).alias("end"))
     return H.added(old, new).select("book_id", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"))
+
+
+@query(
+    """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS layout_id, event_id AS position, CAST(event_id AS VARCHAR) AS id, event_type = 'view' AS c, lag(event_type = 'view') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+    r AS (SELECT *, sum(CASE WHEN c AND coalesce(before, false) THEN 0 ELSE 1 END) OVER (PARTITION BY layout_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS run FROM p),
+    g AS (SELECT layout_id, run, bool_and(c) AS rail, string_agg(id, ',' ORDER BY position) AS ids FROM r GROUP BY ALL),
+    v AS (SELECT *, last_value(CASE WHEN NOT rail THEN ids END IGNORE NULLS) OVER (PARTITION BY layout_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM g),
+    i AS (SELECT layout_id, run, 0 AS o, 'splitter' AS type, last AS ids FROM v WHERE NOT rail AND last IS NOT NULL UNION ALL SELECT layout_id, run, 1, CASE WHEN rail THEN 'rail' ELSE 'panel' END, ids FROM v)
+    SELECT layout_id, CAST(row_number() OVER (PARTITION BY layout_id ORDER BY run, o) - 1 AS INTEGER) AS item_index, type, ids FROM i"""
+)
+def panel_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rails, splitters and panels of layouts: a user's events are its panels, views the collapsed ones."""
+    own = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("layout_id"), F.col("event_id").alias("position"), F.col("event_id").cast("string").alias("id"), (F.col("event_type") == "view").alias("collapsed"))
+    return panels.items(own).withColumn("ids", F.array_join("ids", ","))

@@ -71,3 +71,18 @@ def merged(new: DataFrame, old: DataFrame, position: str = "position") -> DataFr
 def admitted(uploads: DataFrame) -> DataFrame:
     """uploads with `admitted`: the right type, not too large, a single file."""
     return uploads.withColumn("admitted", F.coalesce(X.is_admitted(F.col("mime_type"), F.col("size_bytes"), F.col("n_files")), F.lit(False)))
+
+
+def keyed(uploads: DataFrame) -> DataFrame:
+    """uploads (slug, content) with their storage_key; its UUID is of the content's and name's hash, so that a repeated task gives the same key."""
+    h = F.sha2(F.concat(F.col("content"), F.encode("slug", "UTF-8")), 256)
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return uploads.withColumn("storage_key", F.concat(F.lit("books/"), F.concat_ws("-", *parts), F.lit("/"), F.col("slug")))
+
+
+def stored(uploads: DataFrame, folder: str) -> DataFrame:
+    """Writes admitted uploads (name, type, etag, content, n_files) under a folder; their catalogue records."""
+    own = described(uploads).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+    own = keyed(admitted(own).filter("admitted"))
+    own.select("storage_key", "content").write.mode("append").parquet(folder)
+    return own.select("title", "original_filename", "mime_type", F.col("size_bytes").cast("int").alias("size_bytes"), "storage_key", F.lit("books").alias("storage_bucket"), "object_etag")

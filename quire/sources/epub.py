@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -252,30 +252,44 @@ def entries(archives: DataFrame) -> DataFrame:
     return archives.select("book_id", "content").mapInPandas(run, "book_id string, name string, content string, error string")
 
 
+_NOTES = "notes array<struct<position:int,note_id:string,text:string>>, links array<struct<position:int,note_id:string,source_id:string>>"
 _PACKAGE = "title string, author string, manifest array<struct<position:int,id:string,href:string>>, spine array<struct<position:int,idref:string>>"
 
 
-@F.pandas_udf("string")
-def _rootfile(xml: pd.Series) -> pd.Series:
+def _rootfiles(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: rootfile(x) if x else None)
 
 
-@F.pandas_udf(_PACKAGE)
-def _package(xml: pd.Series) -> pd.DataFrame:
+def _packages(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([package(x) for x in xml], columns=["title", "author", "manifest", "spine"])
 
 
-@F.pandas_udf("notes array<struct<position:int,note_id:string,text:string>>, links array<struct<position:int,note_id:string,source_id:string>>")
-def _notes(xml: pd.Series) -> pd.DataFrame:
+def _notes_pages(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([notes_of(x) for x in xml], columns=["notes", "links"])
 
 
-@F.pandas_udf(f"array<{BLOCK}>")
-def parse_chapter(xml: pd.Series, files: pd.Series, notes: pd.Series, is_notes: pd.Series) -> pd.Series:
+def _chapters(xml: pd.Series, files: pd.Series, notes: pd.Series, is_notes: pd.Series) -> pd.Series:
     rows = zip(xml, files, notes, is_notes)
     return pd.Series([chapter(x, {*f} if f is not None else set(), {n["note_id"]: n["source_id"] for n in ns} if ns is not None else {}, bool(own)) for x, f, ns, own in rows])
 
 
+# the UDFs are made where they are used, as their types need a session
+def parse_rootfile(xml: str) -> Column:
+    return F.pandas_udf(_rootfiles, "string")(xml)
+
+
+def parse_package(xml: str) -> Column:
+    return F.pandas_udf(_packages, _PACKAGE)(xml)
+
+
+def parse_notes(xml: str) -> Column:
+    return F.pandas_udf(_notes_pages, _NOTES)(xml)
+
+
+def parse_chapter(xml: str, files: Column | str, notes: Column | str, is_notes: Column | str) -> Column:
+    return F.pandas_udf(_chapters, f"array<{BLOCK}>")(xml, files, notes, is_notes)
+
+
 def spine_of(manifest: DataFrame, spine: DataFrame) -> DataFrame:
     """book_id, chapter_index, href: spine items in order, each with its manifest item; the last of an id counts, unmatched items go."""
     items = last_by(manifest, ["book_id", "id"], F.col("position"), "href").withColumnRenamed("id", "idref")
@@ -301,14 +315,14 @@ def parse(archives: DataFrame) -> dict[str, DataFrame]:
     Books that can't be parsed have a parse_error and no blocks: a broken archive, no package file, or a missing chapter.
     """
     files = entries(archives)
-    roots = files.filter("name = 'META-INF/container.xml'").select("book_id", _rootfile("content").alias("opf_path"))
+    roots = files.filter("name = 'META-INF/container.xml'").select("book_id", parse_rootfile("content").alias("opf_path"))
     named = files.select("book_id", F.col("name").alias("opf_path"), "content").filter("content is not null")
-    opf = named.join(roots, ["book_id", "opf_path"]).select("book_id", "opf_path", _package("content").alias("p"))
+    opf = named.join(roots, ["book_id", "opf_path"]).select("book_id", "opf_path", parse_package("content").alias("p"))
     manifest = opf.select("book_id", F.inline("p.manifest"))
     spine = spine_of(manifest, opf.select("book_id", F.inline("p.spine"))).join(opf.select("book_id", "opf_path"), "book_id")
     spine = spine.select("book_id", "chapter_index", "href", F.concat(X.folder_of(F.col("opf_path")), "href").alias("full_path"), X.file_of(F.col("href")).alias("filename"))
     chapters = spine.join(files.withColumnRenamed("name", "full_path"), ["book_id", "full_path"], "left")
-    noted = chapters.filter("content is not null").filter(X.is_notes_section(F.col("content"))).withColumn("n", _notes("content"))
+    noted = chapters.filter("content is not null").filter(X.is_notes_section(F.col("content"))).withColumn("n", parse_notes("content"))
     notes = last_notes(noted.select("book_id", "chapter_index", F.inline("n.notes")))
     links = first_links(noted.select("book_id", "chapter_index", F.inline("n.links")))
     names = noted.groupBy("book_id").agg(F.collect_set("filename").alias("files"))

@@ -1,3 +1,4 @@
+import math
 import os
 import sys
 import tempfile
@@ -6,6 +7,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +25,34 @@ def spark():
     own.stop()
 
 
-SMALL = "/root/testdata/sf0.001"
+@pytest.fixture(scope="session")
+def same_as_sql(spark):
+    """A check that a query and its SQL give equal rows, of equal columns and types, on the smallest tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+
+    def plain(x):
+        if isinstance(x, float):
+            return "nan" if math.isnan(x) else float(f"{x:.9g}")
+        return x
+
+    def kinds(rows, names):
+        return {n: {type(r[k]).__name__ for r in rows if r[k] is not None} for k, n in enumerate(names)}
+
+    def check(query, sql):
+        df = query(spark, SMALL)
+        names = sorted(df.columns)
+        got = [tuple(plain(r[n]) for n in names) for r in df.collect()]
+        rel = con.sql(sql)
+        assert sorted(rel.columns) == names
+        at = [rel.columns.index(n) for n in names]
+        want = [tuple(plain(r[k]) for k in at) for r in rel.fetchall()]
+        assert kinds(got, names) == kinds(want, names)
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        return len(got)
+
+    return check

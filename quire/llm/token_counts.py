@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import running_totals, slices
+from quire.llm.shared import running_totals, slices, written
 
 #: Fixed value: the pattern that splits text before the merges of the rank files in TOKENIZERS.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,9 +49,9 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """A row for each encoded length: n_docs, n_tokens; docs_longer and tokens_longer (the suffix sums beyond it);
     truncated_total, if every document is cut at this length; docs_share, the share of documents no longer than it."""
     by = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
-    by = by.withColumn("tokens", F.col("length") * F.col("n_docs"))
+    by = written(by.withColumn("tokens", F.col("length") * F.col("n_docs")), "lengths")  # each document is encoded once
     run = running_totals(by, ["length"], {"docs_before": "n_docs", "tokens_before": "tokens"}, "length-histogram")
-    totals = lengths.agg(F.count("*").alias("_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("_tokens"))
+    totals = by.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("_docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("_tokens"))
     run = run.join(F.broadcast(totals))  # one row
     longer = F.col("_docs") - F.col("docs_before") - F.col("n_docs")
     upto = F.col("tokens_before") + F.col("tokens")

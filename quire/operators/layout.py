@@ -11,6 +11,8 @@ follows chapters without lines starts lower on its page; that start is a window
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,32 +43,35 @@ def shaped(blocks: DataFrame, width: float = WIDTH) -> DataFrame:
 
 
 def _folded(height: float):
+    """A fold over rows sorted by (book, chapter, block); a chapter may go on in the next batch."""
     limit = np.float32(height - MARGIN)
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.int32()]
-    names = ["book_id", "chapter_index", "block_index", "line_in_block", "page", "line_index", "y", "height", "chapter_pages"]
-
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["block_index"])
-        page, line, out = 0, 0, []
-        y = np.float32(rows[0]["start"])
-        for r in rows:
-            if r["is_heading"]:
-                y = np.float32(y + np.float32(HEADING_SPACE))
-            h = np.float32(r["line_height"])
-            for k in range(r["n_lines"]):
-                if np.float32(y + h) > limit and line:
-                    page, line, y = page + 1, 0, np.float32(MARGIN)
-                out.append((r["book_id"], r["chapter_index"], r["block_index"], k, page, line, float(y), float(h)))
-                line, y = line + 1, np.float32(y + h)
-            y = np.float32(y + np.float32(BLOCK_SPACE))
-        pages = out[-1][4] + 1 if out else 0
-        cols = list(zip(*[(*x, pages) for x in out])) or [[]] * len(names)
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
+    heading, space, top = np.float32(HEADING_SPACE), np.float32(BLOCK_SPACE), np.float32(MARGIN)
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float32(), pa.float32()]
+    names = ["book_id", "chapter_index", "block_index", "line_in_block", "page", "line_index", "y", "height"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, page, line, y = None, 0, 0, top
+        for b in batches:
+            out = []
+            for book, chapter, block, is_heading, n, line_height, start in zip(*(c.to_pylist() for c in b.columns)):
+                if (book, chapter) != own:
+                    own, page, line, y = (book, chapter), 0, 0, np.float32(start)
+                if is_heading:
+                    y = y + heading
+                h = np.float32(line_height)
+                for k in range(n):
+                    if y + h > limit and line:
+                        page, line, y = page + 1, 0, top
+                    out.append((book, chapter, block, k, page, line, y, h))
+                    line, y = line + 1, y + h
+                y = y + space
+            cols = list(zip(*out)) or [[]] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return fold
 
 
-LINES = "book_id string, chapter_index int, block_index int, line_in_block int, page int, line_index int, y float, height float, chapter_pages int"
+LINES = "book_id string, chapter_index int, block_index int, line_in_block int, page int, line_index int, y float, height float"
 
 
 def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
@@ -80,8 +85,9 @@ def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
     # the window looks at chapters without lines too, so they go only after it
     starts = chapters.withColumn("start", MARGIN + F.coalesce(carried, F.lit(0.0))).filter("full").select("book_id", "chapter_index", "start")
     rows = shaped.drop("text").join(starts, ["book_id", "chapter_index"])
-    lines = rows.select("book_id", "chapter_index", "block_index", "is_heading", "n_lines", "line_height", "start").groupBy("book_id", "chapter_index").applyInArrow(_folded(height), LINES)
-    pages = lines.groupBy("book_id", "chapter_index").agg(F.max("chapter_pages").alias("n"))
+    rows = rows.select("book_id", "chapter_index", "block_index", "is_heading", "n_lines", "line_height", "start")
+    lines = rows.repartition("book_id", "chapter_index").sortWithinPartitions("book_id", "chapter_index", "block_index").mapInArrow(_folded(height), LINES)
+    pages = lines.groupBy("book_id", "chapter_index").agg((F.max("page") + 1).alias("n"))
     offset = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pages = pages.select("book_id", "chapter_index", offset.alias("offset"))
     out = lines.join(pages, ["book_id", "chapter_index"])

@@ -230,24 +230,41 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.sha2("path", 256).alias("book_id"), "path", "content")
 
 
+#: Characters of unzipped text that leave a task at once.
+UNZIPPED = 8 << 20
+
+
+def _unzipped(book: str, content: bytes) -> list[tuple]:
+    rows = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for info in z.infolist():
+                if re.search(r"\.(x?html?|xml|opf)$", info.filename, re.I):
+                    try:
+                        rows.append((book, info.filename, z.read(info).decode("utf-8"), None))
+                    except UnicodeDecodeError as e:
+                        rows.append((book, info.filename, None, f"Io: {e.reason}"))
+    except (zipfile.BadZipFile, TypeError, ValueError, NotImplementedError) as e:
+        return [(book, None, None, f"Zip: {e}")]
+    return rows
+
+
 def entries(archives: DataFrame) -> DataFrame:
     """book_id, name, content (null if it isn't UTF-8), error: the text files of each archive; an unreadable archive gives one row with its error."""
 
+    names = ["book_id", "name", "content", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, size = [], 0
             for book, content in zip(batch.book_id, batch.content):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            if re.search(r"\.(x?html?|xml|opf)$", info.filename, re.I):
-                                try:
-                                    rows.append((book, info.filename, z.read(info).decode("utf-8"), None))
-                                except UnicodeDecodeError as e:
-                                    rows.append((book, info.filename, None, f"Io: {e.reason}"))
-                except (zipfile.BadZipFile, TypeError, ValueError, NotImplementedError) as e:
-                    rows = [(book, None, None, f"Zip: {e}")]
-                yield pd.DataFrame(rows, columns=["book_id", "name", "content", "error"])
+                own = _unzipped(book, content)
+                rows += own
+                size += sum(len(r[2] or "") for r in own)
+                if size > UNZIPPED:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return archives.select("book_id", "content").mapInPandas(run, "book_id string, name string, content string, error string")
 

@@ -25,6 +25,12 @@ def spark():
     own.stop()
 
 
+@pytest.fixture(scope="session")
+def small():
+    """The folder of the smallest tables."""
+    return SMALL
+
+
 @pytest.fixture(scope="session")
 def same_as_sql(spark):
     """A check that a query and its SQL give equal rows, of equal columns and types, on the smallest tables."""

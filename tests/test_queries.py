@@ -1,7 +1,6 @@
 """Every registered query of the engine's own operators: against its SQL, or for its rows."""
 
 import pytest
-from conftest import SMALL
 
 from quire.plans import registry
 
@@ -14,5 +13,5 @@ def test_query_is_its_sql(same_as_sql, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
-def test_query_without_sql_gives_rows(spark, name):
-    assert registry.queries()[name](spark, SMALL).count() > 0
+def test_query_without_sql_gives_rows(spark, small, name):
+    assert registry.queries()[name](spark, small).count() > 0

@@ -92,8 +92,15 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k first by (score, id) of each q."""
+    """Places of the k first by (score, id) of each q, repeats of an id once."""
     order = np.lexsort((ids, score, q))
+    if len(order) > 1:
+        by_id = order[np.lexsort((ids[order], q[order]))]  # stable: the nearest row of an id comes first
+        again = np.r_[False, (np.diff(q[by_id]) == 0) & (np.diff(ids[by_id]) == 0)]
+        if again.any():
+            kept = np.ones(len(q), bool)
+            kept[by_id[again]] = False
+            order = order[kept[order]]
     first = np.r_[True, np.diff(q[order]) != 0] if len(order) else np.empty(0, bool)
     starts = np.flatnonzero(first)
     rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
@@ -108,7 +115,7 @@ def _pairs(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
 
 
 def _compare(cell: tuple[np.ndarray, np.ndarray], queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> pa.RecordBatch | None:
-    """The k nearest rows of a cell for each query, where they are no farther than its bound."""
+    """The k nearest ids of a cell for each query, where they are no farther than its bound."""
     (ids, x), (qid, q, bound) = cell, queries
     centre = x.mean(axis=0)
     radius = np.sqrt(((x - centre) ** 2).sum(axis=1)).max()
@@ -143,9 +150,10 @@ def windows(rows: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame]:
     line = written(running_totals(lines, ["curve", "place", "vec_id"], {"at": "one"}, "curves").drop("one"), "curve-line")
     firsts = line.groupBy("curve").agg(F.min("at").alias("first"))
     line = line.join(F.broadcast(firsts), "curve").withColumn("cell", F.floor((F.col("at") - F.col("first")) / WINDOW).cast("long"))
-    asks = (F.col("vec_id") % every == 0)
-    asked = line.filter(asks).withColumn("cell", F.explode(F.array(*[F.col("cell") + n for n in (-1, 0, 1)])))
-    met = line.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
+    # a repeated id asks once, with its first vector: distances from another would be none of the query's
+    asked = line.filter(F.col("vec_id") % every == 0).groupBy("curve", "vec_id").agg(F.min(F.struct("v", "cell")).alias("own"))
+    asked = asked.select("curve", "vec_id", "own.v", "own.cell").withColumn("cell", F.explode(F.array(*[F.col("cell") + n for n in (-1, 0, 1)])))
+    met = line.select("curve", "vec_id", "v", "cell").withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
 
     def merge(t: pa.Table) -> pa.Table:
         asks_, ids, v = t.column("asks").to_numpy(), t.column("vec_id").to_numpy(), _matrix(t.column("v").combine_chunks())

@@ -151,6 +151,31 @@ def test_nearest_matches_brute_force(spark, monkeypatch):
         assert got == plain_nearest(rows)
 
 
+@pytest.mark.parametrize("window", [256, 16])
+def test_repeated_vectors_are_candidates_once(spark, monkeypatch, window):
+    monkeypatch.setattr(N, "WINDOW", window)
+    monkeypatch.setattr(N, "CELL", 64)
+    rng = np.random.default_rng(8)
+    once = [(k, rng.normal(size=16).astype(np.float32).tolist(), 0) for k in range(150)]
+    want = plain_nearest(once)
+    for times in (2, 3, 12):
+        assert sorted(map(tuple, N.nearest(vectors(spark, once * times)).collect())) == want
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=16).astype(np.float32).tolist(), 0) for k in [*range(201)] * 2]
+    own = {}
+    for i, v, _ in rows:
+        own.setdefault(i, []).append(v)
+    want = []
+    for q in (0, 100, 200):
+        first = np.array(min(own[q]))
+        near = sorted((min(float(N.distances(first[None], np.array(v)[None])[0]) for v in vs), i) for i, vs in own.items() if i != q)[:10]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted(map(tuple, N.nearest(vectors(spark, rows)).collect())) == want
+
+
 def test_few_and_no_vectors(spark):
     rows = [(100, [1.0] * 16, 0), (1, [2.0] * 16, 0), (200, [1.0] * 16, 0)]
     assert sorted(map(tuple, N.nearest(vectors(spark, rows)).collect())) == plain_nearest(rows)

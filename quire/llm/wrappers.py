@@ -5,8 +5,8 @@ in which equal neighbours fold into a repeated group. The pages of a host are al
 are merged, mismatches become optional groups, runs of one element become repeated groups, differing texts become open
 slots. The result is a regular expression without unions that every page of the host fits.
 
-A slot of the wrapper is main text by its place: inside an article or main element if the host has one, and inside no menu,
-header, footer, sidebar, notice, advert, form or comment section. On hosts without such an element the slots whose text
+A slot of the wrapper is main text by its place: inside an article or main element if the page's shape has one, and inside no
+menu, header, footer, sidebar, notice, advert, form or comment section. Of a host's other shapes the slots whose text
 changes from page to page are kept, and those that never change (and lists made of links) are not.
 
 Spark does the work in three steps. Each page gives its shape (its own folded wrapper) and shapes are counted by (host,
@@ -15,7 +15,7 @@ The wrapper's decision for each slot of each shape then goes back to the pages,
 (checked), else by a join that Spark may split on hot hosts.
 
 Cases: null html gives an empty text, and so does a page without main text. Unclosed and stray tags are tolerated. Pages
-without a host (null or odd urls) form one host of their own. Rows may repeat; extra columns are ignored; empty tables
+without a host (null or odd urls) share no wrapper: each is decided by itself. Rows may repeat; extra columns are ignored; empty tables
 give no rows. Whole pages are read.
 """
 
@@ -286,11 +286,13 @@ def decided(wrapper: list) -> set[tuple[int, int]]:
 
     walk(wrapper, False, 0)
     own = [x for x in flat if not x[1]]
-    if any(main for _, _, main in own):
-        return {tuple(k) for p, _, main in own if main for k in p[5]}
-    varies = any(p[1] is None for p, _, _ in own)
-    several = max((p[2] for p, _, _ in own), default=0) > 1
-    return {tuple(k) for p, _, _ in own if not (varies and several and p[1] is not None and p[2] > 1) and p[4] * 2 <= p[3] for k in p[5]}
+    keep = {tuple(k) for p, _, main in own if main for k in p[5]}
+    with_main = {tag for tag, _ in keep}
+    # the other shapes' slots; a slot's counts are those of all pages that share it
+    others = [(p, ids) for p, _, main in own if not main and (ids := [tuple(k) for k in p[5] if k[0] not in with_main])]
+    varies = any(p[1] is None for p, _ in others)
+    several = max((p[2] for p, _ in others), default=0) > 1
+    return keep | {k for p, ids in others if not (varies and several and p[1] is not None and p[2] > 1) and p[4] * 2 <= p[3] for k in ids}
 
 
 # ---- Spark
@@ -301,7 +303,7 @@ def host() -> Column:
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    """host, shape_id, shape (JSON): each distinct shape of a host, with counts over all its pages."""
+    """host, shape_id, shape (JSON): each distinct shape of a host, with counts over all its pages. Pages without host take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
@@ -329,7 +331,7 @@ def shapes(pages: DataFrame) -> DataFrame:
         return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "shape": pa.chunked_array([[json.dumps(own)]])})
 
     schema = "host string, shape_id long, shape string"
-    parts = pages.filter("html is not null").select(host().alias("host"), "html").mapInArrow(run, schema)
+    parts = pages.filter("html is not null").select(host().alias("host"), "html").filter("host <> ''").mapInArrow(run, schema)
     return parts.groupBy("host", "shape_id").applyInArrow(total, schema)
 
 
@@ -410,7 +412,9 @@ def _reader(keep: dict | None):
                     continue
                 root = parsed(page)
                 parts, order = shape(root)
-                if keep is not None:
+                if not name:
+                    own = [k for _, k in decided(renumbered(parts, 0))]
+                elif keep is not None:
                     own = keep.get((name, shape_id(parts)))
                 texts.append(main_text(root, order, set(own or ())))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

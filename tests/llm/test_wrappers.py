@@ -59,3 +59,19 @@ def test_odd_pages(spark):
     assert got[1] == got[2] == got[3] == ("", 0) and got[5] == ("", 0) and got[6] == (" ".join("w" * 5000), 9999)
     assert W.extracted(spark.createDataFrame(rows, PAGE)).count() == 8
     assert W.extracted(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_hosts_of_mixed_templates(spark):
+    plain = [(k, f"http://c.example/{k}", f"<body><div class=top>Same line</div><div class=body><p>Plain text number {k}.</p></div></body>") for k in range(4)]
+    others = [(10 + k, f"http://c.example/{10 + k}", f"<body><div class=top>Same line</div><article><p>Article {k}.</p></article></body>") for k in range(3)]
+    got = texts(spark, plain + others)
+    assert all(got[k][0] == f"Plain text number {k}." for k in range(4))
+    assert all(got[10 + k][0] == f"Article {k}." for k in range(3))
+
+
+def test_pages_without_host_are_decided_alone(spark, monkeypatch):
+    rows = [(1, None, "<article>a</article>out"), (2, None, "<div>plain</div>"), (3, "odd", "<p>text</p><p>more</p>"), (4, "odd", "<p>text</p><p>other</p>"), (5, None, "plain")]
+    want = {1: "a", 2: "plain", 3: "text more", 4: "text other", 5: "plain"}
+    assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
+    monkeypatch.setattr(W, "BROADCAST", -1)
+    assert {k: t for k, (t, _) in texts(spark, rows).items()} == want

@@ -7,7 +7,8 @@ slots. The result is a regular expression without unions that every page of the
 
 A slot of the wrapper is main text by its place: inside an article or main element if the page's shape has one, and inside no
 menu, header, footer, sidebar, notice, advert, form or comment section. Of a host's other shapes the slots whose text
-changes from page to page are kept, and those that never change (and lists made of links) are not.
+changes from page to page are kept, and those that never change (and lists made of links) are not. Copies of a page, and
+repeats of a text on one page, say nothing about change: only pages that differ in what may be main text count as several.
 
 Spark does the work in three steps. Each page gives its shape (its own folded wrapper) and shapes are counted by (host,
 shape), within tasks first. The distinct shapes of a host are aligned in salted parts, and the parts' wrappers once more.
@@ -25,6 +26,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -74,6 +76,7 @@ def label(name: str, attributes: str) -> str:
     return " ".join([name, *sorted(words)])
 
 
+@lru_cache(maxsize=10_000)
 def dropped(own: str, in_main: bool) -> bool:
     """Whether an element of this label holds no article text."""
     name, *words = own.split(" ")
@@ -90,6 +93,7 @@ def dropped(own: str, in_main: bool) -> bool:
     return False
 
 
+@lru_cache(maxsize=10_000)
 def is_main(own: str) -> bool:
     name, *words = own.split(" ")
     return name in ("article", "main") or "role=main" in words or "role=article" in words or "itemprop=articlebody" in words
@@ -173,7 +177,8 @@ def parsed(page: str) -> list:
     return root
 
 
-# ---- wrappers: ["#", hash or null, pages, chars, link chars, ids] for slots, [label, many, optional, children] for elements
+# ---- wrappers: ["#", hash or null, contents, chars, link chars, ids] for slots (contents: the two smallest hashes of its pages'
+# texts, enough to tell one from several), [label, many, optional, children] for elements
 
 
 def same(a: list, b: list) -> bool:
@@ -195,10 +200,15 @@ def repeated(parts: list) -> list:
     return out
 
 
+def either(a: list[int], b: list[int]) -> list[int]:
+    """The contents of two slots: at most two, whatever the order and the number of copies."""
+    return a if a == b else sorted({*a, *b})[:2]
+
+
 def merged(a: list, b: list, run: bool = False) -> list:
     """One part that fits what either fits. run: b follows a on one page, so the group repeats."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+        return ["#", a[1] if a[1] == b[1] else None, either(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5]]
     return [a[0], int(run or a[1] or b[1]), int(a[2] or b[2]), aligned(a[3], b[3])]
 
 
@@ -238,10 +248,27 @@ def expression(parts: list) -> str:
     return " ".join(x for x in out if x)
 
 
+def content_hash(root: list) -> int:
+    """A hash of a page's texts that may be main text: those outside dropped elements and not made of links."""
+    own = xxhash.xxh64()
+
+    def walk(node: list, main: bool) -> None:
+        for child in node[1:]:
+            if isinstance(child, tuple):
+                if child[1] * 2 <= len(child[0]):
+                    own.update(child[0].encode("utf-8", "replace") + b"\n")
+            elif not (" hidden" in child[0] or dropped(child[0], main)):
+                walk(child, main or is_main(child[0]))
+
+    walk(root, False)
+    return own.intdigest()
+
+
 def shape(root: list) -> tuple[list, list[int]]:
     """A page's own wrapper, its slots numbered by element path, and the numbers of its texts in page order."""
     places: dict[str, int] = {}
     order: list[int] = []
+    content = [content_hash(root)]
 
     def walk(node: list, path: str) -> list:
         parts = []
@@ -249,7 +276,7 @@ def shape(root: list) -> tuple[list, list[int]]:
             if isinstance(child, tuple):
                 k = places.setdefault(path, len(places))
                 order.append(k)
-                parts.append(["#", xxhash.xxh32_intdigest(child[0].encode("utf-8", "replace")), 1, len(child[0]), child[1], [k]])
+                parts.append(["#", xxhash.xxh32_intdigest(child[0].encode("utf-8", "replace")), content, len(child[0]), child[1], [k]])
             else:
                 parts.append([child[0], 0, 0, walk(child, f"{path}>{child[0]}")])
         return repeated(parts)
@@ -264,7 +291,7 @@ def skeleton(parts: list) -> list:
 
 def summed(a: list, b: list) -> list:
     """Two shapes of one skeleton with their slots' counts added."""
-    return [["#", x[1] if x[1] == y[1] else None, x[2] + y[2], x[3] + y[3], x[4] + y[4], sorted({*x[5], *y[5]})] if x[0] == "#" else [x[0], x[1], x[2], summed(x[3], y[3])] for x, y in zip(a, b)]
+    return [["#", x[1] if x[1] == y[1] else None, either(x[2], y[2]), x[3] + y[3], x[4] + y[4], sorted({*x[5], *y[5]})] if x[0] == "#" else [x[0], x[1], x[2], summed(x[3], y[3])] for x, y in zip(a, b)]
 
 
 def renumbered(parts: list, tag: int) -> list:
@@ -291,8 +318,7 @@ def decided(wrapper: list) -> set[tuple[int, int]]:
     # the other shapes' slots; a slot's counts are those of all pages that share it
     others = [(p, ids) for p, _, main in own if not main and (ids := [tuple(k) for k in p[5] if k[0] not in with_main])]
     varies = any(p[1] is None for p, _ in others)
-    several = max((p[2] for p, _ in others), default=0) > 1
-    return keep | {k for p, ids in others if not (varies and several and p[1] is not None and p[2] > 1) and p[4] * 2 <= p[3] for k in ids}
+    return keep | {k for p, ids in others if not (varies and p[1] is not None and len(p[2]) > 1) and p[4] * 2 <= p[3] for k in ids}
 
 
 # ---- Spark

@@ -75,3 +75,15 @@ def test_pages_without_host_are_decided_alone(spark, monkeypatch):
     assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
     monkeypatch.setattr(W, "BROADCAST", -1)
     assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
+
+
+def test_copies_and_repeats_are_no_boilerplate(spark):
+    def plain(k, extra, nav="n"):
+        return f"<body><nav>{nav}</nav><div class=top>Home of all</div><div class=body><p>Written text number {k}.</p></div>{extra}<div>All rights reserved</div></body>"
+
+    odd = "<blockquote>Only here.</blockquote><ul><li>again</li><li>again</li></ul>"
+    for copies in (1, 2, 5):
+        rows = [(k, f"http://d.example/{k}", plain(k, "")) for k in range(4)] + [(100 + k, f"http://d.example/{100 + k}", plain(7, odd, k // 2)) for k in range(copies)]
+        got = texts(spark, rows)
+        assert {got[100 + k][0] for k in range(copies)} == {"Written text number 7. Only here. again again"}
+        assert all(got[k][0] == f"Written text number {k}." for k in range(4))

@@ -8,6 +8,9 @@ key's holder can invert them; without the key they tell nothing.
 Kinds: email addresses, payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, US social security numbers,
 dates (year first, or day and month with dots or slashes), access keys and assigned secrets.
 
+Digits of other scripts count by their value and are written back in their script. Dates from 1900 to 2099 stay among
+themselves, and so do all other valid ones.
+
 Cases: null and empty texts stay as they are; numbers that fail validation (a wrong check digit, a 31st of April) stay.
 Rows may repeat; other columns pass through untouched, whatever their names.
 """
@@ -29,6 +32,7 @@ ROUNDS = 8
 #: Used where the session names no key in spark.quire.pseudonym.key. Production sets its own.
 DEMO_KEY = b"quire demonstration key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+USUAL_DAYS, ALL_DAYS = LAST_DAY - FIRST_DAY + 1, datetime.date.max.toordinal()
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 PATTERN = re.compile(
@@ -42,7 +46,8 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?![\d]))"
     r"|(?P<phone>(?<![\d.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"
 )
-_HAS = re.compile(r"[0-9@=:]")
+_SIGN = re.compile(r"[\d@=:]")
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
 def permuted(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -111,6 +116,33 @@ def laid_out(template: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in template)
 
 
+def may_match(text: str) -> bool:
+    """Whether text holds what every match of PATTERN needs: a digit, a sign, or the start of an access key."""
+    return _SIGN.search(text) is not None or "AKIA" in text or "ASIA" in text
+
+
+def ascii_digits(text: str) -> str:
+    """text with the digits of all scripts as ASCII digits, character by character."""
+    return _OTHER_DIGIT.sub(lambda m: str(int(m[0])), text)
+
+
+def in_scripts(template: str, text: str) -> str:
+    """text with its digits in the scripts of template's: by place, or by a number's first digit where lengths differ."""
+
+    def like(old: str, digit: str) -> str:
+        return chr(ord(old) - int(old) + int(digit)) if old.isdecimal() and digit.isdecimal() else digit
+
+    if len(template) == len(text):
+        return "".join(map(like, template, text))
+    numbers = iter(re.findall(r"\d+", template))
+
+    def number(m: re.Match) -> str:
+        old = next(numbers)
+        return "".join(map(like, old if len(old) == len(m[0]) else old[0] * len(m[0]), m[0]))
+
+    return re.sub(r"\d+", number, text)
+
+
 def _email(t: str, key: bytes, back: bool) -> str:
     name, _, host = t.rpartition("@")
     labels, _, last = host.rpartition(".")
@@ -144,11 +176,14 @@ def _date(t: str, key: bytes, back: bool) -> str | None:
         day = datetime.date(y, m, d).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
     wide = len(parts[0]) + len(parts[1])
     # one- and two-digit days are told apart by the layout alone, so both spell all days
-    new = datetime.date.fromordinal(FIRST_DAY + permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
+    if FIRST_DAY <= day <= LAST_DAY:
+        day = FIRST_DAY + permuted(day - FIRST_DAY, USUAL_DAYS, key, "date", back)
+    else:
+        rest = permuted(day - 1 if day < FIRST_DAY else day - 1 - USUAL_DAYS, ALL_DAYS - USUAL_DAYS, key, "far date", back) + 1
+        day = rest if rest < FIRST_DAY else rest + USUAL_DAYS
+    new = datetime.date.fromordinal(day)
     if year_first:
         return new.isoformat()
     sep = "." if "." in t else "/"
@@ -201,24 +236,39 @@ def rewriter(key: bytes, back: bool = False) -> Callable[[str | None], tuple[str
 
     @lru_cache(maxsize=20_000)
     def one(kind: str, t: str) -> str | None:
-        return _secret(t, key, back) if kind == "secret" else KINDS[kind](t, key, back)
+        plain = ascii_digits(t)
+        if plain != t and kind in ("access", "secret"):  # digits stay digits, so that their script stays
+            own = 4 if kind == "access" else 0
+            new = plain[:own] + spelled(plain[own:], by_class(plain[own:]), key, kind, back)
+        else:
+            new = _secret(plain, key, back) if kind == "secret" else KINDS[kind](plain, key, back)
+        return new if new is None or plain == t else in_scripts(t, new)
+
+    def replaced(line: str, found: Callable[[re.Match, str], str]) -> str:
+        out, at = [], 0
+        for m in PATTERN.finditer(line if line.isascii() else ascii_digits(line)):
+            out += line[at : m.start()], found(m, line)
+            at = m.end()
+        return "".join([*out, line[at:]]) if at else line
 
     def rewrite(text: str | None) -> tuple[str | None, list[str]]:
         kinds: list[str] = []
 
-        def found(m: re.Match) -> str:
+        def found(m: re.Match, line: str) -> str:
+            """m was found in the line with ASCII digits, at the same places."""
+            own = line[m.start() : m.end()]
             if m["secret"] is not None:
                 kinds.append("secret")
                 a, b = m.start("value") - m.start(), m.end("value") - m.start()
-                return m[0][:a] + one("secret", m["value"]) + m[0][b:]
-            new = one(m.lastgroup, m[0])
+                return own[:a] + one("secret", own[a:b]) + own[b:]
+            new = one(m.lastgroup, own)
             if new is not None:
                 kinds.append(m.lastgroup)
-            return m[0] if new is None else new
+            return own if new is None else new
 
-        if not text or not _HAS.search(text):
+        if not text or not may_match(text):
             return text, kinds
-        lines = [PATTERN.sub(found, line) if _HAS.search(line) else line for line in text.split("\n")]
+        lines = [replaced(line, found) if may_match(line) else line for line in text.split("\n")]
         return "\n".join(lines), kinds
 
     return rewrite

@@ -17,7 +17,7 @@ The wrapper's decision for each slot of each shape then goes back to the pages,
 
 Cases: null html gives an empty text, and so does a page without main text. Unclosed and stray tags are tolerated. Pages
 without a host (null or odd urls) share no wrapper: each is decided by itself. Rows may repeat; extra columns are ignored; empty tables
-give no rows. Whole pages are read.
+give no rows. Whole pages are read, however deep their elements nest: nothing here recurses.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -185,16 +185,31 @@ def same(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
-def repeated(parts: list) -> list:
+def stepped(step: Generator):
+    """The result of a generator that yields the generators whose results it needs: recursion of any depth."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            step = waiting[-1].send(value)
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+        else:
+            waiting.append(step)
+            value = None
+    return value
+
+
+def _repeated(parts: list) -> Generator:
     """Runs of one element become one repeated group whose content is the alignment of theirs."""
     out: list = []
     for part in parts:
         if out and same(out[-1], part):
-            out[-1] = merged(out[-1], part, True)
+            out[-1] = yield _merged(out[-1], part, True)
         elif len(out) >= 3 and same(out[-1], out[-3]) and same(out[-2], part) and part[0] != "#" and out[-1][0] != "#":
             # a b a b: fold the second pair into the first
-            out[-3] = merged(out[-3], out.pop(), True)
-            out[-1] = merged(out[-1], part, True)
+            out[-3] = yield _merged(out[-3], out.pop(), True)
+            out[-1] = yield _merged(out[-1], part, True)
         else:
             out.append(part)
     return out
@@ -205,17 +220,24 @@ def either(a: list[int], b: list[int]) -> list[int]:
     return a if a == b else sorted({*a, *b})[:2]
 
 
-def merged(a: list, b: list, run: bool = False) -> list:
+def _merged(a: list, b: list, run: bool = False) -> Generator:
     """One part that fits what either fits. run: b follows a on one page, so the group repeats."""
     if a[0] == "#":
         return ["#", a[1] if a[1] == b[1] else None, either(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5]]
-    return [a[0], int(run or a[1] or b[1]), int(a[2] or b[2]), aligned(a[3], b[3])]
+    return [a[0], int(run or a[1] or b[1]), int(a[2] or b[2]), (yield _aligned(a[3], b[3]))]
 
 
 def aligned(a: list, b: list) -> list:
     """The parts of a and b in one order: a longest common subsequence merges, the rest becomes optional."""
+    return stepped(_aligned(a, b))
+
+
+def _aligned(a: list, b: list) -> Generator:
     if [x[0] for x in a] == [y[0] for y in b]:
-        return [merged(x, y) for x, y in zip(a, b)]
+        out = []
+        for x, y in zip(a, b):
+            out.append((yield _merged(x, y)))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -225,7 +247,7 @@ def aligned(a: list, b: list) -> list:
     option = lambda x: x if x[0] == "#" else [x[0], x[1], 1, x[3]]
     while i < n or j < m:
         if i < n and j < m and same(a[i], b[j]):
-            out.append(merged(a[i], b[j]))
+            out.append((yield _merged(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append(option(a[i]))
@@ -233,44 +255,78 @@ def aligned(a: list, b: list) -> list:
         else:
             out.append(option(b[j]))
             j += 1
-    return repeated(out)
+    return (yield _repeated(out))
+
+
+def flat(parts: list) -> list:
+    """The parts in page order, each element followed by what it holds and None."""
+    out, rest = [], parts[::-1]
+    while rest:
+        p = rest.pop()
+        out.append(p)
+        if p is not None and p[0] != "#":
+            rest.append(None)
+            rest += p[3][::-1]
+    return out
+
+
+def dumped(parts: list) -> str:
+    return json.dumps([p if p is None or p[0] == "#" else p[:3] for p in flat(parts)])
+
+
+def loaded(text: str) -> list:
+    path: list = [[]]
+    for p in json.loads(text):
+        if p is None:
+            path.pop()
+        elif p[0] == "#":
+            path[-1].append(p)
+        else:
+            path[-1].append([*p, []])
+            path.append(path[-1][-1][3])
+    return path[0]
 
 
 def expression(parts: list) -> str:
     """A wrapper as a regular expression over tokens."""
-    out = []
-    for p in parts:
-        if p[0] == "#":
+    out, path = [], []
+    for p in flat(parts):
+        if p is None:
+            p = path.pop()
+            out.append(f"</{p[0].split(' ')[0]}>")
+            if p[1] or p[2]:
+                out.append(f"){'*' if p[1] and p[2] else '+' if p[1] else '?'}")
+        elif p[0] == "#":
             out.append("#TEXT" if p[1] is None else "#CONSTANT")
-            continue
-        own = f"<{p[0]}> {expression(p[3])} </{p[0].split(' ')[0]}>"
-        out.append(f"( {own} ){'*' if p[1] and p[2] else '+' if p[1] else '?'}" if p[1] or p[2] else own)
-    return " ".join(x for x in out if x)
+        else:
+            out.append(f"( <{p[0]}>" if p[1] or p[2] else f"<{p[0]}>")
+            path.append(p)
+    return " ".join(out)
 
 
 def content_hash(root: list) -> int:
     """A hash of a page's texts that may be main text: those outside dropped elements and not made of links."""
     own = xxhash.xxh64()
-
-    def walk(node: list, main: bool) -> None:
-        for child in node[1:]:
-            if isinstance(child, tuple):
-                if child[1] * 2 <= len(child[0]):
-                    own.update(child[0].encode("utf-8", "replace") + b"\n")
-            elif not (" hidden" in child[0] or dropped(child[0], main)):
-                walk(child, main or is_main(child[0]))
-
-    walk(root, False)
+    rest = [(child, False) for child in root[:0:-1]]
+    while rest:
+        node, main = rest.pop()
+        if isinstance(node, tuple):
+            if node[1] * 2 <= len(node[0]):
+                own.update(node[0].encode("utf-8", "replace") + b"\n")
+        elif not (" hidden" in node[0] or dropped(node[0], main)):
+            now = main or is_main(node[0])
+            rest += [(child, now) for child in node[:0:-1]]
     return own.intdigest()
 
 
 def shape(root: list) -> tuple[list, list[int]]:
     """A page's own wrapper, its slots numbered by element path, and the numbers of its texts in page order."""
-    places: dict[str, int] = {}
+    paths: dict[tuple[int, str], int] = {}  # (the parent's path, label) -> path
+    places: dict[int, int] = {}
     order: list[int] = []
     content = [content_hash(root)]
 
-    def walk(node: list, path: str) -> list:
+    def walk(node: list, path: int) -> Generator:
         parts = []
         for child in node[1:]:
             if isinstance(child, tuple):
@@ -278,41 +334,47 @@ def shape(root: list) -> tuple[list, list[int]]:
                 order.append(k)
                 parts.append(["#", xxhash.xxh32_intdigest(child[0].encode("utf-8", "replace")), content, len(child[0]), child[1], [k]])
             else:
-                parts.append([child[0], 0, 0, walk(child, f"{path}>{child[0]}")])
-        return repeated(parts)
+                parts.append([child[0], 0, 0, (yield walk(child, paths.setdefault((path, child[0]), len(paths) + 1)))])
+        return parts if len(parts) < 2 else (yield _repeated(parts))
 
-    return walk(root, ""), order
+    return stepped(walk(root, 0)), order
 
 
 def skeleton(parts: list) -> list:
     """A shape without what its pages' texts say: equal for pages of one structure."""
-    return ["#" + ",".join(map(str, sorted({*p[5]}))) if p[0] == "#" else [p[0], p[1], p[2], skeleton(p[3])] for p in parts]
+    return [p if p is None else "#" + ",".join(map(str, sorted({*p[5]}))) if p[0] == "#" else p[:3] for p in flat(parts)]
 
 
 def summed(a: list, b: list) -> list:
-    """Two shapes of one skeleton with their slots' counts added."""
-    return [["#", x[1] if x[1] == y[1] else None, either(x[2], y[2]), x[3] + y[3], x[4] + y[4], sorted({*x[5], *y[5]})] if x[0] == "#" else [x[0], x[1], x[2], summed(x[3], y[3])] for x, y in zip(a, b)]
+    """a, with the counts of b's slots added to its own: two shapes of one skeleton."""
+    for x, y in zip(flat(a), flat(b)):
+        if x is not None and x[0] == "#":
+            x[1:] = x[1] if x[1] == y[1] else None, either(x[2], y[2]), x[3] + y[3], x[4] + y[4], sorted({*x[5], *y[5]})
+    return a
 
 
 def renumbered(parts: list, tag: int) -> list:
-    """Slots that say which shape they come from."""
-    return [["#", p[1], p[2], p[3], p[4], sorted({(tag, k) for k in p[5]})] if p[0] == "#" else [p[0], p[1], p[2], renumbered(p[3], tag)] for p in parts]
+    """parts, with slots that say which shape they come from."""
+    for p in flat(parts):
+        if p is not None and p[0] == "#":
+            p[5] = sorted({(tag, k) for k in p[5]})
+    return parts
 
 
 def decided(wrapper: list) -> set[tuple[int, int]]:
     """(shape, slot) of the wrapper's slots that are main text."""
-    flat: list = []
-
-    def walk(parts: list, drop: bool, main: int) -> None:
-        for p in parts:
-            if p[0] == "#":
-                flat.append((p, drop, main))
-            else:
-                now = main + is_main(p[0])
-                walk(p[3], drop or " hidden" in p[0] or dropped(p[0], main > 0), now)
-
-    walk(wrapper, False, 0)
-    own = [x for x in flat if not x[1]]
+    slots: list = []
+    path = [(False, 0)]
+    for p in flat(wrapper):
+        if p is None:
+            path.pop()
+            continue
+        drop, main = path[-1]
+        if p[0] == "#":
+            slots.append((p, drop, main))
+        else:
+            path.append((drop or " hidden" in p[0] or dropped(p[0], main > 0), main + is_main(p[0])))
+    own = [x for x in slots if not x[1]]
     keep = {tuple(k) for p, _, main in own if main for k in p[5]}
     with_main = {tag for tag, _ in keep}
     # the other shapes' slots; a slot's counts are those of all pages that share it
@@ -336,7 +398,7 @@ def shapes(pages: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys = list(held)
-            b = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([json.dumps(held[k]) for k in keys], pa.string())], ["host", "shape_id", "shape"])
+            b = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([dumped(held[k]) for k in keys], pa.string())], ["host", "shape_id", "shape"])
             held.clear()
             return b
 
@@ -353,8 +415,8 @@ def shapes(pages: DataFrame) -> DataFrame:
     def total(t: pa.Table) -> pa.Table:
         own = None
         for s in t.column("shape").to_pylist():
-            own = json.loads(s) if own is None else summed(own, json.loads(s))
-        return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "shape": pa.chunked_array([[json.dumps(own)]])})
+            own = loaded(s) if own is None else summed(own, loaded(s))
+        return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "shape": pa.chunked_array([[dumped(own)]])})
 
     schema = "host string, shape_id long, shape string"
     parts = pages.filter("html is not null").select(host().alias("host"), "html").filter("host <> ''").mapInArrow(run, schema)
@@ -369,7 +431,7 @@ def _fold(t: pa.Table, column: str) -> list:
     rows = sorted(zip(t.column("shape_id").to_pylist(), t.column(column).to_pylist()))
     wrapper: list | None = None
     for _, s in rows:
-        own = json.loads(s)
+        own = loaded(s)
         wrapper = own if wrapper is None else aligned(wrapper, own)
     return wrapper or []
 
@@ -378,8 +440,8 @@ def wrappers(shapes: DataFrame) -> DataFrame:
     """host, expression, keep: the wrapper of each host, and its (shape, slot) pairs of main text as JSON."""
 
     def part(t: pa.Table) -> pa.Table:
-        tagged = t.set_column(t.column_names.index("shape"), "shape", pa.chunked_array([[json.dumps(renumbered(json.loads(s), k)) for k, s in zip(t.column("shape_id").to_pylist(), t.column("shape").to_pylist())]]))
-        return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "wrapper": pa.chunked_array([[json.dumps(_fold(tagged, "shape"))]])})
+        tagged = t.set_column(t.column_names.index("shape"), "shape", pa.chunked_array([[dumped(renumbered(loaded(s), k)) for k, s in zip(t.column("shape_id").to_pylist(), t.column("shape").to_pylist())]]))
+        return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "wrapper": pa.chunked_array([[dumped(_fold(tagged, "shape"))]])})
 
     def whole(t: pa.Table) -> pa.Table:
         wrapper = _fold(t, "wrapper")
@@ -393,15 +455,13 @@ def wrappers(shapes: DataFrame) -> DataFrame:
 def main_text(root: list, order: list[int], keep: set[int]) -> str:
     """A parsed page's texts in these slots, joined in page order."""
     texts: list[str] = []
-
-    def walk(node: list) -> None:
-        for child in node[1:]:
-            if isinstance(child, tuple):
-                texts.append(child[0])
-            else:
-                walk(child)
-
-    walk(root)
+    rest = root[:0:-1]
+    while rest:
+        node = rest.pop()
+        if isinstance(node, tuple):
+            texts.append(node[0])
+        else:
+            rest += node[:0:-1]
     return " ".join(t for t, k in zip(texts, order) if k in keep)
 
 

@@ -87,3 +87,12 @@ def test_copies_and_repeats_are_no_boilerplate(spark):
         got = texts(spark, rows)
         assert {got[100 + k][0] for k in range(copies)} == {"Written text number 7. Only here. again again"}
         assert all(got[k][0] == f"Written text number {k}." for k in range(4))
+
+
+def test_deep_pages(spark, monkeypatch):
+    deep = lambda name, k: f"<{name}>" * 5000 + f"Deep text {k}."
+    rows = [(k, f"http://e.example/{k}", deep("div", k)) for k in range(3)] + [(3, "http://e.example/3", deep("blockquote", 3) + "</blockquote>" * 5000 + deep("blockquote", 4)), (4, None, deep("ul", 5)), (5, "http://e.example/5", "<p>Flat.</p>")]
+    want = {0: "Deep text 0.", 1: "Deep text 1.", 2: "Deep text 2.", 3: "Deep text 3. Deep text 4.", 4: "Deep text 5.", 5: "Flat."}
+    assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
+    monkeypatch.setattr(W, "BROADCAST", -1)
+    assert {k: t for k, (t, _) in texts(spark, rows).items()} == want

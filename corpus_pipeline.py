@@ -27,8 +27,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
-    return pseudonyms.pseudonymised(docs)
+    """Documents with personal data replaced; without a key in the session this is a demonstration."""
+    return pseudonyms.pseudonymised(docs, pseudonyms.session_key(spark, demonstration=True))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

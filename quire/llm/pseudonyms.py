@@ -3,22 +3,29 @@
 Numbers and dates (and the letters and digits of addresses and keys) that pass their format's validation become numbers in
 mixed radix, are permuted by a keyed Feistel network over exactly that domain, and are written back in the same layout: a
 card number stays a valid card number, a date stays a date. Equal values get equal pseudonyms in every document, and the
-key's holder can invert them; without the key they tell nothing.
+key's holder can invert them; without the key they tell no more than their length, layout and what names their kind.
 
-Kinds: email addresses, payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, US social security numbers,
-dates (year first, or day and month with dots or slashes), access keys and assigned secrets.
+Kinds: email addresses, payment cards (issuer and Luhn), IBANs (mod 97), phone numbers, IPv4 and IPv6 addresses, US social
+security numbers, dates (year first, or day and month with dots or slashes), access keys, signed tokens and assigned secrets.
+
+Values of more than CHUNK characters are permuted in chunks, from the first to the last and back again; each chunk's
+permutation is tweaked by all that the pass has already turned, so that every character of a pseudonym depends on the whole value.
+Time is linear in the length of texts and values.
 
 Digits of other scripts count by their value and are written back in their script. Dates from 1900 to 2099 stay among
-themselves, and so do all other valid ones.
+themselves, and so do all other valid ones. Dates with slashes are read day first where that is a date, else month first; month-first
+ones stay among those that can be read in no other way. Four numbers of one digit (a section's number as often as
+an address) and shortened IPv6 addresses of fewer than three groups stay. Octets with leading zeros lose them.
 
 Cases: null and empty texts stay as they are; numbers that fail validation (a wrong check digit, a 31st of April) stay.
-Rows may repeat; other columns pass through untouched, whatever their names.
+Rows may repeat; other columns pass through untouched, whatever their names. A session without a key fails: see session_key.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -29,24 +36,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Used where the session names no key in spark.quire.pseudonym.key. Production sets its own.
+#: Characters of a value that are permuted together.
+CHUNK = 20
+#: Values of at most so many characters are remembered by a task.
+REMEMBERED = 128
+#: For demonstrations on made-up data only: anyone can invert what a public key turned. See session_key.
 DEMO_KEY = b"quire demonstration key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 USUAL_DAYS, ALL_DAYS = LAST_DAY - FIRST_DAY + 1, datetime.date.max.toordinal()
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
+_KEY_NAME = r"(?:api|access|secret|private|auth|client|encryption|signing)[_-]?(?:key|secret|token)|password|passwd|passphrase|pwd|secret|token"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<access>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
-    r"|(?P<secret>\b(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.~-]{6,}))"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"|(?P<access>\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[opsru]_[A-Za-z0-9]{20,}|[rs]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}))"
+    rf"|(?P<secret>(?<![A-Za-z0-9])(?i:{_KEY_NAME})\b[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?(?P<value>[A-Za-z0-9_+/.~-]{{6,}}))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]{0,37}::)[0-9A-Fa-f:]{6,39})(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d])\d(?:[ -]?\d){12,18}(?![\d]))"
     r"|(?P<phone>(?<![\d.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d))"
 )
-_SIGN = re.compile(r"[\d@=:]")
+#: What stays of an access key: the name of its kind.
+_ACCESS_NAME = re.compile(r"AKIA|ASIA|gh[opsru]_|[rs]k_(?:live|test)_|xox[abprs]-|eyJ")
+_SIGN = re.compile(rf"[\d@=:]|{_ACCESS_NAME.pattern}")
 _OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
@@ -89,12 +104,26 @@ def slots(values: list[int], radices: list[int], key: bytes, tweak: str, valid:
 
 
 def spelled(text: str, alphabets: list[str | None], key: bytes, tweak: str, back: bool, valid: Callable[[list[int]], bool] | None = None) -> str:
-    """text with each character that has an alphabet permuted within it."""
+    """text with each character that has an alphabet permuted within it. `valid` is for values of one chunk."""
     at = [k for k, a in enumerate(alphabets) if a]
     out = list(text)
-    values = slots([alphabets[k].index(text[k]) for k in at], [len(alphabets[k]) for k in at], key, tweak, valid, back)
-    for k, v in zip(at, values):
-        out[k] = alphabets[k][v]
+    parts = [at[k : k + CHUNK] for k in range(0, len(at), CHUNK)]
+
+    def turned(part: list[int], own: str) -> None:
+        values = slots([alphabets[k].index(out[k]) for k in part], [len(alphabets[k]) for k in part], key, own, valid, back)
+        for k, v in zip(part, values):
+            out[k] = alphabets[k][v]
+
+    if len(parts) < 2:
+        turned(at, tweak)
+        return "".join(out)
+    for way in (1, 0) if back else (0, 1):
+        seen = hashlib.blake2b(f"{tweak}|{way}|{len(at)}".encode(), key=key[:64], digest_size=16).digest()
+        for part in parts[::-1] if way else parts:
+            new = "".join(out[k] for k in part) if back else ""
+            turned(part, f"{tweak}|{seen.hex()}")
+            new = new or "".join(out[k] for k in part)
+            seen = hashlib.blake2b(seen + new.encode(), key=key[:64], digest_size=16).digest()
     return "".join(out)
 
 
@@ -118,7 +147,7 @@ def laid_out(template: str, chars: str) -> str:
 
 def may_match(text: str) -> bool:
     """Whether text holds what every match of PATTERN needs: a digit, a sign, or the start of an access key."""
-    return _SIGN.search(text) is not None or "AKIA" in text or "ASIA" in text
+    return _SIGN.search(text) is not None
 
 
 def ascii_digits(text: str) -> str:
@@ -149,14 +178,31 @@ def _email(t: str, key: bytes, back: bool) -> str:
     return spelled(f"{name}@{labels}", by_class(f"{name}@{labels}"), key, "email", back) + "." + last
 
 
+def _issued(digits: list[int] | str) -> bool:
+    """Whether a card's first digits are those of a payment network: 2221 to 2720, 30, 34 to 38, 4, 5 or 6."""
+    first = int("".join(map(str, digits[:4])))
+    return 2221 <= first <= 2720 or 3000 <= first < 3100 or 3400 <= first < 3900 or 4000 <= first < 7000
+
+
 def _card(t: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", t)
-    if not luhn(d) or not 13 <= len(d) <= 19 or len(set(d)) == 1:
+    if not 13 <= len(d) <= 19 or not luhn(d) or not _issued(d):
         return None
-    body = spelled(d[:-1], ["123456789", *[DIGITS] * (len(d) - 2)] if d[0] != "0" else [DIGITS] * (len(d) - 1), key, "card", back)
+    shorter = [n for n in (len(re.sub(r"\D", "", x)) for x in beginnings(t)) if n >= 13]
+
+    def valid(v: list[int]) -> bool:
+        own = str(v[0] + 2) + "".join(map(str, v[1:]))
+        return _issued(own) and not any(luhn(own[:n]) for n in shorter)  # no shorter card is read where this one is
+
+    body = spelled(d[:-1], ["23456", *[DIGITS] * (len(d) - 2)], key, "card", back, valid)
     return laid_out(t, body + next(c for c in DIGITS if luhn(body + c)))
 
 
+def beginnings(t: str) -> list[str]:
+    """What precedes each separator of t, the longest first."""
+    return [t[:k] for k in range(len(t) - 1, 0, -1) if t[k] in " .-" and t[k - 1].isalnum()]
+
+
 def _iban(t: str, key: bytes, back: bool) -> str | None:
     own = t.replace(" ", "")
     if not 15 <= len(own) <= 34 or iban_remainder(own) != 1:
@@ -178,12 +224,11 @@ def _date(t: str, key: bytes, back: bool) -> str | None:
         return None
     wide = len(parts[0]) + len(parts[1])
     # one- and two-digit days are told apart by the layout alone, so both spell all days
-    if FIRST_DAY <= day <= LAST_DAY:
-        day = FIRST_DAY + permuted(day - FIRST_DAY, USUAL_DAYS, key, "date", back)
-    else:
-        rest = permuted(day - 1 if day < FIRST_DAY else day - 1 - USUAL_DAYS, ALL_DAYS - USUAL_DAYS, key, "far date", back) + 1
-        day = rest if rest < FIRST_DAY else rest + USUAL_DAYS
-    new = datetime.date.fromordinal(day)
+    while True:
+        day = _turned_day(day, key, back)
+        new = datetime.date.fromordinal(day)
+        if new.day > 12 or not month_first:
+            break
     if year_first:
         return new.isoformat()
     sep = "." if "." in t else "/"
@@ -191,9 +236,30 @@ def _date(t: str, key: bytes, back: bool) -> str | None:
     return sep.join([*(f"{x:02d}" if wide == 4 else str(x) for x in own), f"{new.year:04d}"])
 
 
+def _turned_day(day: int, key: bytes, back: bool) -> int:
+    if FIRST_DAY <= day <= LAST_DAY:
+        return FIRST_DAY + permuted(day - FIRST_DAY, USUAL_DAYS, key, "date", back)
+    rest = permuted(day - 1 if day < FIRST_DAY else day - 1 - USUAL_DAYS, ALL_DAYS - USUAL_DAYS, key, "far date", back) + 1
+    return rest if rest < FIRST_DAY else rest + USUAL_DAYS
+
+
 def _ip(t: str, key: bytes, back: bool) -> str | None:
     octets = [int(x) for x in t.split(".")]
-    return ".".join(map(str, slots(octets, [256] * 4, key, "ip", None, back))) if max(octets) < 256 else None
+    return ".".join(map(str, slots(octets, [256] * 4, key, "ip", _long_octet, back))) if max(octets) < 256 and _long_octet(octets) else None
+
+
+def _long_octet(octets: list[int]) -> bool:
+    return max(octets) > 9
+
+
+def _ipv6(t: str, key: bytes, back: bool) -> str | None:
+    try:
+        ipaddress.IPv6Address(t)
+    except ValueError:
+        return None
+    if len([x for x in t.split(":") if x]) < 3:
+        return None
+    return spelled(t, [next((a for a in (DIGITS, LOWER[:6], UPPER[:6]) if c in a), None) for c in t], key, "ipv6", back)
 
 
 def _ssn_valid(v: list[int]) -> bool:
@@ -210,7 +276,9 @@ def _ssn(t: str, key: bytes, back: bool) -> str | None:
 def _phone(t: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", t)
     code = len(re.match(r"\+?(\d*)", t)[1]) if t[0] == "+" else 0
-    if not 7 <= len(d) - code <= 14 or len(d) > 15:
+    if code > 3:  # nothing between the country's code and the number: one digit for 1 and 7, else taken as two
+        code = 1 if d[0] in "17" else 2
+    if not 7 <= len(d) - code <= 14 or len(d) > 15 or d[:code] == "1" and len(d) != 11:
         return None
     national = d[code:]
     high = "23456789"
@@ -220,7 +288,9 @@ def _phone(t: str, key: bytes, back: bool) -> str | None:
 
 
 def _access(t: str, key: bytes, back: bool) -> str:
-    return t[:4] + spelled(t[4:], [DIGITS + UPPER] * 16, key, "access", back)
+    own = _ACCESS_NAME.match(t)[0]
+    upper = own in ("AKIA", "ASIA")
+    return own + spelled(t[len(own) :], [DIGITS + UPPER] * (len(t) - 4) if upper else by_class(t[len(own) :]), key, "access", back)
 
 
 def _secret(t: str, key: bytes, back: bool) -> str:
@@ -228,55 +298,72 @@ def _secret(t: str, key: bytes, back: bool) -> str:
     return spelled(t, [HEX] * len(t) if hexes else by_class(t), key, "hex" if hexes else "secret", back)
 
 
-KINDS = {"email": _email, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+KINDS = {"email": _email, "access": _access, "iban": _iban, "date": _date, "ip": _ip, "ipv6": _ipv6, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
 def rewriter(key: bytes, back: bool = False) -> Callable[[str | None], tuple[str | None, list[str]]]:
     """A function text -> (text with pseudonyms, the kinds replaced in order). back=True inverts it."""
 
-    @lru_cache(maxsize=20_000)
-    def one(kind: str, t: str) -> str | None:
+    def turned(kind: str, t: str) -> str | None:
         plain = ascii_digits(t)
         if plain != t and kind in ("access", "secret"):  # digits stay digits, so that their script stays
-            own = 4 if kind == "access" else 0
+            own = len(_ACCESS_NAME.match(plain)[0]) if kind == "access" else 0
             new = plain[:own] + spelled(plain[own:], by_class(plain[own:]), key, kind, back)
         else:
             new = _secret(plain, key, back) if kind == "secret" else KINDS[kind](plain, key, back)
         return new if new is None or plain == t else in_scripts(t, new)
 
-    def replaced(line: str, found: Callable[[re.Match, str], str]) -> str:
-        out, at = [], 0
-        for m in PATTERN.finditer(line if line.isascii() else ascii_digits(line)):
-            out += line[at : m.start()], found(m, line)
-            at = m.end()
-        return "".join([*out, line[at:]]) if at else line
+    remembered = lru_cache(maxsize=20_000)(turned)
 
-    def rewrite(text: str | None) -> tuple[str | None, list[str]]:
-        kinds: list[str] = []
+    def one(kind: str, t: str) -> str | None:
+        return remembered(kind, t) if len(t) <= REMEMBERED else turned(kind, t)
+
+    def accepted(kind: str, t: str) -> tuple[str, str] | None:
+        """The beginning of t that is valid, and its pseudonym: a number may run into the next one."""
+        tries = [t]
+        if kind in ("card", "iban", "phone"):
+            tries += beginnings(t)
+        for own in reversed(tries) if kind == "card" else tries:
+            new = one(kind, own)
+            if new is not None:
+                return own, new
+        return None
 
-        def found(m: re.Match, line: str) -> str:
-            """m was found in the line with ASCII digits, at the same places."""
-            own = line[m.start() : m.end()]
+    def replaced(line: str, kinds: list[str]) -> str:
+        plain = line if line.isascii() else ascii_digits(line)  # the same places
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(plain, at):
             if m["secret"] is not None:
-                kinds.append("secret")
-                a, b = m.start("value") - m.start(), m.end("value") - m.start()
-                return own[:a] + one("secret", own[a:b]) + own[b:]
-            new = one(m.lastgroup, own)
-            if new is not None:
-                kinds.append(m.lastgroup)
-            return own if new is None else new
+                kind, start, own = "secret", m.start("value"), line[m.start("value") : m.end("value")]
+            else:
+                kind, start, own = m.lastgroup, m.start(), line[m.start() : m.end()]
+            found = accepted(kind, own)
+            if found is None:  # what follows the first run of letters and digits may still be something
+                at = start + next((k for k, c in enumerate(own) if k and not c.isalnum()), len(own))
+                continue
+            out += line[done:start], found[1]
+            done = at = start + len(found[0])
+            kinds.append(kind)
+        return "".join([*out, line[done:]]) if done else line
 
+    def rewrite(text: str | None) -> tuple[str | None, list[str]]:
+        kinds: list[str] = []
         if not text or not may_match(text):
             return text, kinds
-        lines = [replaced(line, found) if may_match(line) else line for line in text.split("\n")]
+        lines = [replaced(line, kinds) if may_match(line) else line for line in text.split("\n")]
         return "\n".join(lines), kinds
 
     return rewrite
 
 
-def session_key(spark: SparkSession) -> bytes:
+def session_key(spark: SparkSession, demonstration: bool = False) -> bytes:
+    """The key that spark.quire.pseudonym.key names. Without one this fails, unless the caller asks for a demonstration."""
     own = spark.conf.get("spark.quire.pseudonym.key", None)
-    return own.encode() if own else DEMO_KEY
+    if own:
+        return own.encode()
+    if not demonstration:
+        raise ValueError("set spark.quire.pseudonym.key: pseudonyms under a public key can be inverted by anyone")
+    return DEMO_KEY
 
 
 def pseudonymised(docs: DataFrame, key: bytes | None = None, back: bool = False, column: str = "text") -> DataFrame:

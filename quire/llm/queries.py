@@ -39,7 +39,7 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.report(table(spark, sf_dir, "documents"))
+    return pseudonyms.report(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark, demonstration=True))
 
 
 def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -157,9 +158,71 @@ def test_dates_are_a_permutation():
 
 
 def test_pseudonyms_of_odd_rows(odd, empty):
-    got = S.report(odd).collect()
+    got = S.report(odd, KEY).collect()
     assert {r.doc_id: r.text for r in got}[2] is None and sum(r.n_values for r in got) == 0
-    assert S.pseudonymised(odd).columns == odd.columns and S.report(empty).count() == 0
+    assert S.pseudonymised(odd, KEY).columns == odd.columns and S.report(empty, KEY).count() == 0
+
+
+def test_a_session_without_key_fails(spark):
+    with pytest.raises(ValueError):
+        S.session_key(spark)
+    assert S.session_key(spark, demonstration=True) == S.DEMO_KEY
+    spark.conf.set("spark.quire.pseudonym.key", "own")
+    assert S.session_key(spark, demonstration=True) == S.session_key(spark) == b"own"
+    spark.conf.unset("spark.quire.pseudonym.key")
+
+
+@pytest.mark.parametrize("n", [6, 10, 20, 21, 54, 55, 100, 400, 5000, 100_000])
+@pytest.mark.parametrize("base", ["abcdefghij", "Ab3_xyzxyz", "0123456789abcdef", "aaaaaaaaaa"])
+def test_long_secrets_leave_nothing_readable(n, base):
+    own = (base * (n // len(base) + 1))[:n]
+    text = f"token={own}"
+    start = time.process_time()
+    new, kinds = S.rewriter(KEY)(text)
+    assert time.process_time() - start < 0.5 + n * 4e-5
+    assert kinds == ["secret"] and len(new) == len(text) and S.rewriter(KEY, back=True)(new)[0] == text
+    runs = {own[k : k + 8] for k in range(n - 7)}
+    assert not any(new[k : k + 8] in runs for k in range(6, len(new) - 7))
+    if n > 20:  # each character depends on the whole value
+        changed = S.rewriter(KEY)(f"token={own[:-1]}{'b' if own[-1] != 'b' else 'c'}")[0]
+        assert sum(a == b for a, b in zip(new[6:26], changed[6:26])) < 15
+
+
+def test_long_addresses():
+    for n in (30, 400, 4000):
+        text = "to " + "a.b" * n + "@host.example.com now"
+        new, kinds = S.rewriter(KEY)(text)
+        assert kinds == ["email"] and "a.ba.ba.b" not in new and S.rewriter(KEY, back=True)(new)[0] == text
+
+
+@pytest.mark.parametrize("unit", ["a.a.", "1 2-", "ab:c::", "a@b.", "+1 2", "token= ", "AB12 "])
+def test_long_lines_take_linear_time(unit):
+    start = time.process_time()
+    S.rewriter(KEY)(unit * (200_000 // len(unit)) + " 1")
+    assert time.process_time() - start < 10
+
+
+def test_month_first_dates_come_back():
+    days = [datetime.date(1890, 1, 1) + datetime.timedelta(k) for k in range(0, 30_000, 11)]
+    for text in [d.strftime(f) for d in days for f in ("%m/%d/%Y", "%d/%m/%Y")]:
+        new = S._date(text, KEY, False)
+        assert S._date(new, KEY, True) == text
+
+
+@pytest.mark.parametrize(
+    "text, kinds, gone",
+    [
+        ("AWS_SECRET_ACCESS_KEY=abcdEFGH1234abcd", ["secret"], "abcdEFGH"), ('{"password": "hunter22x"}', ["secret"], "hunter"), ("client_secret: zzzzzzzz", ["secret"], "zzzzzzzz"),
+        ("ghp_abcdefghijklmnopqrstuvwxyz0123456789", ["access"], "abcdef"), ("sk_live_abcdefABCDEF", ["access"], "abcdef"), ("eyJhbGciOiJ.eyJzdWIiOiIx.SflKxwRJSMeKK", ["access"], "hbGci"),
+        ("x 2001:db8:0:1::17 y", ["ipv6"], "2001"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334.", ["ipv6"], "85a3"), ("call +13345553192", ["phone"], "3345553192"), ("+4917012345678", ["phone"], "17012345678"),
+        ("4407620926593142 4111111111111111 441", ["card", "card"], "4111111111111111"), ("4111 1111 1111 1111 440", ["card"], "4111 1111"), ("+1 (334) 555-3192 4111 1111 1111 1111", ["phone", "card"], "4111"),
+        ("ES91 2100 0418 4502 0005 1332 FROM", ["iban"], "2100 0418"), ("12:30:45 std::vector a::b ::1", [], None), ("see chapter 3.1.4.1", [], None), ("9177399536541148 is no card's", [], None), ("key 0.0.0.0", [], None),
+    ],
+)
+def test_what_counts(text, kinds, gone):
+    new, got = S.rewriter(KEY)(text)
+    assert got == kinds and (gone is None or gone not in new) and bool(kinds) == (new != text)
+    assert S.rewriter(KEY, back=True)(new)[0] == text
 
 
 def vectors(spark, rows):

@@ -11,10 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a table of short keys that may be broadcast (each under 64 bytes).
+BROADCAST_ROWS = 200_000
+#: A key with more than one in so many rows joins as a broadcast: there are fewer such keys than this.
+HOT_SHARE = 400
+
+_TABLES: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the cluster names none."""
+    """The folder that driver and executors share. Only a local session that names none gets a fresh one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,9 +36,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """A mark for clear(): how many tables there are."""
+    return len(_TABLES)
+
+
+def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables written since the mark but for the last `keep`. What was read from them must be written or done with."""
+    gone = _TABLES[since : len(_TABLES) - keep]
+    del _TABLES[since : len(_TABLES) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def checked(small: DataFrame) -> DataFrame:
+    """A written table of short keys, to be broadcast if it has few rows, else left to a shuffle."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def looked_up(large: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """large joined with small, a written table of one row a key with `n`, the key's rows in large, of `rows` in all.
+
+    Keys that hold more than one in HOT_SHARE of the rows join by a broadcast of fewer than HOT_SHARE rows, so that no
+    task gets all rows of a hot key; the others are shuffled.
+    """
+    hot = F.col("n") * HOT_SHARE > rows
+    few = small.filter(hot)
+    if not few.take(1):
+        return large.join(small.drop("n"), key)
+    rest = large.join(F.broadcast(few.select(key)), key, "left_anti").join(small.filter(~hot).drop("n"), key)
+    return large.join(F.broadcast(few.drop("n")), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -88,6 +88,48 @@ def test_similar_texts_match_brute_force(spark, monkeypatch):
     assert kept == set(want.values())
 
 
+def test_texts_that_share_an_id(spark):
+    other = " ".join(f"o{k}" for k in range(30))
+    rows = [(1, "a text of its own kind here"), (1, other), (2, "and a third one of no kin"), (3, other + " more"), (1, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("_near", F.lit(1))
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(1, rows[0][1]), (1, other), (2, rows[2][1]), (None, other)], key=repr)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Large groups of copies, one text in a third of all rows, a star with many points: as brute force has it."""
+    from quire.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_SHARE", 5)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 10)
+    rows = near_rows(60, 9)
+    rows += [(2000 + k, rows[4][1]) for k in range(60)] + [(3000 + k, "") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = {d: plain_fingerprint(t) for d, t in rows}
+    want = classes(dict(sorted(prints.items())), lambda a, b: bin(a ^ b).count("1") <= 2)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in sorted(rows) if (w := t.lower().split())}
+    want = classes(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert {r.doc_id: r.component_id for r in simhash.near_texts(docs).collect()} == want
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert kept == set(want.values()) | {3000 + k for k in range(30)}
+    star = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(400, 401)], "a long, b long")
+    assert {r.node: r.root for r in simhash.components(star).collect()} == {**{k: 0 for k in range(1, 300)}, 401: 400}
+
+
+def test_near_fingerprints_in_large_shards(spark, monkeypatch):
+    """Fingerprints that share half their bits: a shard that must be dealt once more."""
+    rng = np.random.default_rng(6)
+    fps = [int(x) for x in rng.integers(0, 2**30, 60, dtype=np.uint64) << np.uint64(32)]
+    fps += [f ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64))) for f in fps[:40]]
+    want = classes(dict(enumerate(fps)), lambda a, b: bin(a ^ b).count("1") <= 2)
+    docs = spark.createDataFrame([(k, str(k)) for k in range(len(fps))], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    table = spark.createDataFrame([(k, f - 2**64 if f >= 2**63 else f) for k, f in enumerate(fps)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: table)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
 def test_long_chains_join(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(links).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,14 +138,19 @@ def is_noteref_text(text: Column) -> Column:
 
 def is_notes_section(xhtml: Column) -> Column:
     """Whether the first thousand bytes of a body look like notes."""
-    low = F.lower(xhtml)
-    at = F.instr(low, "<body")
-    chunk = head_of_bytes(F.substring(low, at, F.lit(1000)), F.lit(1000))
-    named = F.lit(False)
-    for mark in NOTE_MARKS:
-        named = named | (F.instr(chunk, mark) > 0)
-    linked = (F.regexp_count(chunk, F.lit("#a")) >= 3) & (F.regexp_count(chunk, F.lit('id="d')) >= 3)
-    return F.coalesce((at > 0) & (named | linked), F.lit(False))
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), where value is computed once however often it is named."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def says(chunk: Column) -> Column:
+        named = F.lit(False)
+        for mark in NOTE_MARKS:
+            named = named | (F.instr(chunk, mark) > 0)
+        return named | (F.regexp_count(chunk, F.lit("#a")) >= 3) & (F.regexp_count(chunk, F.lit('id="d')) >= 3)
+
+    body = once(F.lower(xhtml), lambda low: F.when(F.instr(low, "<body") > 0, F.substring(low, F.instr(low, "<body"), F.lit(1000))))
+    return F.coalesce(once(body, lambda b: once(head_of_bytes(b, F.lit(1000)), says)), F.lit(False))
 
 
 def is_explicit_noteref(types: Column, role: Column) -> Column:

@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
 from quire.functions import text as X
+from quire.operators.search import in_ranges
 from quire.schema import POINT
 
 RANGES = f"array<struct<start:{POINT},end:{POINT}>>"
 
 
-def overlaps(highlights: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines whose block a highlight (book_id, range_id, start, end) touches; an equi join on the book with the range test beside it."""
-    met = lines.join(highlights.select("book_id", "range_id", "start", "end"), "book_id")
-    return met.filter(R.touches_block(F.struct("start", "end"), F.col("chapter_index"), F.col("block_index")))
+def overlaps(highlights: DataFrame, lines: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Lines whose block a highlight (book_id, range_id, start, end) touches."""
+    return in_ranges(lines, highlights, start, end)
+
+
+def touched(highlights: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines (or clusters) that highlights touch, each with range_id and the highlight's ends r_start, r_end."""
+    return overlaps(highlights.withColumnsRenamed({"start": "r_start", "end": "r_end"}), lines, "r_start", "r_end")
 
 
 def pages_with(highlights: DataFrame, lines: DataFrame) -> DataFrame:
@@ -23,11 +28,13 @@ def pages_with(highlights: DataFrame, lines: DataFrame) -> DataFrame:
     return overlaps(highlights, lines).select("book_id", "range_id", "page_index").distinct()
 
 
-def segments(highlights: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The boxes of each highlight on each line: clipped clusters, merged while the next begins where the last one ends."""
-    r = F.struct("start", "end")
-    own = clusters.withColumnsRenamed({"start": "c_start", "end": "c_end"})
-    met = overlaps(highlights, own)
+def segments(met: DataFrame) -> DataFrame:
+    """The boxes of each highlight on each line: clipped clusters, merged while the next begins where the last one ends.
+
+    met: the clusters of the lines that a highlight touches, as touched() gives them, or cut from the lines it gives.
+    """
+    r = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    met = met.withColumnsRenamed({"start": "c_start", "end": "c_end"})
     a, b = R.clipped(r, F.col("chapter_index"), F.col("block_index"), F.col("c_start"), F.col("c_end"))
     met = met.withColumn("_a", a).withColumn("_b", b)
     share = lambda at: X.byte_fraction(F.col("text"), F.greatest(F.col(at) - F.col("c_start"), F.lit(0).cast("bigint")))

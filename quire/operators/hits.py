@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,19 @@ def lines_under(points: DataFrame, lines: DataFrame) -> DataFrame:
     return first_by(met, ["point_id", "book_id", "page_index", "px", "py"], order, *rest)
 
 
-def offsets(points: DataFrame, lines: DataFrame, clusters: DataFrame) -> DataFrame:
+def offsets(points: DataFrame, lines: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """point_id, chapter_index, block_index, offset: the text position under or nearest to each point.
 
-    On its line the cluster that holds the point counts, before the first one the first, and in any gap the last.
+    A point's line is found first; cut (lines to clusters) sees these lines only. On its line the cluster that holds the
+    point counts, before the first one the first, and in any gap the last.
     """
+    line = ["book_id", "page_index", "line_index"]
     on = lines_under(points, lines)
-    met = on.select("point_id", "book_id", "page_index", "line_index", "px").join(clusters, ["book_id", "page_index", "line_index"])
-    held = F.col("px").between(F.col("x"), F.col("x") + F.col("width"))
-    near = met.groupBy("point_id", "px").agg(
-        F.min_by(F.struct("chapter_index", "block_index", "text", "x", "width", "start"), F.when(held, F.col("cluster_index"))).alias("inside"),
-        F.min_by(F.struct("chapter_index", "block_index", "text", "x", "width", "start"), F.col("cluster_index")).alias("first"),
-        F.max_by(F.struct("chapter_index", "block_index", "text", "x", "width", "start"), F.col("cluster_index")).alias("last"),
-    )
-    c = F.coalesce("inside", F.when(F.col("px") < F.col("first.x"), F.col("first")).otherwise(F.col("last")))
-    near = near.withColumn("c", c)
+    own = F.struct("cluster_index", "chapter_index", "block_index", "text", "x", "width", "start")
+    cells = cut(on.select(*lines.columns).distinct()).groupBy(*line).agg(F.array_sort(F.collect_list(own)).alias("cells"))
+    near = on.select("point_id", *line, "px").join(cells, line)
+    inside = F.get(F.filter("cells", lambda c: F.col("px").between(c["x"], c["x"] + c["width"])), F.lit(0))
+    outside = F.when(F.col("px") < F.col("cells")[0]["x"], F.col("cells")[0]).otherwise(F.element_at("cells", -1))
+    near = near.select("point_id", "px", F.coalesce(inside, outside).alias("c"))
     share = F.when(F.col("c.width") > 0, F.least(F.greatest(F.col("px") - F.col("c.x"), F.lit(0.0)), F.col("c.width")) / F.col("c.width")).otherwise(0.0)
     return near.select("point_id", "c.chapter_index", "c.block_index", (F.col("c.start") + X.byte_offset_at_fraction(F.col("c.text"), share)).alias("offset"))

@@ -100,16 +100,16 @@ def page_counts(books: DataFrame, lines: DataFrame) -> DataFrame:
     return books.select("book_id").distinct().join(n, "book_id", "left").select("book_id", F.coalesce("n", F.lit(1)).cast("bigint").alias("n_pages"))
 
 
-def clusters(lines: DataFrame, shaped: DataFrame) -> DataFrame:
-    """A row for each character of each line: x, width, and its byte offsets in the block's text."""
+def clusters(lines: DataFrame, shaped: DataFrame, *also: str) -> DataFrame:
+    """A row for each character of each line: x, width, and its byte offsets in the block's text; with these columns of the lines also."""
     own = lines.join(shaped.select("book_id", "chapter_index", "block_index", "text", "font_size", "columns"), ["book_id", "chapter_index", "block_index"])
     first = F.col("line_in_block") * F.col("columns")
     own = own.withColumn("_head", X.byte_length(F.substring("text", F.lit(1), first))).withColumn("_line", F.substring("text", first + 1, F.col("columns")))
-    own = own.select("book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "font_size", "_head", "_line", F.posexplode(F.split("_line", "")).alias("cluster_index", "text"))
+    own = own.select(*also, "book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "font_size", "_head", "_line", F.posexplode(F.split("_line", "")).alias("cluster_index", "text"))
     own = own.filter("text <> ''")
     advance = F.col("font_size").cast("double") * PITCH
     start = F.col("_head") + X.byte_length(F.substring("_line", F.lit(1), F.col("cluster_index")))
-    return own.select("book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "cluster_index", "text", (MARGIN + F.col("cluster_index") * advance).alias("x"), advance.alias("width"), start.alias("start"), (start + X.byte_length(F.col("text"))).alias("end"))
+    return own.select(*also, "book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "cluster_index", "text", (MARGIN + F.col("cluster_index") * advance).alias("x"), advance.alias("width"), start.alias("start"), (start + X.byte_length(F.col("text"))).alias("end"))
 
 
 def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.tables import written
+
 
 def ordinal(df: DataFrame, group: str, key: str, name: str, span: int = 65_536) -> DataFrame:
     """df with the position (from 0) of each row among its group's, ordered by an integer key that tells them apart.
@@ -22,6 +24,20 @@ def ordinal(df: DataFrame, group: str, key: str, name: str, span: int = 65_536)
     return out.withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("int")).drop("_group", "_at", "_before", "_row", "_span")
 
 
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the place (from 1) of each row in one order of all rows, written once.
+
+    Rows are dealt by ranges of the order and ranked within their partitions; only one count a partition is summed over all.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    dealt = written(dealt)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = dealt.join(F.broadcast(counts), "_part")  # one row a partition
+    return out.withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")
+
+
 def first_by(df: DataFrame, keys: list[str], order: Column, *columns: str) -> DataFrame:
     """For each key the columns of the row that comes first; partial minima, no sort."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in columns])

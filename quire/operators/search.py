@@ -38,15 +38,32 @@ def block_text(blocks: DataFrame, chapter: int, block: int) -> DataFrame:
     return at.select("book_id", X.without_returns(F.col("text")).alias("text"))
 
 
+#: Ranges of more chapters meet the rows of their whole book.
+WIDE = 4096
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """rows (book_id, chapter_index, block_index, ..) with range_id and the ends of each range that touches their block.
+
+    An equi join on book and chapter with the block test beside it. Each row also asks, under no chapter, for the ranges that are too wide
+    to be listed by chapter.
+    """
+    first, last = F.col(f"{start}.chapter"), F.col(f"{end}.chapter")
+    listed = F.when(last - first < WIDE, F.sequence(first, F.greatest(first, F.least(last, first + WIDE)))).otherwise(F.array(F.lit(-1)))
+    spread = ranges.select("book_id", "range_id", start, end, F.explode(listed).alias("_chapter"))
+    asking = rows.withColumn("_chapter", F.explode(F.array(F.col("chapter_index").cast("int"), F.lit(-1))))
+    met = asking.join(spread, ["book_id", "_chapter"]).drop("_chapter")
+    return met.filter(R.touches_block(F.struct(F.col(start).alias("start"), F.col(end).alias("end")), F.col("chapter_index"), F.col("block_index")))
+
+
 def extract(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """book_id, range_id, text: the text of each range (start and end points in bytes), blocks joined by line ends.
 
-    An inner join on the book with the range test beside it; pieces come together in document order. Empty pieces are
-    left out; a range without text gives an empty text.
+    Pieces come together in document order. Empty pieces are left out; a range without text gives an empty text.
     """
     r = F.struct("start", "end")
     own = blocks.withColumn("_t", X.without_returns(F.col("text"))).drop("text")
-    met = own.join(ranges.select("book_id", "range_id", "start", "end"), "book_id").filter(R.touches_block(r, F.col("chapter_index"), F.col("block_index")))
+    met = in_ranges(own, ranges)
     size = X.byte_length(F.col("_t"))
     first, last = R.clipped(r, F.col("chapter_index"), F.col("block_index"), F.lit(0).cast("bigint"), size)
     met = met.withColumn("_a", F.least(first, size)).withColumn("_b", F.least(last, size)).filter("_a < _b")

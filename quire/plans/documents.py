@@ -11,6 +11,7 @@ from quire.operators import highlights as H
 from quire.operators import hits, layout, search
 from quire.plans.corpus import BLOCKS, LINES, SHAPED, blocks, read
 from quire.plans.registry import query
+from quire.tables import written
 
 _SNIPPET = """
     CASE WHEN first > 0 THEN '...' ELSE '' END || regexp_replace(regexp_replace(substring(text, first + 1, last - first), '\\s+', ' ', 'g'), '^ | $', '', 'g') || CASE WHEN last < length(text) THEN '...' ELSE '' END"""
@@ -79,26 +80,27 @@ def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range from the third character of block 1 of every fifth chapter to the fifth of block 2 of the next one, ends in either order."""
-    own = blocks(spark, sf_dir).filter("chapter_index % 5 < 2 and block_index in (1, 2)")
-    end = (F.col("chapter_index") % 5 == 1) & (F.col("block_index") == 2)
-    own = own.filter(((F.col("chapter_index") % 5 == 0) & (F.col("block_index") == 1)) | end)
-    at = X.byte_length(F.substring(F.col("text"), F.lit(1), F.when(end, 5).otherwise(3)))
-    own = own.select("book_id", (F.col("chapter_index") - F.col("chapter_index") % 5).cast("bigint").alias("range_id"), R.point(F.col("chapter_index"), F.col("block_index"), at).alias("p"))
-    both = own.groupBy("book_id", "range_id").agg(F.max("p").alias("a"), F.min("p").alias("b"), F.count("*").alias("n")).filter("n = 2")
-    r = R.range_of(F.col("a"), F.col("b"))
-    return both.select("book_id", "range_id", r["start"].alias("start"), r["end"].alias("end"))
+    """Ranges that follow each other through all chapters: from the third character of a chapter to that of the next one, or to
+    the end of the book; ends in either order."""
+    own = blocks(spark, sf_dir)
+    chapters = own.groupBy("book_id", "chapter_index").agg(
+        F.min_by(X.byte_length(F.substring("text", 1, 3)), "block_index").alias("o"), F.max_by(F.struct("block_index", X.byte_length(F.col("text")).alias("o")), "block_index").alias("last")
+    )
+    chapters = written(chapters)
+    after = chapters.select("book_id", (F.col("chapter_index") - 1).alias("chapter_index"), R.point(F.col("chapter_index"), F.lit(0), F.col("o")).alias("next"))
+    both = chapters.join(after, ["book_id", "chapter_index"], "left")
+    here, there = R.point(F.col("chapter_index"), F.lit(0), F.col("o")), F.coalesce("next", R.point(F.col("chapter_index"), F.col("last.block_index"), F.col("last.o")))
+    odd = F.col("chapter_index") % 2 == 1
+    r = R.range_of(F.when(odd, there).otherwise(here), F.when(odd, here).otherwise(there))
+    return both.select("book_id", F.col("chapter_index").cast("bigint").alias("range_id"), r["start"].alias("start"), r["end"].alias("end"))
 
 
 _RANGES = """
-ends AS (
-    SELECT book_id, chapter_index - chapter_index % 5 AS range_id, chapter_index AS c, block_index AS b, CASE WHEN chapter_index % 5 = 1 THEN 5 ELSE 3 END AS chars,
-           CAST(strlen(substring(text, 1, CASE WHEN chapter_index % 5 = 1 THEN 5 ELSE 3 END)) AS BIGINT) AS o
-    FROM blocks WHERE (chapter_index % 5 = 0 AND block_index = 1) OR (chapter_index % 5 = 1 AND block_index = 2)
-),
+firsts AS (SELECT book_id, chapter_index AS c, CAST(strlen(substring(text, 1, 3)) AS BIGINT) AS o FROM blocks WHERE block_index = 0),
+lasts AS (SELECT book_id, chapter_index AS c, max(block_index) AS b, arg_max(CAST(strlen(text) AS BIGINT), block_index) AS o, arg_max(length(text), block_index) AS chars FROM blocks GROUP BY ALL),
 ranges AS (
-    SELECT s.book_id, CAST(s.range_id AS BIGINT) AS range_id, s.c AS sc, s.b AS sb, s.o AS so, e.c AS ec, e.b AS eb, e.o AS eo, s.chars AS s_chars, e.chars AS e_chars
-    FROM ends s JOIN ends e ON s.book_id = e.book_id AND s.range_id = e.range_id AND s.c = s.range_id AND e.c = e.range_id + 1
+    SELECT f.book_id, CAST(f.c AS BIGINT) AS range_id, f.c AS sc, 0 AS sb, f.o AS so, coalesce(n.c, l.c) AS ec, CASE WHEN n.c IS NULL THEN l.b ELSE 0 END AS eb, coalesce(n.o, l.o) AS eo, 3 AS s_chars, CASE WHEN n.c IS NULL THEN l.chars ELSE 3 END AS e_chars
+    FROM firsts f JOIN lasts l USING (book_id, c) LEFT JOIN firsts n ON n.book_id = f.book_id AND n.c = f.c + 1
 )"""
 _TOUCH = "(x.chapter_index > r.sc OR (x.chapter_index = r.sc AND x.block_index >= r.sb)) AND (x.chapter_index < r.ec OR (x.chapter_index = r.ec AND x.block_index <= r.eb))"
 
@@ -131,10 +133,8 @@ def page_contains_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped, ranges = _shaped(spark, sf_dir), _ranges(spark, sf_dir)
-    lines = layout.paginated(shaped)
-    # only lines that a highlight touches are cut into clusters
-    touched = H.overlaps(ranges, lines).select(*lines.columns).distinct()
-    return H.segments(ranges, layout.clusters(touched, shaped))
+    # only lines that a highlight touches are cut into clusters, and each for its highlight
+    return H.segments(layout.clusters(H.touched(ranges, layout.paginated(shaped)), shaped, "range_id", "r_start", "r_end"))
 
 
 # with a fixed pitch a highlighted line is one segment: from the first to the last character of the line in the range
@@ -196,7 +196,7 @@ def hit_test_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = _shaped(spark, sf_dir)
     points = _points(spark, sf_dir)
     lines = _pointed(layout.paginated(shaped), points)
-    return hits.offsets(points, lines, layout.clusters(lines, shaped))
+    return hits.offsets(points, lines, lambda own: layout.clusters(own, shaped))
 
 
 _FRAGMENT = "CASE WHEN block_index % 3 = 1 THEN 'd' || chapter_index || '.' || block_index END"

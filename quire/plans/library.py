@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators.order import placed
 from quire.plans.corpus import read
 from quire.plans.registry import query
 from quire.sources import catalogue
@@ -34,13 +35,7 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LIBRARY} SELECT {_COLUMNS}, row_number() OVER (ORDER BY created_at DESC, id) AS place FROM library")
 def library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing with its places, newest first."""
-    own = _library(spark, sf_dir)
-    spans = own.groupBy("created_at").agg(F.count("*").alias("n"))  # few rows: one a minute
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select("created_at", before.alias("before"))
-    inside = F.row_number().over(Window.partitionBy("created_at").orderBy("id"))
-    placed = own.withColumn("n", inside).join(spans, "created_at").withColumn("place", (F.col("before") + F.col("n")).cast("bigint"))
-    return placed.drop("created_at", "before", "n")
+    return placed(_library(spark, sf_dir), [F.desc("created_at"), F.asc("id")], "place").drop("created_at")
 
 
 @query(f"WITH {_LIBRARY} SELECT count(*) AS n_books, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes FROM library")

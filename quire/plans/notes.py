@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -103,19 +103,22 @@ def archive(title: str, chapters: list[tuple[str, str]], author: str = "") -> by
     return out.getvalue()
 
 
-def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a book of one chapter: its first line a heading, the others paragraphs."""
+Chapters = list[tuple[str, str]]
+
+
+def _archives(spark: SparkSession, sf_dir: str, chapters: Callable[[int, list[str]], Chapters] | None = None) -> DataFrame:
+    """Each document as a book. chapters: its files and their bodies from its id and lines; by default one file, the first line a heading, the others paragraphs."""
+
+    def plain(_: int, lines: list[str]) -> Chapters:
+        return [("chapter.xhtml", f"<h1>{escape(lines[0])}</h1>" + "".join(f"<p>{escape(line)}</p>" for line in lines[1:]))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.doc_id, b.text):
-                first, *rest = text.split("\n")
-                body = f"<h1>{escape(first)}</h1>" + "".join(f"<p>{escape(line)}</p>" for line in rest)
-                rows.append((str(doc_id), f"{doc_id}.epub", archive(f"Book {doc_id}", [("chapter.xhtml", body)])))
+            rows = [(str(d), f"{d}.epub", archive(f"Book {d}", (chapters or plain)(d, text.split("\n")))) for d, text in zip(b.doc_id, b.text)]
             yield pd.DataFrame(rows, columns=["book_id", "path", "content"])
 
-    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "book_id string, path string, content binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return docs.mapInPandas(run, "book_id string, path string, content binary")
 
 
 @query(
@@ -133,8 +136,59 @@ def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epub.parse(_archives(spark, sf_dir))["books"].select("book_id", "title", "opf_path", "parse_error")
 
 
-@query("SELECT count(*) AS n_pages, CAST(0 AS BIGINT) AS n_blocks FROM pages")
-def pages_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages under the strict reader: each has an end tag that closes nothing before its body, so none has blocks."""
-    parsed = epub.parse_chapter("html", F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<note_id:string,source_id:string>>"), F.lit(False))
-    return read(spark, sf_dir, "pages").select(F.size(parsed).alias("n")).agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_blocks"))
+def _damaged(doc_id: int, lines: list[str]) -> Chapters:
+    """Of three books one has a stray end tag after its heading, and one an unknown entity in it."""
+    stray, entity = "</div>" if doc_id % 3 == 1 else "", "&nbsp;" if doc_id % 3 == 2 else ""
+    return [("c.xht", f"<h1>{escape(lines[0])}{entity}</h1>{stray}" + "".join(f"<p>{escape(line)}</p>" for line in lines[1:]))]
+
+
+@query(
+    """WITH l AS (SELECT doc_id, k, string_split(text, chr(10))[k] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(k))
+    SELECT CAST(doc_id AS VARCHAR) AS book_id, count(*) FILTER (WHERE k = 1 OR text <> '' AND doc_id % 3 <> 1) AS n_blocks,
+           CAST(coalesce(sum(length(text)) FILTER (WHERE CASE WHEN k = 1 THEN doc_id % 3 <> 2 ELSE doc_id % 3 <> 1 END), 0) AS BIGINT) AS n_chars FROM l GROUP BY doc_id"""
+)
+def strict_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books with planted errors under the strict reader: it stops at a stray end tag and drops a run with an unknown entity."""
+    blocks = epub.parse(_archives(spark, sf_dir, _damaged))["blocks"]
+    return blocks.groupBy("book_id").agg(F.count("*").alias("n_blocks"), F.sum(F.char_length("text").cast("bigint")).alias("n_chars"))
+
+
+def _styled(_: int, lines: list[str]) -> Chapters:
+    """Words in turn plain, bold, italic and superscript, a line's last one a link to its note; and the notes, of which every third links back to elsewhere."""
+    tags = ["{}", "<b>{}</b>", "<i>{}</i>", "<sup>{}</sup>"]
+    body, notes = [], []
+    for n, line in enumerate(lines):
+        words = [tags[k % 4].format(escape(w)) for k, w in enumerate(line.split(" "))]
+        words[-1] = f'<a href="notes.xhtml#n{n}" id="r{n}">{words[-1]}</a>'
+        body.append(f"<blockquote>dropped<p>{''.join(words)}</p></blockquote>")
+        notes.append(f'<p><a href="c.xhtml#{"x" if n % 3 == 0 else "r"}{n}" id="n{n}">{n}</a> {escape(line.split(" ")[0])}</p>')
+    return [("c.xhtml", "".join(body)), ("notes.xhtml", f'<section epub:type="footnotes">{"".join(notes)}</section>')]
+
+
+_WORDS = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, n - 1 AS n, string_split(string_split(text, chr(10))[n], ' ') AS w FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(n)),
+words AS (SELECT book_id, n, k - 1 AS k, k = len(w) AS is_last, w[k] AS word FROM lines, unnest(range(1, len(w) + 1)) AS t(k) WHERE w[k] <> '')"""
+
+
+@query(
+    f"""WITH {_WORDS}, b AS (
+        SELECT book_id, n, count(*) AS n_spans, count(*) FILTER (WHERE k % 4 = 1) AS n_bold, count(*) FILTER (WHERE k % 4 = 2) AS n_italic, count(*) FILTER (WHERE k % 4 = 3 OR is_last AND n % 3 <> 0) AS n_superscript,
+               count(*) FILTER (WHERE is_last AND n % 3 <> 0) AS n_noterefs, string_agg(word, '|' ORDER BY k) AS text FROM words GROUP BY ALL
+    ) SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY n) - 1 AS INTEGER) AS block_index, n_spans, n_bold, n_italic, n_superscript, n_noterefs, text FROM b"""
+)
+def epub_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of styled and noted chapters, counted by block."""
+    blocks = epub.parse(_archives(spark, sf_dir, _styled))["blocks"].filter("chapter_index = 0")
+    count = lambda test: F.size(F.filter("spans", test)).cast("bigint")
+    return blocks.select(
+        "book_id", "block_index", F.size("spans").cast("bigint").alias("n_spans"), count(lambda s: s["bold"]).alias("n_bold"), count(lambda s: s["italic"]).alias("n_italic"), count(lambda s: s["superscript"]).alias("n_superscript"),
+        count(lambda s: s["noteref_id"].isNotNull()).alias("n_noterefs"), F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("text"),
+    )
+
+
+@query(
+    f"""WITH {_WORDS} SELECT book_id, 'n' || n AS note_id, trim(n || ' ' || w[1]) AS text, CASE WHEN n % 3 = 0 THEN 'x' ELSE 'r' END || n AS source_id FROM lines"""
+)
+def epub_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of notes pages with what links back to them."""
+    out = epub.parse(_archives(spark, sf_dir, _styled))
+    return out["notes"].join(out["note_backlinks"], ["book_id", "note_id"])

@@ -35,8 +35,8 @@ class Reader:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, to: str | None = None) -> Reader:
-        """Books from the archives under `path`. With `to`, parsed tables are written there once and read from then on."""
-        tables = epub.parse(epub.read_archives(spark, path))
+        """Books from the archives under `path`, unzipped once. With `to`, parsed tables are written there and read from then on."""
+        tables = epub.parse(epub.read_archives(spark, path), f"{to}/entries" if to is not None else None)
         if to is not None:
             for name, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{to}/{name}")
@@ -100,7 +100,7 @@ class Reader:
 
     def hit_test(self, points: DataFrame) -> DataFrame:
         near = self.lines.join(points.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi")
-        return hits.offsets(points, near, layout.clusters(near, self.shaped))
+        return hits.offsets(points, near, lambda own: layout.clusters(own, self.shaped))
 
     # ---- selections
 
@@ -135,7 +135,10 @@ class Reader:
         """The selection's box on its page; none for a selection without width."""
         own = self._ranges()
         lines = self.lines.join(own.select("book_id", "page_index"), ["book_id", "page_index"], "left_semi")
-        return H.boxes(H.segments(own.drop("page_index"), layout.clusters(lines, self.shaped))).drop("range_id")
+        return H.boxes(self._segments(own.drop("page_index"), lines)).drop("range_id")
+
+    def _segments(self, ranges: DataFrame, lines: DataFrame) -> DataFrame:
+        return H.segments(layout.clusters(H.touched(ranges, lines), self.shaped, "range_id", "r_start", "r_end"))
 
     # ---- highlights: book_id, start, end
 
@@ -155,5 +158,4 @@ class Reader:
     def highlight_segments(self) -> DataFrame:
         order = Window.partitionBy("book_id").orderBy("start", "end")
         own = self.highlights().withColumn("range_id", F.row_number().over(order).cast("bigint"))
-        lines = H.overlaps(own, self.lines).select(*self.lines.columns).distinct()
-        return H.segments(own, layout.clusters(lines, self.shaped))
+        return self._segments(own, self.lines)

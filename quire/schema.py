@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 POINT = "struct<chapter:int,block:int,offset:bigint>"
 SPAN = "struct<text:string,bold:boolean,italic:boolean,superscript:boolean,debug_noteref_candidate:boolean,noteref_id:string,font_size:float>"
-BLOCK = f"struct<block_index:int,kind:string,level:int,font_size:float,text:string,spans:array<{SPAN}>>"
+BLOCK_COLUMNS = f"block_index int, kind string, level int, font_size float, text string, spans array<{SPAN}>"
 PANEL = "struct<id:string,weight:double,min_weight:double,collapsed:boolean,pre_collapse_weight:double>"
 LIBRARY = T.StructType(
     [T.StructField(name, kind, name == "object_etag") for name, kind in (
@@ -12,6 +12,3 @@ LIBRARY = T.StructType(
         ("storage_key", T.StringType()), ("storage_bucket", T.StringType()), ("object_etag", T.StringType()), ("created_at", T.TimestampType()),
     )]
 )
-#: Kinds an annotation may have.
-ANNOTATION_KINDS = ("Footnote", "Comment", "Highlight", "Summary", "Citation", "Entity", "Link")
-ANNOTATION = f"struct<id:string,kind:string,source_range:struct<start:{POINT},end:{POINT}>,title:string,content:string,href:string>"

@@ -1,8 +1,10 @@
 """EPUB archives as DataFrames of books, spine, notes and blocks.
 
-Archives come from Spark's binaryFile source; three small parsers (package file, notes page, chapter) run as Pandas UDFs on
-one file each. What relates files to each other is joins: manifest to spine, spine to archive entries, notes to chapters.
-Reading is strict: a parser stops at the first malformed markup and keeps what it has.
+Archives come from Spark's binaryFile source and are unzipped once, into a written table of the entries that their package
+file names; three small parsers (package file, notes page, chapter) run as Pandas UDFs on one file each. What relates
+files to each other is joins: manifest to spine, spine to archive entries, notes to chapters. Contents take part in one join only.
+Reading is strict: a parser stops at the first malformed markup and keeps what it has. A damaged archive or entry, or one under a
+password, gives its book an error and no other book.
 """
 
 from __future__ import annotations
@@ -10,15 +12,18 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators.order import last_by
-from quire.schema import BLOCK
+from quire.schema import BLOCK_COLUMNS
+from quire.tables import written
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>|<(/?)([^\s/>]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
@@ -234,39 +239,67 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 UNZIPPED = 8 << 20
 
 
-def _unzipped(book: str, content: bytes) -> list[tuple]:
-    rows = []
+CONTAINER = "META-INF/container.xml"
+#: What Python's zip reader raises for archives and entries that are damaged, under a password, or packed in an unknown way.
+_DAMAGED = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError, TypeError, OSError, EOFError, IndexError)
+
+
+def _read(z: zipfile.ZipFile, name: str) -> tuple[str | None, str | None]:
+    """An entry's text, or its error."""
+    try:
+        return z.read(name).decode("utf-8"), None
+    except KeyError:
+        return None, f"MissingFile: {name}"
+    except UnicodeDecodeError as e:
+        return None, f"Io: {e.reason}"
+    except _DAMAGED as e:
+        return None, f"Zip: {e}"
+
+
+def _unzipped(book: str, content: bytes | None) -> list[tuple]:
+    """Rows of ENTRY: the package file, and each file of the spine that is there, whatever its name."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for info in z.infolist():
-                if re.search(r"\.(x?html?|xml|opf)$", info.filename, re.I):
-                    try:
-                        rows.append((book, info.filename, z.read(info).decode("utf-8"), None))
-                    except UnicodeDecodeError as e:
-                        rows.append((book, info.filename, None, f"Io: {e.reason}"))
-    except (zipfile.BadZipFile, TypeError, ValueError, NotImplementedError) as e:
-        return [(book, None, None, f"Zip: {e}")]
+        z = zipfile.ZipFile(io.BytesIO(content))
+    except _DAMAGED as e:
+        return [(book, None, "archive", None, f"Zip: {e}")]
+    text, error = _read(z, CONTAINER)
+    path = rootfile(text) if text else None
+    if path is None:
+        return [(book, None, "archive", None, error if error and not error.startswith("Missing") else "Parse: no package file")]
+    text, error = _read(z, path)
+    rows = [(book, path, "package", text, error)]
+    if text is not None:
+        own = package(text)
+        files = {i["id"]: i["href"] for i in own["manifest"]}
+        folder = path[: path.rfind("/") + 1]
+        for name in sorted({folder + files[i["idref"]] for i in own["spine"] if i["idref"] in files} & {*z.namelist()}):
+            rows.append((book, name, "file", *_read(z, name)))
     return rows
 
 
+ENTRY = "book_id string, name string, role string, content string, error string"
+
+
 def entries(archives: DataFrame) -> DataFrame:
-    """book_id, name, content (null if it isn't UTF-8), error: the text files of each archive; an unreadable archive gives one row with its error."""
+    """book_id, name, role, content (null where it can't be read), error: each archive's package file and the files of its spine.
 
-    names = ["book_id", "name", "content", "error"]
+    An archive that can't be opened, or has no package file, gives one row of the role "archive" with its error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in ENTRY.split(", ")]
         for batch in batches:
             rows, size = [], 0
             for book, content in zip(batch.book_id, batch.content):
                 own = _unzipped(book, content)
                 rows += own
-                size += sum(len(r[2] or "") for r in own)
+                size += sum(len(r[3] or "") for r in own)
                 if size > UNZIPPED:
                     yield pd.DataFrame(rows, columns=names)
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return archives.select("book_id", "content").mapInPandas(run, "book_id string, name string, content string, error string")
+    return archives.select("book_id", "content").mapInPandas(run, ENTRY)
 
 
 _NOTES = "notes array<struct<position:int,note_id:string,text:string>>, links array<struct<position:int,note_id:string,source_id:string>>"
@@ -278,16 +311,35 @@ def _rootfiles(xml: pd.Series) -> pd.Series:
 
 
 def _packages(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([package(x) for x in xml], columns=["title", "author", "manifest", "spine"])
+    return pd.DataFrame([package(x or "") for x in xml], columns=["title", "author", "manifest", "spine"])
 
 
 def _notes_pages(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([notes_of(x) for x in xml], columns=["notes", "links"])
 
 
-def _chapters(xml: pd.Series, files: pd.Series, notes: pd.Series, is_notes: pd.Series) -> pd.Series:
-    rows = zip(xml, files, notes, is_notes)
-    return pd.Series([chapter(x, {*f} if f is not None else set(), {n["note_id"]: n["source_id"] for n in ns} if ns is not None else {}, bool(own)) for x, f, ns, own in rows])
+_SPANS = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("superscript", pa.bool_()), ("debug_noteref_candidate", pa.bool_()), ("noteref_id", pa.string()), ("font_size", pa.float32())]))
+_BLOCKS = pa.schema([("book_id", pa.string()), ("chapter_index", pa.int32()), ("block_index", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("font_size", pa.float32()), ("text", pa.string()), ("spans", _SPANS)])
+
+
+def chapters(pages: DataFrame) -> DataFrame:
+    """book_id, chapter_index and the columns of BLOCK: the blocks of pages (book_id, chapter_index, content, files, known, is_notes_file).
+
+    files: the book's notes files. known: its notes' ids, each with the id that links back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                rows = []
+                for p in batch.slice(start, 64).to_pylist():
+                    back = {n["note_id"]: n["source_id"] for n in p["known"] or ()}
+                    for b in chapter(p["content"], {*(p["files"] or ())}, back, bool(p["is_notes_file"])):
+                        rows.append(b | {"book_id": p["book_id"], "chapter_index": p["chapter_index"]})
+                yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
+
+    own = pages.select("book_id", F.col("chapter_index").cast("int"), "content", "files", "known", "is_notes_file")
+    return own.mapInArrow(run, f"book_id string, chapter_index int, {BLOCK_COLUMNS}")
 
 
 # the UDFs are made where they are used, as their types need a session
@@ -303,10 +355,6 @@ def parse_notes(xml: str) -> Column:
     return F.pandas_udf(_notes_pages, _NOTES)(xml)
 
 
-def parse_chapter(xml: str, files: Column | str, notes: Column | str, is_notes: Column | str) -> Column:
-    return F.pandas_udf(_chapters, f"array<{BLOCK}>")(xml, files, notes, is_notes)
-
-
 def spine_of(manifest: DataFrame, spine: DataFrame) -> DataFrame:
     """book_id, chapter_index, href: spine items in order, each with its manifest item; the last of an id counts, unmatched items go."""
     items = last_by(manifest, ["book_id", "id"], F.col("position"), "href").withColumnRenamed("id", "idref")
@@ -326,34 +374,36 @@ def first_links(links: DataFrame) -> DataFrame:
     return last_by(links, ["book_id", "note_id"], order, "source_id")
 
 
-def parse(archives: DataFrame) -> dict[str, DataFrame]:
+def parse(archives: DataFrame, to: str | None = None) -> dict[str, DataFrame]:
     """books, spine, notes, note_backlinks, blocks of archives (book_id, path, content).
 
-    Books that can't be parsed have a parse_error and no blocks: a broken archive, no package file, or a missing chapter.
+    The archives are unzipped once, into a table at `to` or in the shared folder. Books that can't be parsed have a
+    parse_error and no blocks: a broken archive, no package file, a missing or damaged chapter.
     """
-    files = entries(archives)
-    roots = files.filter("name = 'META-INF/container.xml'").select("book_id", parse_rootfile("content").alias("opf_path"))
-    named = files.select("book_id", F.col("name").alias("opf_path"), "content").filter("content is not null")
-    opf = named.join(roots, ["book_id", "opf_path"]).select("book_id", "opf_path", parse_package("content").alias("p"))
-    manifest = opf.select("book_id", F.inline("p.manifest"))
-    spine = spine_of(manifest, opf.select("book_id", F.inline("p.spine"))).join(opf.select("book_id", "opf_path"), "book_id")
+    files = written(entries(archives), to)
+    opf = files.filter("role = 'package'").select("book_id", F.col("name").alias("opf_path"), F.col("error").alias("unread"), parse_package("content").alias("p"))
+    opf = written(opf, f"{to}-packages" if to else None)
+    spine = spine_of(opf.select("book_id", F.inline("p.manifest")), opf.select("book_id", F.inline("p.spine"))).join(opf.select("book_id", "opf_path"), "book_id")
     spine = spine.select("book_id", "chapter_index", "href", F.concat(X.folder_of(F.col("opf_path")), "href").alias("full_path"), X.file_of(F.col("href")).alias("filename"))
-    chapters = spine.join(files.withColumnRenamed("name", "full_path"), ["book_id", "full_path"], "left")
-    noted = chapters.filter("content is not null").filter(X.is_notes_section(F.col("content"))).withColumn("n", parse_notes("content"))
+    spine = written(spine, f"{to}-spine" if to else None)
+    pages = files.filter("role = 'file'").withColumnRenamed("name", "full_path")
+    noted = pages.filter("content is not null").filter(X.is_notes_section(F.col("content"))).select("book_id", "full_path", parse_notes("content").alias("n"))
+    noted = written(noted.join(spine, ["book_id", "full_path"]), f"{to}-notes-pages" if to else None)
     notes = last_notes(noted.select("book_id", "chapter_index", F.inline("n.notes")))
     links = first_links(noted.select("book_id", "chapter_index", F.inline("n.links")))
     names = noted.groupBy("book_id").agg(F.collect_set("filename").alias("files"))
     known = notes.select("book_id", "note_id").join(links, ["book_id", "note_id"], "left").groupBy("book_id").agg(F.collect_list(F.struct("note_id", "source_id")).alias("known"))
-    full = chapters.join(names, "book_id", "left").join(known, "book_id", "left")
-    full = full.withColumn("is_notes_file", F.coalesce(F.array_contains("files", F.col("filename")), F.lit(False)))
-    lost = chapters.filter("content is null").groupBy("book_id").agg(F.min_by(F.coalesce("error", F.concat(F.lit("MissingFile: "), "full_path")), "chapter_index").alias("lost"))
-    broken = files.filter("name is null").select("book_id", F.col("error").alias("broken"))
+    placed = spine.join(names, "book_id", "left").withColumn("is_notes_file", F.coalesce(F.array_contains("files", F.col("filename")), F.lit(False)))
+    there = pages.select("book_id", "full_path", F.col("content").isNotNull().alias("read"), "error")
+    lost = spine.join(there, ["book_id", "full_path"], "left").filter(~F.coalesce("read", F.lit(False)))
+    lost = lost.groupBy("book_id").agg(F.min_by(F.coalesce("error", F.concat(F.lit("MissingFile: "), "full_path")), "chapter_index").alias("lost"))
+    broken = files.filter("role = 'archive'").select("book_id", F.col("error").alias("broken"))
     books = archives.select("book_id", "path").join(opf, "book_id", "left").join(lost, "book_id", "left").join(broken, "book_id", "left")
-    no_package = F.when(F.col("opf_path").isNull(), "Parse: no package file")
-    books = books.select("book_id", "path", "p.title", "p.author", "opf_path", F.coalesce("broken", no_package, "lost").alias("parse_error"))
-    whole = full.filter("content is not null").join(lost, "book_id", "left_anti")
-    blocks = whole.select("book_id", "chapter_index", parse_chapter("content", "files", "known", "is_notes_file").alias("b")).select("book_id", "chapter_index", F.inline("b"))
-    return {"books": books, "spine": full.select("book_id", "chapter_index", "href", "full_path", "filename", "is_notes_file"), "notes": notes, "note_backlinks": links, "blocks": blocks}
+    books = books.select("book_id", "path", "p.title", "p.author", "opf_path", F.coalesce("broken", "unread", "lost").alias("parse_error"))
+    whole = placed.join(lost, "book_id", "left_anti").join(known, "book_id", "left").drop("href", "filename")
+    whole = pages.select("book_id", "full_path", "content").join(whole, ["book_id", "full_path"])
+    blocks = chapters(whole)
+    return {"books": books, "spine": placed.select("book_id", "chapter_index", "href", "full_path", "filename", "is_notes_file"), "notes": notes, "note_backlinks": links, "blocks": blocks}
 
 
 def spans(blocks: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def test_segments_break_at_gaps(spark):
     at = [(0, 50.0), (1, 56.0), (2, 70.0), (3, 76.0)]  # a gap before the third
     clusters = spark.createDataFrame([("b", 0, 0, 0, 0, 50.0, 16.8, k, "x", x, 6.0, k, k + 1) for k, x in at], kind)
     ranges = spark.createDataFrame([("b", 1, (0, 0, 0), (0, 0, 9))], f"book_id string, range_id long, start {POINT}, end {POINT}")
-    got = H.segments(ranges, clusters)
+    got = H.segments(H.touched(ranges, clusters))
     assert sorted((r.x, r.width) for r in got.collect()) == [(50.0, 12.0), (70.0, 12.0)]
     box = H.boxes(got).first()
     assert (box.x, box.width) == (50.0, 32.0)

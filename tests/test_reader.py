@@ -14,9 +14,9 @@ POINTS = "point_id long, book_id string, page_index int, px double, py double"
 @pytest.fixture(scope="module")
 def reader(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("books")
-    chapter = '<p>Alpha <b>bold</b> word<a epub:type="noteref" href="notes.xhtml#d1" id="a1">1</a> end.</p><p>Second paragraph.</p>'
-    notes = '<p><a href="c.xhtml#a1" id="d1">NOTES<br/></a></p><p><a href="c.xhtml#a1" id="d1">1</a>. The note.</p>'
-    (folder / "a.epub").write_bytes(archive("One", [("c.xhtml", chapter), ("notes.xhtml", notes)], "Ann"))
+    chapter = '<p>Alpha <b>bold</b> word<a epub:type="noteref" href="ends.xhtml#to4" id="from4">4</a> end.</p><p>Second paragraph.</p>'
+    notes = '<section epub:type="endnotes"><p><a href="c.xhtml#from4" id="to4">4</a> See the map.</p></section>'
+    (folder / "a.epub").write_bytes(archive("One", [("c.xhtml", chapter), ("ends.xhtml", notes)], "Ann"))
     (folder / "b.epub").write_bytes(archive("Two", [("c.xhtml", "<p>" + "long text " * 900 + "</p>")], "Bo"))
     return Reader.load(spark, str(folder), str(folder / "tables"))
 
@@ -33,7 +33,7 @@ def test_books_and_pages(reader, ids):
     narrow = {r.book_id: r.n_pages for r in reader.relayout(420.0, 400.0).page_count().collect()}
     assert narrow[ids["Two"]] > counts[ids["Two"]]
     assert {r.book_id: r.n_notes for r in reader.note_count().collect()} == {ids["One"]: 1, ids["Two"]: 0}
-    assert [tuple(r) for r in reader.get_note("d1").collect()] == [(ids["One"], "1. The note.")]
+    assert [tuple(r) for r in reader.get_note("to4").collect()] == [(ids["One"], "4 See the map.")]
     assert reader.page(0).select("book_id").distinct().count() == 2
 
 
@@ -43,14 +43,14 @@ def test_search_finds_pages(reader, ids):
 
 def test_fragments_and_note_references(spark, reader, ids):
     own = reader.fragments.filter((F.col("book_id") == ids["One"]) & (F.col("page_index") == 0) & (F.col("line_index") == 0)).orderBy("frag_index").collect()
-    assert [(r.text, r.bold, r.noteref_id) for r in own] == [("Alpha ", False, None), ("bold", True, None), (" word", False, None), ("1", False, "d1"), (" end.", False, None)]
+    assert [(r.text, r.bold, r.noteref_id) for r in own] == [("Alpha ", False, None), ("bold", True, None), (" word", False, None), ("4", False, "to4"), (" end.", False, None)]
     x = own[3].x
     points = spark.createDataFrame([(1, ids["One"], 0, x + 1, 55.0), (2, ids["One"], 0, 50.0, 55.0), (3, ids["Two"], 0, x + 1, 55.0)], POINTS)
-    assert {r.point_id: r.noteref_id for r in reader.hit_test_noteref(points).collect()} == {1: "d1", 2: None, 3: None}
+    assert {r.point_id: r.noteref_id for r in reader.hit_test_noteref(points).collect()} == {1: "to4", 2: None, 3: None}
     rect = {r.point_id: (r.x, r.y, r.width) for r in reader.noteref_anchor_rect(points).collect()}
     assert rect[1] == (x, 50.0, 6.0) and rect[2] == (None, None, None)
     drawn = {r.text: r for r in reader.render(0, 2.0).filter(F.col("book_id") == ids["One"]).collect()}
-    assert drawn["1"].colour == "#6688cc" and drawn["1"]["size"] == pytest.approx(12 * 0.65) and drawn["bold"].prefix == "bold " and drawn["bold"].canvas_width == 1200
+    assert drawn["4"].colour == "#6688cc" and drawn["4"]["size"] == pytest.approx(12 * 0.65) and drawn["bold"].prefix == "bold " and drawn["bold"].canvas_width == 1200
 
 
 def test_selection_becomes_a_highlight(spark, reader, ids):

@@ -35,6 +35,10 @@ EPOCHS = 8
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))  # the pattern takes some numbers, such as fractions, too
+
+
 def windows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The windows (padded with spaces) that tile a text, and the bytes each holds."""
     n = max(1, -(-len(raw) // WINDOW))
@@ -121,7 +125,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> ByteNet:
         for b in batches:
             ids, langs, own = [], [], []
             for doc_id, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if _LETTER.search(text):
+                if has_letter(text):
                     all_, _ = windows(text.encode("utf-8"))
                     for k in sorted({*np.linspace(0, len(all_) - 1, WINDOWS).astype(int)}):
                         ids.append(doc_id)
@@ -129,7 +133,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> ByteNet:
                         own.append(all_[k].tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(own, pa.binary())], ["doc_id", "lang", "window"])
 
-    texts = base.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # the sample's size is bounded
+    # the sample's size is bounded; of several texts under one doc_id and lang the first by its characters counts
+    texts = base.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = texts.mapInArrow(run, "doc_id long, lang string, window binary").distinct().toArrow().sort_by([("doc_id", "ascending"), ("window", "ascending")])
     names = sorted({*got.column("lang").to_pylist()})
     if not names:
@@ -147,7 +152,7 @@ def predicted(docs: DataFrame, net: ByteNet) -> DataFrame:
         langs, scores = [], []
         for start in range(0, len(texts), 64):
             part = texts.iloc[start : start + 64].tolist()
-            tiles = [windows(t.encode("utf-8")) if t and _LETTER.search(t) else None for t in part]
+            tiles = [windows(t.encode("utf-8")) if t and has_letter(t) else None for t in part]
             known = [t for t in tiles if t is not None]
             p = net.probabilities(np.concatenate([x for x, _ in known])) if known else None
             k = 0

@@ -131,8 +131,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([c for c, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "cols", "vals"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _n_chars(docs))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # the sample's size is bounded
-    rows = rows.select("doc_id", "quality", "text", "n_chars").mapInArrow(run, "doc_id long, quality int, cols array<int>, vals array<float>").toArrow().sort_by("doc_id")
+    # the sample's size is bounded; of several texts under one doc_id the first by its characters counts
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("first"))
+    rows = rows.select("doc_id", "quality", "first.text", "first.n_chars").mapInArrow(run, "doc_id long, quality int, cols array<int>, vals array<float>").toArrow().sort_by("doc_id")
     y = rows.column("quality").to_numpy().astype(np.float64)
     if not len({*y}) == 2:
         return Machine(float(np.log(shares[1] / shares[0])))

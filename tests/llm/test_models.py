@@ -68,3 +68,46 @@ def test_language_odd_rows(odd, empty):
     none = language.fitted(empty)
     assert {r.lang_pred for r in language.predicted(odd, none).collect()} == {"und"}
     assert language.predicted(empty, net).count() == 0
+
+
+def test_numbers_are_no_letters(spark):
+    from quire.llm import language
+
+    docs = spark.createDataFrame([(k, "plain words here", "en") for k in range(20)] + [(k, "mots simples ici", "fr") for k in range(20, 40)] + [(90, "½ ²", "en"), (91, "① 12 _", None), (92, "½ a", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted(docs, language.fitted(docs)).collect()}
+    assert got[90] == got[91] == ("und", 0.0) and got[92][0] in ("en", "fr")
+
+
+def test_fits_with_repeated_ids_are_the_same_each_time(spark):
+    """One doc_id on several texts: the first of them counts, however the rows are dealt."""
+    from quire.llm import language, quality
+
+    rows = [(k // 3, f"{w} words number {k} {w}", lang) for k in range(120) for w, lang in [("plain", "en") if k % 2 else ("simples", "fr")]]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    nets, machines = [], []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n)
+        nets.append(sorted(map(tuple, language.predicted(docs, language.fitted(docs)).collect())))
+        machines.append(sorted(map(tuple, quality.scored(docs, quality.fitted(docs, labels)).collect())))
+    assert nets[0] == nets[1] and machines[0] == machines[1]
+
+
+def test_pooled_filters_are_a_plain_convolution():
+    """The tables of bytes against sums written out for each place of a window."""
+    import numpy as np
+
+    from quire.llm import language as L
+
+    net = L.ByteNet(["a", "b"])
+    rng = np.random.default_rng(1)
+    net.tables = [rng.normal(size=t.shape).astype(np.float32) for t in net.tables]
+    net.out, net.bias = rng.normal(size=net.out.shape).astype(np.float32), rng.normal(size=net.bias.shape).astype(np.float32)
+    x = rng.integers(0, 256, (3, L.WINDOW), dtype=np.uint8)
+    got = net.probabilities(x)
+    for row, p in zip(x, got):
+        tops = []
+        for w, table in zip(L.WIDTHS, net.tables):
+            tops += [max(sum(float(table[j][row[i + j], f]) for j in range(w)) for i in range(L.WINDOW - w + 1)) for f in range(L.FILTERS)]
+        z = np.maximum(tops, 0) @ net.out + net.bias
+        z = np.exp(z - z.max())
+        assert np.allclose(p, z / z.sum(), atol=1e-4)

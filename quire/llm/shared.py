@@ -40,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(frames: Iterable[DataFrame], name: str) -> DataFrame | None:
+    """The rows of all frames as one table, each frame written before the next is asked for; None if there is no frame."""
+    path, schema, spark = "", None, None
+    for df in frames:
+        spark, schema = df.sparkSession, df.schema
+        path = path or f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
+        df.write.mode("append").parquet(path)
+    if spark is None:
+        return None
+    _TABLES.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def tables_written() -> int:
     """A mark for clear(): how many tables there are."""
     return len(_TABLES)

@@ -278,6 +278,37 @@ def test_ids_with_several_vectors(spark):
     assert sorted(map(tuple, N.nearest(vectors(spark, rows)).collect())) == want
 
 
+def test_windows_alone_find_nine_in_ten(spark, small):
+    """Without the exact check, among ten thousand vectors of the check tool's table or as many random ones."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(10_256, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    rows = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {(r.query_id, r.vec_id) for r in N.nearest(rows, exact=False).collect()}
+    x, hits, n = v.astype(np.float64), 0, 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        near = np.argsort(d)[:10]
+        hits += sum((q, int(i)) in got for i in near)
+        n += 10
+    assert hits >= 0.9 * n
+
+
+def test_vectors_of_doubles_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=16).tolist(), "x") for k in range(300)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    for c in ("cell", "curve", "place", "at", "score", "rank", "query_id", "one", "asks"):
+        docs = docs.withColumn(c, docs.v)
+    got = sorted(map(tuple, N.nearest(docs).collect()))
+    want = []
+    for q in (0, 100, 200):
+        near = sorted((float(N.distances(np.array(rows[q][1])[None], np.array(v)[None])[0]), i) for i, v, _ in rows if i != q)[:10]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert got == want
+
+
 def test_few_and_no_vectors(spark):
     rows = [(100, [1.0] * 16, 0), (1, [2.0] * 16, 0), (200, [1.0] * 16, 0)]
     assert sorted(map(tuple, N.nearest(vectors(spark, rows)).collect())) == plain_nearest(rows)

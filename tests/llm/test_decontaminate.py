@@ -69,6 +69,54 @@ def test_longest_match(spark):
     assert (got[2].longest, got[2].longest_at, got[2].longest_item) == (0, -1, None)
 
 
+def plain_longest(text, items):
+    """The first of the longest runs of words that a text shares with any item."""
+    w, best = plain_words(text), (0, -1, None)
+    own = sorted((str(name), plain_words(t)) for name, t in items if name is not None and t)
+    for p in range(len(w)):
+        for name, q in own:
+            for k in range(len(q)):
+                n = 0
+                while p + n < len(w) and k + n < len(q) and w[p + n] == q[k + n]:
+                    n += 1
+                if n > best[0]:
+                    best = n, p, name
+    return best
+
+
+def test_longest_matches_of_any_length(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([4, 9, 15, 30])))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        own = items[k % 12][1].split()
+        a = rng.randrange(len(own))
+        part = own[a : a + 1 + k % 14]
+        docs.append((k, " ".join([f"x{j}" for j in range(k % 5)] + part + [f"y{j}" for j in range(k % 4)])))
+    docs.append((99, "nothing in common"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)
+    want = {k: plain_longest(t, items) for k, t in docs}
+    assert {n for n, _, _ in want.values()} >= {*range(11)}
+    for words in (D.BLOCK_WORDS, 40):
+        got = {r.doc_id: (r.longest, r.longest_at, r.longest_item) for r in D.report(d, b, block_words=words).collect()}
+        assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+        for k, (n, at, name) in got.items():
+            part = plain_words(dict(docs)[k])[at : at + n]
+            own = plain_words(dict((str(i), t) for i, t in items).get(name))
+            assert name is None or part in [own[j : j + n] for j in range(len(own))]
+
+
+def test_report_with_many_blocks(spark):
+    docs, items = rows(7, 60)
+    docs += [(700 + k, docs[0][1]) for k in range(20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)
+    want = plain(docs, items)
+    got = D.report(d, b, block_words=12)
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == want
+    one = D.report(d, b)
+    assert sorted(map(str, got.drop("longest_item").collect())) == sorted(map(str, one.drop("longest_item").collect()))
+
+
 def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], ITEM)
     some = spark.createDataFrame([(None, "a short text"), (1, None), (2, ""), (3, "a short text")], ITEM)

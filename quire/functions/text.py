@@ -189,7 +189,17 @@ def weight_delta(pixels: Column, size: Column, total: Column) -> Column:
 
 def page_point(client: Column, origin: Column, extent: Column, pixels: Column, ratio: Column) -> Column:
     """A pointer's coordinate on the page: scaled from the element's extent to its pixels, then by the device's ratio."""
-    return (client - origin) * (pixels / extent) / ratio
+    return (client - origin) * (pixels / ratio / extent)
+
+
+def client_point(page: Column, origin: Column, extent: Column, pixels: Column, ratio: Column) -> Column:
+    """A page's coordinate on the screen: the way back of page_point. Lengths go back with an origin of 0."""
+    return origin + page * (extent / (pixels / ratio))
+
+
+def progress(share: Column) -> Column:
+    """The label of a running upload's average progress; of none: Idle."""
+    return F.when(share.isNull(), "Idle").otherwise(F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%")))
 
 
 def style_prefix(bold: Column, italic: Column) -> Column:

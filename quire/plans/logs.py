@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
@@ -73,9 +75,44 @@ def panel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+# weights w, flags c and kept weights p of the three panels; lists count from 1
+_FOLD = """
+kinds AS (SELECT ['resize', 'collapse', 'resize', 'expand', 'set_sizes'] AS t),
+e AS (SELECT CAST(user_id AS VARCHAR) AS layout_id, t[1 + event_id % 5] AS type, 1 + user_id % 2 + event_id % 2 AS k, CAST((event_id % 9 - 4) / 4.0 AS DOUBLE) AS delta, CAST(1 + event_id % 3 AS DOUBLE) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events, kinds),
+f AS (
+    SELECT DISTINCT layout_id, CAST(0 AS BIGINT) AS n, [2.0::DOUBLE, 3.0::DOUBLE, 1.0::DOUBLE] AS w, [false, false, false] AS c, [NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE] AS p FROM e
+    UNION ALL
+    SELECT f.layout_id, e.n,
+        list_transform([1, 2, 3], lambda i: CASE type
+            WHEN 'resize' THEN CASE WHEN k = 3 THEN w[i] WHEN i = k THEN w[i] + d.d2 WHEN i = k + 1 THEN w[i] - d.d2 ELSE w[i] END
+            WHEN 'collapse' THEN CASE WHEN c[k] THEN w[i] WHEN i = k THEN 0.0::DOUBLE WHEN c[i] OR s.total = 0 THEN w[i] ELSE w[i] + w[k] * w[i] / s.total END
+            WHEN 'expand' THEN CASE WHEN NOT c[k] OR p[k] IS NULL THEN w[i] WHEN i = k THEN p[k] WHEN c[i] THEN w[i] ELSE w[i] + (-p[k]) * w[i] / s.total END
+            ELSE CASE i WHEN 1 THEN size WHEN 3 THEN 2.0::DOUBLE ELSE w[i] END END),
+        list_transform([1, 2, 3], lambda i: CASE WHEN i <> k THEN c[i] WHEN type = 'collapse' THEN true WHEN type = 'expand' AND c[k] AND p[k] IS NOT NULL THEN false ELSE c[i] END),
+        list_transform([1, 2, 3], lambda i: CASE WHEN i <> k THEN p[i] WHEN type = 'collapse' AND NOT c[k] THEN w[k] WHEN type = 'expand' AND c[k] THEN NULL ELSE p[i] END)
+    FROM f JOIN e ON e.layout_id = f.layout_id AND e.n = f.n + 1,
+         LATERAL (SELECT [0.5::DOUBLE, 0.5::DOUBLE, 0.0::DOUBLE] AS least) AS m,
+         LATERAL (SELECT coalesce(list_sum(list_filter(list_transform([1, 2, 3], lambda i: CASE WHEN i <> k AND NOT c[i] THEN w[i] END), lambda x: x IS NOT NULL)), 0) AS total) AS s,
+         LATERAL (SELECT CASE WHEN w[k] + delta < m.least[k] THEN m.least[k] - w[k] ELSE delta END AS d1) AS d0,
+         LATERAL (SELECT CASE WHEN w[k + 1] - d0.d1 < m.least[k + 1] THEN w[k + 1] - m.least[k + 1] ELSE d0.d1 END AS d2) AS d
+),
+last AS (SELECT *, row_number() OVER (PARTITION BY layout_id ORDER BY n DESC) AS r FROM f)"""
+_PANELS = ", ".join(f"round(w[{k}], 6) AS {c}_weight, c[{k}] AS {c}_collapsed, round(p[{k}], 6) AS {c}_kept" for k, c in enumerate("abc", 1))
+
+
+def _flat(panel: Callable[[str], Column], kept: str) -> list[Column]:
+    """The panels' fields as columns."""
+    out = []
+    for c in "abc":
+        p = panel(c)
+        out += [F.round(p["weight"], 6).alias(f"{c}_weight"), p["collapsed"].alias(f"{c}_collapsed"), F.round(p[kept], 6).alias(f"{c}_kept")]
+    return out
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT layout_id, n AS n_events, {_PANELS} FROM last WHERE r = 1")
 def panel_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.folded(panel_events(spark, sf_dir), MODEL)
+    own = panels.folded(panel_events(spark, sf_dir), MODEL)
+    return own.select("layout_id", "n_events", *_flat(lambda c: F.filter("panels", lambda p: p["id"] == c)[0], "pre_collapse_weight"))
 
 
 @query(
@@ -96,9 +133,12 @@ def panel_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("layout_id", "n_events", *[F.col("panels")[k]["weight"].alias(c) for k, c in enumerate("abc")])
 
 
-@query()
+@query(f"WITH RECURSIVE {_FOLD} SELECT layout_id, {_PANELS} FROM last WHERE r = 1")
 def panel_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.stored(panels.folded(panel_events(spark, sf_dir), MODEL))
+    """What is stored as JSON, read back."""
+    own = panels.stored(panels.folded(panel_events(spark, sf_dir), MODEL))
+    state = F.from_json("json", "map<string,struct<weight:double,collapsed:boolean,preCollapseWeight:double>>", {"mode": "FAILFAST"})
+    return own.withColumn("state", state).select("layout_id", *_flat(lambda c: F.col("state")[c], "preCollapseWeight"))
 
 
 @query(
@@ -122,9 +162,20 @@ def pointer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (1 + F.col("event_id") % 11).cast("int")).alias("type"), F.expr("cast(event_id div 7 % 2 as int)").alias("page_index"), hit.alias("hit"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, ['update', 'begin', 'update', 'update', 'update', 'clear', 'update', 'begin', 'relayout', 'update', 'begin'][1 + event_id % 11] AS type,
+        CAST(event_id // 7 % 2 AS INTEGER) AS page_index, event_id % 13 <> 0 AS hit, CAST(event_id % 7 AS INTEGER) AS c, CAST(event_id % 11 AS INTEGER) AS b, event_id % 101 AS o FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS n FROM e WHERE type <> 'update'),
+    s AS (SELECT * FROM r WHERE n = 1 AND type = 'begin' AND hit),
+    u AS (SELECT e.session_id, e.c, e.b, e.o, row_number() OVER (PARTITION BY e.session_id ORDER BY e.seq DESC) AS n FROM e JOIN s ON e.session_id = s.session_id AND e.seq > s.seq AND e.page_index = s.page_index AND e.hit AND e.type = 'update'),
+    x AS (SELECT s.session_id, s.page_index, s.c AS ac, s.b AS ab, s.o AS ao, coalesce(u.c, s.c) AS fc, coalesce(u.b, s.b) AS fb, coalesce(u.o, s.o) AS fo FROM s LEFT JOIN u ON u.session_id = s.session_id AND u.n = 1),
+    y AS (SELECT *, (ac, ab, ao) <= (fc, fb, fo) AS ok FROM x)
+    SELECT session_id, page_index, CASE WHEN ok THEN ac ELSE fc END AS start_chapter, CASE WHEN ok THEN ab ELSE fb END AS start_block, CASE WHEN ok THEN ao ELSE fo END AS start_offset,
+           CASE WHEN ok THEN fc ELSE ac END AS end_chapter, CASE WHEN ok THEN fb ELSE ab END AS end_block, CASE WHEN ok THEN fo ELSE ao END AS end_offset FROM y"""
+)
 def selection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selections.folded(pointer_events(spark, sf_dir))
+    own = selections.folded(pointer_events(spark, sf_dir))
+    return own.select("session_id", "page_index", *[F.col(f"range.{e}.{c}").alias(f"{e}_{c}") for e in ("start", "end") for c in ("chapter", "block", "offset")])
 
 
 @query(
@@ -141,6 +192,23 @@ def viewing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT event_id, round((px - 12.5) * (1200 / 2.0::DOUBLE / ext), 6) AS page_x, round(12.5 + u * (ext / (1200 / 2.0::DOUBLE)), 6) AS client_x, CASE WHEN event_id % 6 = 0 THEN 'Idle' ELSE CAST(floor(share * 100 + 0.5) AS BIGINT) || '%' END AS progress,
+    (event_id % 4 = 1 OR event_id % 5 = 2) AS explicit
+    FROM (SELECT event_id, CAST(event_id % 900 AS DOUBLE) AS px, CAST(user_id AS DOUBLE) AS u, 300.0::DOUBLE + event_id % 7 * 100 AS ext, CAST(event_id % 101 AS DOUBLE) / 100 AS share FROM events)"""
+)
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Screen to page and back, upload labels, and which attributes name a note reference."""
+    e = F.col("event_id")
+    extent, pixels, ratio = 300.0 + e % 7 * 100, F.lit(1200), F.lit(2.0)
+    types = F.element_at(F.array(*map(F.lit, ["footnote", "x noteref", "noterefs", "link biblio"])), (1 + e % 4).cast("int"))
+    roles = F.when(e % 5 == 2, "doc-noteref a").when(e % 5 == 3, "doc-note")
+    return read(spark, sf_dir, "events").select(
+        "event_id", F.round(X.page_point((e % 900).cast("double"), F.lit(12.5), extent, pixels, ratio), 6).alias("page_x"), F.round(X.client_point(F.col("user_id").cast("double"), F.lit(12.5), extent, pixels, ratio), 6).alias("client_x"),
+        X.progress(F.when(e % 6 != 0, (e % 101).cast("double") / 100)).alias("progress"), X.is_explicit_noteref(types, roles).alias("explicit"),
+    )
+
+
 @query(
     """WITH r AS (SELECT conv_id, turn, CAST(turn % 3 AS INTEGER) AS c, turn AS o, length(text) AS p FROM conversations)
     SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, CASE WHEN (c, o) <= (1, p) THEN c ELSE 1 END AS start_chapter, CAST(CASE WHEN (c, o) <= (1, p) THEN o ELSE p END AS BIGINT) AS start_offset, CASE WHEN (c, o) <= (1, p) THEN 1 ELSE c END AS end_chapter FROM r"""

@@ -76,12 +76,12 @@ def backlinks_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS book_id, l_orderkey, l_linenumber, 'n' || l_orderkey AS note_id, 'a' || l_linenumber AS anchor_id, l_returnflag = 'A' AND l_linenumber = 1 AS explicit FROM lineitem),
-    n AS (SELECT CAST(o_orderkey % 50 AS VARCHAR) AS book_id, 'n' || o_orderkey AS note_id, o_orderpriority AS text, 'a' || (1 + o_custkey % 4) AS source_id FROM orders WHERE o_orderstatus = 'F'),
+    n AS (SELECT CAST(o_orderkey % 50 AS VARCHAR) AS book_id, 'n' || o_orderkey AS note_id, o_orderpriority AS text, 'a' || (1 + o_custkey % 4) AS source_id FROM orders),
     m AS (SELECT a.*, n.text, explicit OR coalesce(n.text IS NOT NULL AND CAST(a.book_id AS INTEGER) % 5 <> 0 AND n.source_id = a.anchor_id, false) AS yes FROM a LEFT JOIN n USING (book_id, note_id))
     SELECT book_id, l_orderkey, l_linenumber, yes AS is_noteref, CASE WHEN yes THEN note_id END AS noteref_id, CASE WHEN yes THEN text END AS note_text FROM m"""
 )
 def noteref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     book = lambda c: (F.col(c) % 50).cast("string").alias("book_id")
     anchors = items.select(book("l_orderkey"), "l_orderkey", "l_linenumber", F.concat(F.lit("../text/notes.xhtml#n"), "l_orderkey").alias("href"), F.concat(F.lit("a"), "l_linenumber").alias("anchor_id"), ((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)).alias("explicit"))
     notes = orders.select(book("o_orderkey"), F.concat(F.lit("n"), "o_orderkey").alias("note_id"), F.col("o_orderpriority").alias("text"), F.concat(F.lit("a"), 1 + F.col("o_custkey") % 4).alias("source_id"))

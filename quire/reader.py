@@ -62,6 +62,17 @@ class Reader:
         counts = self.tables["notes"].groupBy("book_id").agg(F.count("*").alias("n"))
         return self.tables["books"].select("book_id").join(counts, "book_id", "left").select("book_id", F.coalesce("n", F.lit(0)).alias("n_notes"))
 
+    def some_notes(self, limit: int = 5) -> DataFrame:
+        """A few notes, whichever come first."""
+        return self.tables["notes"].limit(limit)
+
+    def noteref_count(self) -> DataFrame:
+        """book_id, n_chapters, n_notes, n_noterefs: totals of each book, and its spans that refer to notes."""
+        refs = self.tables["blocks"].groupBy("book_id").agg(F.sum(F.size(F.filter("spans", lambda s: s["noteref_id"].isNotNull()))).cast("bigint").alias("r"))
+        chapters = self.tables["spine"].groupBy("book_id").agg(F.count("*").alias("c"))
+        own = self.note_count().join(refs, "book_id", "left").join(chapters, "book_id", "left")
+        return own.select("book_id", F.coalesce("c", F.lit(0)).alias("n_chapters"), "n_notes", F.coalesce("r", F.lit(0)).alias("n_noterefs"))
+
     @cached_property
     def shaped(self) -> DataFrame:
         return layout.shaped(self.tables["blocks"], self.width)

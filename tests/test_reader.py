@@ -34,6 +34,8 @@ def test_books_and_pages(reader, ids):
     assert narrow[ids["Two"]] > counts[ids["Two"]]
     assert {r.book_id: r.n_notes for r in reader.note_count().collect()} == {ids["One"]: 1, ids["Two"]: 0}
     assert [tuple(r) for r in reader.get_note("to4").collect()] == [(ids["One"], "4 See the map.")]
+    assert {r.book_id: (r.n_chapters, r.n_notes, r.n_noterefs) for r in reader.noteref_count().collect()} == {ids["One"]: (2, 1, 1), ids["Two"]: (1, 0, 0)}
+    assert reader.some_notes().count() == 1 and reader.some_notes(0).count() == 0
     assert reader.page(0).select("book_id").distinct().count() == 2
 
 

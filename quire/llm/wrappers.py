@@ -5,13 +5,15 @@ in which equal neighbours fold into a repeated group. The pages of a host are al
 are merged, mismatches become optional groups, runs of one element become repeated groups, differing texts become open
 slots. The result is a regular expression without unions that every page of the host fits.
 
-A slot of the wrapper is main text by its place: inside an article or main element if the page's shape has one, and inside no
-menu, header, footer, sidebar, notice, advert, form or comment section. Of a host's other shapes the slots whose text
-changes from page to page are kept, and those that never change (and lists made of links) are not. Copies of a page, and
-repeats of a text on one page, say nothing about change: only pages that differ in what may be main text count as several.
+A slot of the wrapper is main text by its place and by what the wrapper says of it. Inside an article or main element, if the
+page's shape has one, and inside no menu, header, footer, sidebar, notice, advert, form or comment section, a slot is kept
+unless it is a constant of the wrapper: one text on all pages of the host, MANY different ones at least, such as a line that asks for
+sharing. Of a host's other shapes the slots whose text changes from page to page are kept, and those that never change (and lists made of links) are not. Copies of a page, and
+repeats of a text on one page, say nothing about change: only pages that differ in what may be main text count as several. A header inside an
+article holds its title and byline, and stays.
 
 Spark does the work in three steps. Each page gives its shape (its own folded wrapper) and shapes are counted by (host,
-shape), within tasks first. The distinct shapes of a host are aligned in salted parts, and the parts' wrappers once more.
+shape), within tasks first. The distinct shapes of a host are aligned in a tree, at most about FAN in one task, level by level.
 The wrapper's decision for each slot of each shape then goes back to the pages, as a broadcast while the decisions are small
 (checked), else by a join that Spark may split on hot hosts.
 
@@ -37,7 +39,10 @@ from quire.llm.shared import slices, written
 
 #: Decisions of at most so many bytes are broadcast.
 BROADCAST = 16 << 20
-SALTS = 16
+#: Shapes or wrappers that one task aligns, about.
+FAN = 32
+#: Different pages that make a constant inside an article part of the template.
+MANY = 5
 #: Shapes that a task counts before it hands them on.
 HELD = 5000
 
@@ -52,11 +57,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 # Words of class names and ids that mark what isn't the article.
 MARKS = set("ad ads adv advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus dfp footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion related recommended replies reply respond share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar warning widget widgets".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+", re.I)
 
 
@@ -135,10 +140,11 @@ def parsed(page: str) -> list:
         at = m.end()
         if m[1] is not None:
             texts.append(m[1])
-        if not m[3]:
+        end_tag, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])  # the last three: a quote is never closed
+        if not name:
             continue
-        name, attributes = m[3].lower(), m[4]
-        if m[2]:
+        name = name.lower()
+        if end_tag:
             if name == "a":
                 link = max(0, link - 1)
             if name in INLINE:
@@ -177,8 +183,8 @@ def parsed(page: str) -> list:
     return root
 
 
-# ---- wrappers: ["#", hash or null, contents, chars, link chars, ids] for slots (contents: the two smallest hashes of its pages'
-# texts, enough to tell one from several), [label, many, optional, children] for elements
+# ---- wrappers: ["#", hash or null, contents, chars, link chars, ids] for slots (contents: the MANY smallest hashes of its pages'
+# texts, enough to tell one from several and many), [label, many, optional, children] for elements
 
 
 def same(a: list, b: list) -> bool:
@@ -208,7 +214,8 @@ def _repeated(parts: list) -> Generator:
             out[-1] = yield _merged(out[-1], part, True)
         elif len(out) >= 3 and same(out[-1], out[-3]) and same(out[-2], part) and part[0] != "#" and out[-1][0] != "#":
             # a b a b: fold the second pair into the first
-            out[-3] = yield _merged(out[-3], out.pop(), True)
+            last = out.pop()
+            out[-2] = yield _merged(out[-2], last, True)
             out[-1] = yield _merged(out[-1], part, True)
         else:
             out.append(part)
@@ -216,8 +223,8 @@ def _repeated(parts: list) -> Generator:
 
 
 def either(a: list[int], b: list[int]) -> list[int]:
-    """The contents of two slots: at most two, whatever the order and the number of copies."""
-    return a if a == b else sorted({*a, *b})[:2]
+    """The contents of two slots: at most MANY, whatever the order and the number of copies."""
+    return a if a == b else sorted({*a, *b})[:MANY]
 
 
 def _merged(a: list, b: list, run: bool = False) -> Generator:
@@ -375,8 +382,11 @@ def decided(wrapper: list) -> set[tuple[int, int]]:
         else:
             path.append((drop or " hidden" in p[0] or dropped(p[0], main > 0), main + is_main(p[0])))
     own = [x for x in slots if not x[1]]
-    keep = {tuple(k) for p, _, main in own if main for k in p[5]}
-    with_main = {tag for tag, _ in keep}
+    inside = [(p, tuple(k)) for p, _, main in own if main for k in p[5]]
+    with_main = {tag for _, (tag, _) in inside}
+    keep = {k for p, k in inside if p[1] is None or len(p[2]) < MANY}
+    bare = with_main - {tag for tag, _ in keep}  # shapes that are nothing but constants keep them
+    keep |= {k for _, k in inside if k[0] in bare}
     # the other shapes' slots; a slot's counts are those of all pages that share it
     others = [(p, ids) for p, _, main in own if not main and (ids := [tuple(k) for k in p[5] if k[0] not in with_main])]
     varies = any(p[1] is None for p, _ in others)
@@ -439,17 +449,36 @@ def _fold(t: pa.Table, column: str) -> list:
 def wrappers(shapes: DataFrame) -> DataFrame:
     """host, expression, keep: the wrapper of each host, and its (shape, slot) pairs of main text as JSON."""
 
-    def part(t: pa.Table) -> pa.Table:
-        tagged = t.set_column(t.column_names.index("shape"), "shape", pa.chunked_array([[dumped(renumbered(loaded(s), k)) for k, s in zip(t.column("shape_id").to_pylist(), t.column("shape").to_pylist())]]))
-        return pa.table({"host": t.column("host")[:1], "shape_id": t.column("shape_id")[:1], "wrapper": pa.chunked_array([[dumped(_fold(tagged, "shape"))]])})
+    def leaf(t: pa.Table) -> pa.Table:
+        tagged = [dumped(renumbered(loaded(x), k)) for k, x in zip(t.column("shape_id").to_pylist(), t.column("wrapper").to_pylist())]
+        return node(t.set_column(t.column_names.index("wrapper"), "wrapper", pa.chunked_array([tagged])))
+
+    def node(t: pa.Table) -> pa.Table:
+        return _row(t, dumped(_fold(t, "wrapper")))
 
     def whole(t: pa.Table) -> pa.Table:
         wrapper = _fold(t, "wrapper")
         return pa.table({"host": t.column("host")[:1], "expression": pa.chunked_array([[expression(wrapper)]]), "keep": pa.chunked_array([[json.dumps(sorted(decided(wrapper)))]])})
 
-    salted = shapes.withColumn("salt", F.pmod("shape_id", F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("host", "salt").applyInArrow(part, "host string, shape_id long, wrapper string")
-    return parts.groupBy("host").applyInArrow(whole, "host string, expression string, keep string")
+    schema = "host string, shape_id long, part long, wrapper string"
+    most = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    parts = 1
+    while parts * FAN < most:
+        parts *= FAN
+    level = shapes.select("host", "shape_id", F.pmod("shape_id", F.lit(parts)).alias("part"), F.col("shape").alias("wrapper"))
+    level = level.groupBy("host", "part").applyInArrow(leaf, schema)
+    while parts > 1:
+        parts //= FAN
+        level = written(level, "part-wrappers").withColumn("part", F.pmod("part", F.lit(parts)))
+        if parts > 1:
+            level = level.groupBy("host", "part").applyInArrow(node, schema)
+    return level.groupBy("host").applyInArrow(whole, "host string, expression string, keep string")
+
+
+def _row(t: pa.Table, wrapper: str) -> pa.Table:
+    """One row for a part's rows: the smallest shape stands for them."""
+    ids = t.column("shape_id").to_pylist()
+    return pa.table({"host": t.column("host")[:1], "shape_id": pa.chunked_array([[min(ids)]], pa.int64()), "part": t.column("part")[:1], "wrapper": pa.chunked_array([[wrapper]], pa.string())})
 
 
 def main_text(root: list, order: list[int], keep: set[int]) -> str:

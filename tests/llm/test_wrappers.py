@@ -96,3 +96,87 @@ def test_deep_pages(spark, monkeypatch):
     assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
     monkeypatch.setattr(W, "BROADCAST", -1)
     assert {k: t for k, (t, _) in texts(spark, rows).items()} == want
+
+
+def alone(html):
+    """The text of a page by the rule for pages without a host: no other page has a say."""
+    root = W.parsed(html)
+    parts, order = W.shape(root)
+    return W.main_text(root, order, {k for _, k in W.decided(W.renumbered(parts, 0))})
+
+
+def test_constants_of_the_wrapper_are_no_article_text(spark):
+    """A line that all articles of a host share: a page alone can't tell it from text, the wrapper can."""
+    html = "<article><h1>Title {0}</h1><div class=body><p>Written text {0}.</p></div><div class=end>Tell your friends.</div></article>"
+    rows = [(k, f"http://f.example/{k}", html.format(k)) for k in range(W.MANY)]
+    few = [(100 + k, f"http://g.example/{k}", html.format(k)) for k in range(W.MANY - 1)]
+    copies = [(200 + k, f"http://h.example/{k}", html.format(1)) for k in range(2 * W.MANY)]
+    bare = [(300 + k, f"http://i.example/{k}", f"<article><p>Closed.</p></article><div>{k}</div>") for k in range(2 * W.MANY)]
+    got = texts(spark, rows + few + copies + bare)
+    for k in range(W.MANY):
+        assert alone(rows[k][2]) == f"Title {k} Written text {k}. Tell your friends."
+        assert got[k][0] == f"Title {k} Written text {k}."
+    assert all(got[100 + k][0].endswith("Tell your friends.") for k in range(W.MANY - 1))
+    assert all(got[200 + k][0] == alone(html.format(1)) for k in range(2 * W.MANY))
+    assert all(got[300 + k][0] == "Closed." for k in range(2 * W.MANY))
+
+
+def plain_texts(rows):
+    """Brute force: all pages of a host aligned one after the other, in the order of their shapes."""
+    by_host, out = {}, {}
+    for page_id, url, html in rows:
+        by_host.setdefault(url.split("/")[2], []).append((page_id, html))
+    for pages in by_host.values():
+        wrapper, own = None, {}
+        for page_id, html in pages:
+            root = W.parsed(html)
+            parts, order = W.shape(root)
+            own[page_id] = root, order, W.shape_id(parts)
+        first = {}
+        for page_id, html in pages:
+            parts, tag = W.shape(W.parsed(html))[0], own[page_id][2]
+            first[tag] = W.summed(first[tag], parts) if tag in first else parts
+        for tag in sorted(first):
+            parts = W.renumbered(first[tag], tag)
+            wrapper = parts if wrapper is None else W.aligned(wrapper, parts)
+        keep = W.decided(wrapper)
+        for page_id, (root, order, tag) in own.items():
+            out[page_id] = W.main_text(root, order, {k for t, k in keep if t == tag})
+    return out
+
+
+def varied(n, seed=2):
+    import random
+
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        host = rng.choice("jkl")
+        body = "".join(rng.choice([f"<p>text {rng.randrange(99)}</p>", "<ul><li>one</li><li>two</li></ul>", f"<blockquote>q{k}</blockquote>", "<div class=ad>buy</div>", "<section><p>same</p></section>"]) for _ in range(rng.randrange(1, 6)))
+        body = f"<article>{body}</article>" if host == "j" else f"<div>{body}</div>" if host == "k" or k % 2 else f"<main>{body}</main>"
+        rows.append((k, f"http://{host}.example/{k}", f"<body><div class=top>Home</div>{body}<footer>f</footer></body>"))
+    return rows
+
+
+def test_trees_of_parts_match_brute_force(spark, monkeypatch):
+    rows = varied(60)
+    want = plain_texts(rows)
+    assert {k: t for k, (t, _) in texts(spark, rows).items()} == want  # one part a host
+    few = varied(14, 5)
+    want = {k: t for k, (t, _) in texts(spark, few).items()}
+    monkeypatch.setattr(W, "FAN", 2)  # many levels: other orders of alignment, the same decisions here
+    assert {k: t for k, (t, _) in texts(spark, few).items()} == want
+
+
+def test_odd_markup(spark):
+    cases = {1: ('<article><p class="x>one</p><p>two</p></article>', "one two"), 2: ("<article><p>a\u200bb</p><p>c\u00a0 d</p></article>", "a\u200bb c d"), 3: ("<article><header>By A.</header><p>x</p></article>", "By A. x")}
+    got = texts(spark, [(k, None, h) for k, (h, _) in cases.items()])
+    assert {k: t for k, (t, _) in got.items()} == {k: w for k, (_, w) in cases.items()}
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://a.example/1", "<article>x</article>")], PAGE)
+    for c in ("host", "shape_id", "shape", "slots", "text", "part", "wrapper", "keep"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    assert [tuple(r) for r in W.extracted(pages).collect()] == [(1, "http://a.example/1", "x", 1)]

@@ -198,8 +198,8 @@ def test_long_addresses():
 @pytest.mark.parametrize("unit", ["a.a.", "1 2-", "ab:c::", "a@b.", "+1 2", "token= ", "AB12 "])
 def test_long_lines_take_linear_time(unit):
     start = time.process_time()
-    S.rewriter(KEY)(unit * (200_000 // len(unit)) + " 1")
-    assert time.process_time() - start < 10
+    S.rewriter(KEY)(unit * (60_000 // len(unit)) + " 1")
+    assert time.process_time() - start < 5
 
 
 def test_month_first_dates_come_back():

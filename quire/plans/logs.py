@@ -97,7 +97,8 @@ f AS (
          LATERAL (SELECT CASE WHEN w[k + 1] - d0.d1 < m.least[k + 1] THEN w[k + 1] - m.least[k + 1] ELSE d0.d1 END AS d2) AS d
 ),
 last AS (SELECT *, row_number() OVER (PARTITION BY layout_id ORDER BY n DESC) AS r FROM f)"""
-_PANELS = ", ".join(f"round(w[{k}], 6) AS {c}_weight, c[{k}] AS {c}_collapsed, round(p[{k}], 6) AS {c}_kept" for k, c in enumerate("abc", 1))
+_round = "CASE WHEN round({0}, 6) = 0 THEN 0.0::DOUBLE ELSE round({0}, 6) END".format  # zero without a sign, as Spark rounds
+_PANELS = ", ".join(f"{_round(f'w[{k}]')} AS {c}_weight, c[{k}] AS {c}_collapsed, {_round(f'p[{k}]')} AS {c}_kept" for k, c in enumerate("abc", 1))
 
 
 def _flat(panel: Callable[[str], Column], kept: str) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, pieces, pseudonyms, quality, simhash
-from quire.llm.shared import table, written
+from quire.llm.shared import clear, table, tables_written, written
 
 #: Models and SimHash have no SQL: the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -46,7 +46,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`. Once a stage's rows are written, its own tables and its predecessor's rows go."""
+    docs, mark = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear(spark, mark, keep=1)
     return docs

@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline as C
 from quire.llm import decontaminate, pseudonyms, quality, queries
-from quire.llm.shared import table
+from quire.llm.shared import table, tables_written
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +39,9 @@ def test_stages_follow_each_other(spark):
         before = spark.createDataFrame(after.collect(), after.schema)
     got = C.STAGES[-1][1](spark, before, SF).collect()
     assert len(got) == 2 * before.count() and all(r.round_trip for r in got)
+    mark = tables_written()
     run = C.run(spark, SF).select("doc_id", "rank", "ids_xxh64").collect()
+    assert tables_written() == mark + 1  # only the last stage's rows are left
     assert sorted(map(tuple, run)) == sorted((r.doc_id, r.rank, r.ids_xxh64) for r in got)
 
 

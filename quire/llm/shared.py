@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.tables import shared_folder
 
 #: Rows of a table of short keys that may be broadcast (each under 64 bytes).
 BROADCAST_ROWS = 200_000
@@ -19,18 +19,6 @@ HOT_SHARE = 400
 _TABLES: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session that names none gets a fresh one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession

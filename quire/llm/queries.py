@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language, neighbours, pieces, pseudonyms, quality, sharding, simhash, token_counts, wrappers
+from quire.llm import decontaminate, language, neighbours, pieces, pseudonyms, quality, sharding, simhash, token_counts, url_filter, vector_codes, whitening, wrappers
 from quire.llm.shared import table
 
 
@@ -55,8 +55,20 @@ def op10_suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ngram_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.default_model(spark))
+
+
+def op13_vantage_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_wrapper_text, op2_byte_language, op3_simhash_bktree, op4_quality_machine, op5_piece_samples, op6_byte_shards, op7_pseudonyms, op8_hilbert_neighbours, op9_length_histogram, op10_suffix_matches]
+    own = [op1_wrapper_text, op2_byte_language, op3_simhash_bktree, op4_quality_machine, op5_piece_samples, op6_byte_shards, op7_pseudonyms, op8_hilbert_neighbours, op9_length_histogram, op10_suffix_matches, op11_lobpcg_whitening, op12_ngram_url_filter, op13_vantage_codes]
     return {f.__name__: f for f in own}
 
 
@@ -101,6 +113,38 @@ FROM tokens t LEFT JOIN words_hit h USING (doc_id) LEFT JOIN items_hit i USING (
 """
 
 
+_NEAREST = """assigned{k} AS (
+    SELECT rid, p, arg_min(e, (d, e)) AS e, min(d) AS d
+    FROM (SELECT a.rid, a.p, b.e, list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM parts a JOIN book{k} b USING (p))
+    GROUP BY rid, p
+)"""
+_MOVED = """means{k} AS (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v
+    FROM (
+        SELECT a.p, a.e, u.j, sum(u.c)::BIGINT AS s, count(*) AS n FROM assigned{k} a JOIN parts USING (rid, p), LATERAL (SELECT unnest(parts.v) AS c, generate_subscripts(parts.v, 1) AS j) u
+        GROUP BY a.p, a.e, u.j
+    ) GROUP BY p, e
+), book{next} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (p, e))"""
+OP13 = (
+    """
+WITH kept AS (
+    SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: CAST(floor(greatest(least(256 * CAST(c AS DOUBLE), 16777216), -16777216)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS (SELECT rid, p, list_slice(x, p * len(x) // 16 + 1, (p + 1) * len(x) // 16) AS v FROM kept, range(16) AS t(p)),
+firsts AS (
+    SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, x FROM (SELECT vec_id, min(x) AS x FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT 64)
+), book0 AS (SELECT p, e, list_slice(x, p * len(x) // 16 + 1, (p + 1) * len(x) // 16) AS v FROM firsts, range(16) AS t(p)),
+"""
+    + ", ".join(_NEAREST.format(k=k) + (", " + _MOVED.format(k=k, next=k + 1) if k < 2 else "") for k in range(3))
+    + """, coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM assigned2 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), digest
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the other operators: learned models, XXH64 and CRC-32, tokenizers, ciphers, markup."""
-    return {"op8_hilbert_neighbours": OP8, "op10_suffix_matches": OP10}
+    return {"op8_hilbert_neighbours": OP8, "op10_suffix_matches": OP10, "op13_vantage_codes": OP13}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +17,14 @@ BROADCAST_ROWS = 200_000
 #: A key with more than one in so many rows joins as a broadcast: there are fewer such keys than this.
 HOT_SHARE = 400
 
-_TABLES: list[str] = []
+#: The tables that this thread has written: queries in other threads of the driver keep theirs.
+_OWN = threading.local()
+
+
+def _tables() -> list[str]:
+    if not hasattr(_OWN, "tables"):
+        _OWN.tables = []
+    return _OWN.tables
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -24,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    _tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,19 +45,20 @@ def grown(frames: Iterable[DataFrame], name: str) -> DataFrame | None:
         df.write.mode("append").parquet(path)
     if spark is None:
         return None
-    _TABLES.append(path)
+    _tables().append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def tables_written() -> int:
-    """A mark for clear(): how many tables there are."""
-    return len(_TABLES)
+    """A mark for clear(): how many tables this thread has written."""
+    return len(_tables())
 
 
 def clear(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the tables written since the mark but for the last `keep`. What was read from them must be written or done with."""
-    gone = _TABLES[since : len(_TABLES) - keep]
-    del _TABLES[since : len(_TABLES) - keep]
+    """Deletes the tables that this thread wrote since the mark but for the last `keep`. What was read from them must be written or done with."""
+    own = _tables()
+    gone = own[since : len(own) - keep]
+    del own[since : len(own) - keep]
     for path in gone:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -117,7 +117,7 @@ class UrlModel:
     def __init__(self, bias: float):
         self.bias, self.w = bias, np.zeros(BUCKETS)
 
-    def fit(self, urls: list[tuple[str, str]], y: np.ndarray, epochs: int = EPOCHS, step: float = 1.0, decay: float = 1e-4) -> UrlModel:
+    def fit(self, urls: list[tuple[str, str]], y: np.ndarray, epochs: int = EPOCHS, step: float = 1.0, decay: float = 1e-5) -> UrlModel:
         """Gradient descent over all rows; both classes weigh what they count."""
         cols = [columns_of(h, p) for h, p in urls]
         lengths = np.array([len(c) for c in cols])

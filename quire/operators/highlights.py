@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
 from quire.functions import text as X
+from quire.operators.layout import place
 from quire.operators.search import in_ranges
 from quire.schema import POINT
 
@@ -31,7 +32,8 @@ def pages_with(highlights: DataFrame, lines: DataFrame) -> DataFrame:
 def segments(met: DataFrame) -> DataFrame:
     """The boxes of each highlight on each line: clipped clusters, merged while the next begins where the last one ends.
 
-    met: the clusters of the lines that a highlight touches, as touched() gives them, or cut from the lines it gives.
+    met: the clusters that a highlight touches, as touched() gives them, with any place on their line. Of lines whose clusters follow each other, line_segments
+    gives the same without looking at each of them.
     """
     r = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"))
     met = met.withColumnsRenamed({"start": "c_start", "end": "c_end"})
@@ -48,6 +50,20 @@ def segments(met: DataFrame) -> DataFrame:
     return run.groupBy(*line, "segment").agg(F.min("left").alias("x"), F.first("y").alias("y"), (F.max_by("right", "cluster_index") - F.min("left")).alias("width"), F.first("height").alias("height"))
 
 
+def line_segments(met: DataFrame) -> DataFrame:
+    """The boxes of each highlight on each line, whose clusters follow each other: from the left of the first cluster in the range to the right of the last one.
+
+    met: the cells (layout.cells) of the lines that a highlight touches. An end inside a cluster snaps down to its start, so that none is cut.
+    """
+    r = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"))
+    a, b = R.clipped(r, F.col("chapter_index"), F.col("block_index"), F.col("start").cast("bigint"), F.element_at("ends", -1).cast("bigint"))
+    met = met.withColumn("_a", a).withColumn("_b", b).filter("_a < _b")
+    before = lambda at: F.size(F.filter("ends", lambda e: e <= F.col(at)))
+    met = met.withColumn("_i", before("_a")).withColumn("_j", before("_b")).filter("_i < _j")
+    left = place(F.col("rights"), F.col("_i"), F.col("font_size"))
+    return met.select("book_id", "range_id", "page_index", "line_index", F.lit(0).cast("bigint").alias("segment"), left.alias("x"), "y", (place(F.col("rights"), F.col("_j"), F.col("font_size")) - left).alias("width"), "height")
+
+
 def boxes(segments: DataFrame) -> DataFrame:
     """The bounding box of each highlight on each page."""
     own = segments.groupBy("book_id", "range_id", "page_index").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("_r"), F.max(F.col("y") + F.col("height")).alias("_b"))

@@ -1,23 +1,35 @@
-"""Hit-testing: points on pages to notes and text offsets."""
+"""Hit-testing: points on pages to notes and text offsets.
+
+Lines and fragments are listed by the bands of their page that a point of theirs may lie in, so a point meets what its band lists instead of all of its page.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import text as X
+from quire.functions.metrics import EM
+from quire.operators.layout import MARGIN, place
 from quire.operators.order import first_by
 
+#: Height of a band of a page.
+BAND = 64.0
+_PAGE = ["book_id", "page_index"]
+
+
+def band(y: Column) -> Column:
+    return F.floor(y / BAND).cast("int")
+
 
 def anchors(points: DataFrame, fragments: DataFrame) -> DataFrame:
     """point_id, noteref_id, x, y, width, height: the first fragment (by line, then fragment) under each point that refers to a note, else nulls.
 
     points: point_id, book_id, page_index, px, py. fragments: book_id, page_index, line_index, frag_index, x, y, width, height, noteref_id.
     """
-    linked = fragments.filter("noteref_id is not null")
-    met = points.join(linked, ["book_id", "page_index"]).filter("py between y and y + height and px between x and x + width")
+    linked = fragments.filter("noteref_id is not null").withColumn("_band", F.explode(F.sequence(band(F.col("y")), band(F.col("y") + F.col("height")))))
+    met = points.withColumn("_band", band(F.col("py"))).join(linked, [*_PAGE, "_band"]).filter("py between y and y + height and px between x and x + width")
     first = first_by(met, ["point_id"], F.struct("line_index", "frag_index"), "noteref_id", "x", "y", "width", "height")
     return points.select("point_id").join(first, "point_id", "left")
 
@@ -28,28 +40,40 @@ def noterefs(points: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def lines_under(points: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line for each point: the first that holds it, else the one whose middle is nearest (the first of equals)."""
-    met = points.join(lines, ["book_id", "page_index"])
+    """The line for each point: the first that holds it, else the one whose middle is nearest (the first of equals).
+
+    A line is listed in the bands that it reaches and in those where its middle may be the nearest, which end half-way to the middles beside it. The first and
+    the last line of a page stand for all bands beyond them: points go to the bands between these.
+    """
+    middle = F.col("y") + F.col("height") * 0.5
+    order = Window.partitionBy(*_PAGE).orderBy("_m", "line_index")  # the lines of one page
+    own = lines.withColumn("_m", middle).withColumn("_up", F.lag("_m").over(order)).withColumn("_down", F.lead("_m").over(order))
+    top = F.least(F.col("y"), F.coalesce((F.col("_up") + F.col("_m")) / 2, F.col("y")))
+    bottom = F.greatest(F.col("y") + F.col("height"), F.coalesce((F.col("_down") + F.col("_m")) / 2, F.col("y") + F.col("height")))
+    # a little wider, so that rounding of a half-way point loses no line
+    own = own.withColumn("_first", band(top - 1e-3)).withColumn("_last", band(bottom + 1e-3)).drop("_m", "_up", "_down")
+    ends = own.groupBy(*_PAGE).agg(F.min("_first").alias("_top"), F.max("_last").alias("_bottom"))
+    own = own.withColumn("_band", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    asked = points.join(ends, _PAGE).withColumn("_band", F.greatest(F.least(band(F.col("py")), F.col("_bottom")), F.col("_top"))).drop("_top", "_bottom")
+    met = asked.join(own, [*_PAGE, "_band"])
     held = F.col("py").between(F.col("y"), F.col("y") + F.col("height"))
     away = F.abs(F.col("y") + F.col("height") * 0.5 - F.col("py"))
     order = F.struct((~held).cast("int").alias("a"), F.when(held, 0.0).otherwise(away).alias("b"), F.col("line_index").alias("c"))
-    rest = [c for c in lines.columns if c not in ("book_id", "page_index")]
-    return first_by(met, ["point_id", "book_id", "page_index", "px", "py"], order, *rest)
+    rest = [c for c in lines.columns if c not in _PAGE]
+    return first_by(met, ["point_id", *_PAGE, "px", "py"], order, *rest)
 
 
 def offsets(points: DataFrame, lines: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """point_id, chapter_index, block_index, offset: the text position under or nearest to each point.
+    """point_id, chapter_index, block_index, offset: the text position under or nearest to each point, always an end of a grapheme cluster.
 
-    A point's line is found first; cut (lines to clusters) sees these lines only. On its line the cluster that holds the
-    point counts, before the first one the first, and in any gap the last.
+    A point's line is found first; cut (lines to their cells, see layout.cells) sees these lines only. On its line the cluster that holds the
+    point counts, before the first one the first, and behind the last one the last; its nearer end is the position.
     """
-    line = ["book_id", "page_index", "line_index"]
-    on = lines_under(points, lines)
-    own = F.struct("cluster_index", "chapter_index", "block_index", "text", "x", "width", "start")
-    cells = cut(on.select(*lines.columns).distinct()).groupBy(*line).agg(F.array_sort(F.collect_list(own)).alias("cells"))
-    near = on.select("point_id", *line, "px").join(cells, line)
-    inside = F.get(F.filter("cells", lambda c: F.col("px").between(c["x"], c["x"] + c["width"])), F.lit(0))
-    outside = F.when(F.col("px") < F.col("cells")[0]["x"], F.col("cells")[0]).otherwise(F.element_at("cells", -1))
-    near = near.select("point_id", "px", F.coalesce(inside, outside).alias("c"))
-    share = F.when(F.col("c.width") > 0, F.least(F.greatest(F.col("px") - F.col("c.x"), F.lit(0.0)), F.col("c.width")) / F.col("c.width")).otherwise(0.0)
-    return near.select("point_id", "c.chapter_index", "c.block_index", (F.col("c.start") + X.byte_offset_at_fraction(F.col("c.text"), share)).alias("offset"))
+    own = cut(lines_under(points, lines))
+    size = F.col("font_size").cast("double")
+    own = own.withColumn("_k", F.size(F.filter("rights", lambda r: MARGIN + r * size / EM < F.col("px"))))
+    own = own.withColumn("_k", F.when(F.col("px") < MARGIN, F.lit(0)).otherwise(F.least(F.col("_k"), F.size("rights") - 1)))
+    left, right = place(F.col("rights"), F.col("_k"), F.col("font_size")), place(F.col("rights"), F.col("_k") + 1, F.col("font_size"))
+    later = (right > left) & ((F.least(F.greatest(F.col("px") - left, F.lit(0.0)), right - left) / (right - left)) >= 0.5)
+    before = F.when(F.col("_k") == 0, F.col("start")).otherwise(F.get("ends", F.col("_k") - 1))
+    return own.select("point_id", "chapter_index", "block_index", F.when(later, F.get("ends", F.col("_k"))).otherwise(before).cast("bigint").alias("offset"))

@@ -1,8 +1,7 @@
-"""Shaping and pagination.
+"""Pages of shaped text.
 
-Shaping breaks a block's text into lines of a page's content width. Advances come from a table of widths by font size; the
-default is a fixed pitch of PITCH times the size, since the original typeface's metrics are not part of this engine. Lines
-take whole characters. All heights add up in 32-bit floats, as page breaks depend on their rounding.
+quire.operators.shaping wraps blocks into lines; here they are placed on pages, and their clusters and styled fragments are found. All heights add up in
+32-bit floats, as page breaks depend on their rounding; widths are whole thousandths of the font size.
 
 Pagination is an ordered fold, but it falls apart by chapter: every chapter that has lines starts a new page, so chapters
 fold independently (a group is one chapter) and pages are numbered by counting those of earlier chapters. A chapter that
@@ -19,27 +18,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.functions.metrics import EM
+from quire.operators import shaping
 
 # Fixed values of the page.
 WIDTH, HEIGHT, MARGIN = 600.0, 800.0, 50.0
 BLOCK_SPACE, HEADING_SPACE = 8.0, 16.0
-PITCH = 0.5
 
-
-def columns(size: Column, width: float = WIDTH) -> Column:
-    """Characters on a line."""
-    return F.greatest(F.floor((width - 2 * MARGIN) / (size * PITCH)), F.lit(1)).cast("int")
+KEYS = ["book_id", "chapter_index", "block_index"]
 
 
 def shaped(blocks: DataFrame, width: float = WIDTH) -> DataFrame:
-    """A row for each block: n_lines, line_height, is_heading, columns and the text without carriage returns."""
-    size = X.font_size(F.col("kind"), F.col("level"))
-    cols = columns(size, width)
-    own = blocks.withColumn("text", X.without_returns(F.col("text"))).withColumn("font_size", size).withColumn("columns", cols)
-    return own.select(
-        "book_id", "chapter_index", "block_index", "text", "font_size", "columns", (F.col("kind") == "heading").alias("is_heading"),
-        F.ceil(F.char_length("text") / F.col("columns")).cast("int").alias("n_lines"), X.line_height(F.col("font_size")).alias("line_height"),
-    )
+    """A row for each block, with its lines at a page's content width; see shaping.shaped."""
+    return shaping.shaped(blocks, width - 2 * MARGIN)
+
+
+def place(rights: Column, k: Column, size: Column) -> Column:
+    """Where the k-th cluster of a line (from 0) begins; at k = all of them, where the last one ends."""
+    units = F.when(k == 0, F.lit(0)).otherwise(F.get(rights, k - 1))
+    return MARGIN + units * size.cast("double") / EM
 
 
 def _folded(height: float):
@@ -84,7 +81,7 @@ def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
     carried = F.sum(F.when(~F.col("full"), F.col("fall")).otherwise(0.0)).over(Window.partitionBy("book_id", "run").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1))
     # the window looks at chapters without lines too, so they go only after it
     starts = chapters.withColumn("start", MARGIN + F.coalesce(carried, F.lit(0.0))).filter("full").select("book_id", "chapter_index", "start")
-    rows = shaped.drop("text").join(starts, ["book_id", "chapter_index"])
+    rows = shaped.join(starts, ["book_id", "chapter_index"])
     rows = rows.select("book_id", "chapter_index", "block_index", "is_heading", "n_lines", "line_height", "start")
     lines = rows.repartition("book_id", "chapter_index").sortWithinPartitions("book_id", "chapter_index", "block_index").mapInArrow(_folded(height), LINES)
     pages = lines.groupBy("book_id", "chapter_index").agg((F.max("page") + 1).alias("n"))
@@ -100,16 +97,23 @@ def page_counts(books: DataFrame, lines: DataFrame) -> DataFrame:
     return books.select("book_id").distinct().join(n, "book_id", "left").select("book_id", F.coalesce("n", F.lit(1)).cast("bigint").alias("n_pages"))
 
 
-def clusters(lines: DataFrame, shaped: DataFrame, *also: str) -> DataFrame:
-    """A row for each character of each line: x, width, and its byte offsets in the block's text; with these columns of the lines also."""
-    own = lines.join(shaped.select("book_id", "chapter_index", "block_index", "text", "font_size", "columns"), ["book_id", "chapter_index", "block_index"])
-    first = F.col("line_in_block") * F.col("columns")
-    own = own.withColumn("_head", X.byte_length(F.substring("text", F.lit(1), first))).withColumn("_line", F.substring("text", first + 1, F.col("columns")))
-    own = own.select(*also, "book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "font_size", "_head", "_line", F.posexplode(F.split("_line", "")).alias("cluster_index", "text"))
-    own = own.filter("text <> ''")
-    advance = F.col("font_size").cast("double") * PITCH
-    start = F.col("_head") + X.byte_length(F.substring("_line", F.lit(1), F.col("cluster_index")))
-    return own.select(*also, "book_id", "page_index", "line_index", "chapter_index", "block_index", "y", "height", "cluster_index", "text", (MARGIN + F.col("cluster_index") * advance).alias("x"), advance.alias("width"), start.alias("start"), (start + X.byte_length(F.col("text"))).alias("end"))
+def cells(lines: DataFrame, shaped: DataFrame) -> DataFrame:
+    """lines with font_size and what shaping says of each: start, parts, ends, rights, runs."""
+    own = shaped.filter("n_lines > 0").select(*KEYS, "font_size", F.posexplode("lines").alias("line_in_block", "_l")).select(*KEYS, "line_in_block", "font_size", "_l.*")
+    return lines.join(own, [*KEYS, "line_in_block"])
+
+
+def clusters(lines: DataFrame, shaped: DataFrame) -> DataFrame:
+    """A row for each grapheme cluster of each line: x, width, and its byte offsets in the block's text."""
+    own = cells(lines, shaped)
+    rest = [c for c in own.columns if c not in ("parts", "ends", "rights", "runs", "start")]
+    own = own.select(*rest, "start", "ends", "rights", F.posexplode("parts").alias("cluster_index", "text"))
+    k, size = F.col("cluster_index"), F.col("font_size")
+    x = place(F.col("rights"), k, size)
+    return own.select(
+        *[c for c in rest if c not in ("font_size", "line_in_block")], "cluster_index", "text", x.alias("x"), (place(F.col("rights"), k + 1, size) - x).alias("width"),
+        F.when(k == 0, F.col("start")).otherwise(F.get("ends", k - 1)).cast("bigint").alias("start"), F.get("ends", k).cast("bigint").alias("end"),
+    )
 
 
 def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:
@@ -123,19 +127,18 @@ def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:
     return own.withColumn("width", F.coalesce(after, F.col("_end")) - F.col("x")).drop("_end")
 
 
-def span_fragments(lines: DataFrame, shaped: DataFrame, spans: DataFrame) -> DataFrame:
-    """The parts of each line that are of one span, with its style; x and width by the pitch of the block's size."""
-    keys = ["book_id", "chapter_index", "block_index"]
-    own = spans.withColumn("_n", F.char_length(X.without_returns(F.col("text")))).filter("_n > 0")
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("span_index").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    own = own.select(*keys, "span_index", before.alias("_from"), "_n", "bold", "italic", "superscript", "noteref_id", F.col("font_size").cast("double").alias("_size"))
-    met = lines.join(shaped.select(*keys, "text", "font_size", "columns"), keys).join(own, keys)
-    first = F.col("line_in_block") * F.col("columns")
-    a, b = F.greatest(F.col("_from"), first), F.least(F.col("_from") + F.col("_n"), first + F.col("columns"))
-    met = met.withColumn("_a", a.cast("int")).withColumn("_b", b.cast("int")).filter("_a < _b")
-    place = Window.partitionBy("book_id", "page_index", "line_index").orderBy("span_index")
-    advance = F.col("font_size").cast("double") * PITCH
-    return met.select(
-        "book_id", "page_index", "line_index", (F.row_number().over(place) - 1).alias("frag_index"), *keys[1:], F.substring("text", F.col("_a") + 1, F.col("_b") - F.col("_a")).alias("text"),
-        (MARGIN + (F.col("_a") - first) * advance).alias("x"), "y", ((F.col("_b") - F.col("_a")) * advance).alias("width"), "height", "baseline", F.col("_size").alias("font_size"), "bold", "italic", "superscript", "noteref_id",
+def span_fragments(lines: DataFrame, shaped: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """The parts of each line that are of one span, in the block's size; with the span's style where spans are given (keys, span_index, ..)."""
+    own = cells(lines, shaped).withColumn("_n", F.size("runs"))
+    own = own.select("*", F.posexplode("runs").alias("frag_index", "_r"))
+    first = F.when(F.col("frag_index") == 0, F.lit(0)).otherwise(F.get("runs", F.col("frag_index") - 1)["until"])
+    own = own.withColumn("_a", first).withColumn("_b", F.col("_r.until"))
+    x = place(F.col("rights"), F.col("_a"), F.col("font_size"))
+    own = own.select(
+        *KEYS, "page_index", "line_index", "frag_index", F.col("_r.span").alias("span_index"), F.array_join(F.slice("parts", F.col("_a") + 1, F.col("_b") - F.col("_a")), "").alias("text"),
+        x.alias("x"), "y", (place(F.col("rights"), F.col("_b"), F.col("font_size")) - x).alias("width"), "height", "baseline",
     )
+    if spans is None:
+        return own
+    style = spans.select(*KEYS, "span_index", "font_size", "bold", "italic", "superscript", "noteref_id")
+    return own.join(style, [*KEYS, "span_index"]).drop("span_index")

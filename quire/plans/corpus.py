@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import metrics
 from quire.operators.order import ordinal
 
 
@@ -33,15 +34,56 @@ blocks AS (
     FROM (SELECT book_id, chapter_index, string_split(text, chr(10)) AS lines FROM chapters), unnest(range(1, len(lines) + 1)) AS t(k)
 )"""
 
-#: Shaped blocks in SQL (`shaped`), and their lines placed on pages (`lines`), as a recursion over each chapter's lines.
-SHAPED = (
-    BLOCKS
-    + """,
-shaped AS (
-    SELECT book_id, chapter_index, block_index, text, is_heading, size AS font_size, cols, CAST(ceil(length(text) / cols) AS INTEGER) AS n_lines, CAST(size * CAST(1.4 AS FLOAT) AS FLOAT) AS line_height
-    FROM (SELECT *, kind = 'heading' AS is_heading, CAST(CASE WHEN kind = 'heading' THEN 28 ELSE 12 END AS FLOAT) AS size, CASE WHEN kind = 'heading' THEN 35 ELSE 83 END AS cols FROM blocks)
+def _widths() -> str:
+    """The advance table as SQL lists: characters, regular and bold widths."""
+    own = [chr(k) for k in range(32, 127)] + [*metrics.OTHERS]
+    quoted = ", ".join("'" + c.replace("'", "''") + "'" for c in own)
+    return f"SELECT unnest([{quoted}]) AS c, unnest({[metrics.advance(c) for c in own]}) AS regular, unnest({[metrics.advance(c, True) for c in own]}) AS bold"
+
+
+def shaped_sql(bold: str = "is_heading") -> str:
+    """The tables of shaped blocks, where `bold` says which characters (k, from 1) of a block are."""
+    return rf"""{BLOCKS},
+widths AS MATERIALIZED ({_widths()}),
+sized AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY book_id, chapter_index, block_index) AS bid, book_id, chapter_index, block_index, text, is_heading, size, regexp_extract_all(text, '(?s).\p{{M}}*') AS parts,
+           CAST(500 * 1000 // size AS INTEGER) AS room
+    FROM (SELECT *, kind = 'heading' AS is_heading, CASE WHEN kind = 'heading' THEN 28 ELSE 12 END AS size FROM blocks)
+),
+glyphs AS MATERIALIZED (
+    SELECT g.bid, g.k, g.c, g.c IN (' ', chr(9)) AS blank, sum(CASE WHEN {bold} THEN coalesce(w.bold, v.bold, 556) ELSE coalesce(w.regular, v.regular, 556) END) OVER (PARTITION BY g.bid ORDER BY g.k)::INTEGER AS edge
+    FROM (SELECT bid, is_heading, k, parts[k] AS c FROM sized, unnest(range(1, len(parts) + 1)) AS t(k)) g LEFT JOIN widths w ON w.c = g.c LEFT JOIN widths v ON v.c = strip_accents(g.c)
+),
+opportunities AS (
+    SELECT bid, k - 1 AS m, coalesce(inked, 0) AS v FROM (
+        SELECT bid, k, c, blank, lag(c) OVER o AS p, lag(c, 2) OVER o AS pp, max(CASE WHEN NOT blank THEN edge END) OVER (PARTITION BY bid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inked
+        FROM glyphs WINDOW o AS (PARTITION BY bid ORDER BY k)
+    ) WHERE (p IN (' ', chr(9)) AND NOT blank) OR (p IN ('-', '–') AND regexp_matches(c, '^\pL') AND pp NOT IN (' ', chr(9), '-', '–'))
+    UNION ALL SELECT bid, max(k), coalesce(max(CASE WHEN NOT blank THEN edge END), 0) FROM glyphs GROUP BY bid
+),
+arrays AS MATERIALIZED (
+    SELECT s.bid, s.room, g.edges, o.ms, o.vs FROM sized s JOIN (SELECT bid, list(edge ORDER BY k) AS edges FROM glyphs GROUP BY bid) g USING (bid)
+    JOIN (SELECT bid, list(m ORDER BY m) AS ms, list(v ORDER BY m) AS vs FROM opportunities GROUP BY bid) o USING (bid)
+),
+wrapped AS MATERIALIZED (
+    WITH RECURSIVE w AS (
+        SELECT bid, -1 AS line, 0::BIGINT AS s, 0::BIGINT AS e FROM arrays
+        UNION ALL
+        SELECT w.bid, w.line + 1, w.e, CASE WHEN f.j > 0 AND a.ms[f.j] > w.e THEN a.ms[f.j] ELSE greatest(len(list_filter(a.edges, lambda x: x <= f.until)), w.e + 1) END
+        FROM w JOIN arrays a ON a.bid = w.bid AND w.e < len(a.edges),
+             LATERAL (SELECT CASE WHEN w.e = 0 THEN 0 ELSE a.edges[w.e] END + a.room AS until, len(list_filter(a.vs, lambda x: x <= CASE WHEN w.e = 0 THEN 0 ELSE a.edges[w.e] END + a.room)) AS j) AS f
+    ) SELECT bid, line AS line_in_block, s, e FROM w WHERE line >= 0
+),
+wraps AS (SELECT s.book_id, s.chapter_index, s.block_index, s.size, s.parts, w.line_in_block, w.s, w.e, [0] || list_transform(list_slice(a.edges, w.s + 1, w.e), lambda x: x - CASE WHEN w.s = 0 THEN 0 ELSE a.edges[w.s] END) AS edges FROM wrapped w JOIN sized s USING (bid) JOIN arrays a USING (bid)),
+shaped AS MATERIALIZED (
+    SELECT book_id, chapter_index, block_index, text, is_heading, CAST(size AS FLOAT) AS font_size, CAST(coalesce(n, 0) AS INTEGER) AS n_lines, CAST(CAST(size AS FLOAT) * CAST(1.4 AS FLOAT) AS FLOAT) AS line_height
+    FROM sized LEFT JOIN (SELECT bid, count(*) AS n FROM wrapped GROUP BY bid) USING (bid)
 )"""
-)
+
+
+#: Shaped blocks in SQL (`shaped`), their lines (`wraps`: clusters s to e of the block, edges from the line's left), and the lines placed on pages (`lines`), as a recursion
+#: over each chapter's lines. A line ends at the last place after spaces, or after a hyphen before a letter, that fits; else between clusters.
+SHAPED = shaped_sql()
 LINES = (
     SHAPED
     + """,

@@ -9,7 +9,7 @@ from quire.functions import ranges as R
 from quire.functions import text as X
 from quire.operators import highlights as H
 from quire.operators import hits, layout, search
-from quire.plans.corpus import BLOCKS, LINES, SHAPED, blocks, read
+from quire.plans.corpus import BLOCKS, LINES, SHAPED, blocks, read, shaped_sql
 from quire.plans.registry import query
 from quire.tables import written
 
@@ -50,7 +50,8 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.shaped(blocks(spark, sf_dir))
+    """The blocks' lines, written once for a query's several uses."""
+    return written(layout.shaped(blocks(spark, sf_dir)))
 
 
 @query(
@@ -65,7 +66,46 @@ def search_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SHAPED} SELECT book_id, chapter_index, block_index, font_size, is_heading, n_lines, line_height FROM shaped")
 def shaped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shaped(spark, sf_dir).select("book_id", "chapter_index", "block_index", "font_size", "is_heading", "n_lines", "line_height")
+    return layout.shaped(blocks(spark, sf_dir)).drop("lines")
+
+
+@query(
+    f"""WITH {SHAPED} SELECT book_id, chapter_index, block_index, line_in_block, CAST(strlen(array_to_string(parts[:s], '')) AS BIGINT) AS start_offset, array_to_string(parts[s + 1 : e], '') AS text,
+    round(edges[e - s + 1] * size::DOUBLE / 1000, 3) AS width FROM wraps"""
+)
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's lines: where they begin, their texts and how wide they are, hanging spaces included."""
+    own = layout.shaped(blocks(spark, sf_dir))
+    own = own.select("book_id", "chapter_index", "block_index", "font_size", F.posexplode("lines").alias("line_in_block", "l"))
+    width = F.element_at("l.rights", -1) * F.col("font_size").cast("double") / 1000
+    return own.select("book_id", "chapter_index", "block_index", "line_in_block", F.col("l.start").cast("bigint").alias("start_offset"), F.array_join("l.parts", "").alias("text"), F.round(width, 3).alias("width"))
+
+
+#: Blocks as three spans: bold until a character, italic until another, then plain.
+_BOLD, _ITALIC = 150, 300
+
+
+@query(
+    f"""WITH {shaped_sql(f"k <= {_BOLD}")}, cut AS (
+        SELECT *, greatest(s, f) AS a, least(e, t) AS b FROM wraps, (VALUES (0, 0, {_BOLD}), (1, {_BOLD}, {_ITALIC}), (2, {_ITALIC}, 1000000000)) AS spans(span_index, f, t) WHERE greatest(s, f) < least(e, t)
+    )
+    SELECT book_id, chapter_index, block_index, line_in_block, CAST(row_number() OVER (PARTITION BY book_id, chapter_index, block_index, line_in_block ORDER BY span_index) - 1 AS INTEGER) AS frag_index,
+           array_to_string(parts[a + 1 : b], '') AS text, round(50.0::DOUBLE + edges[a - s + 1] * size::DOUBLE / 1000, 3) AS x, round((edges[b - s + 1] - edges[a - s + 1]) * size::DOUBLE / 1000, 3) AS width,
+           span_index = 0 AS bold, span_index = 1 AS italic FROM cut"""
+)
+def styled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments of lines whose blocks have three spans, each of its own style."""
+    t = F.col("text")
+    part = lambda text, bold, italic: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(italic).alias("italic"))
+    spans = F.array(part(F.substring(t, 1, _BOLD), True, False), part(F.substring(t, _BOLD + 1, _ITALIC - _BOLD), False, True), part(F.substring(t, F.lit(_ITALIC + 1), F.greatest(F.char_length(t) - _ITALIC, F.lit(0))), False, False))
+    own = blocks(spark, sf_dir).withColumn("spans", spans)
+    shaped = written(layout.shaped(own))
+    unplaced = shaped.filter("n_lines > 0").select("book_id", "chapter_index", "block_index", F.explode(F.sequence(F.lit(0), F.col("n_lines") - 1)).alias("line_in_block"))
+    lines = unplaced.withColumns({"page_index": F.lit(0), "line_index": F.col("line_in_block"), "y": F.lit(0.0), "height": F.lit(0.0), "baseline": F.lit(0.0)})
+    styles = own.select("book_id", "chapter_index", "block_index", F.posexplode("spans").alias("span_index", "s")).select("book_id", "chapter_index", "block_index", "span_index", "s.bold", "s.italic")
+    styles = styles.withColumns({"font_size": F.lit(12.0), "superscript": F.lit(False), "noteref_id": F.lit(None).cast("string")})
+    out = layout.span_fragments(lines, shaped, styles)
+    return out.select("book_id", "chapter_index", "block_index", F.col("line_index").alias("line_in_block"), "frag_index", "text", F.round("x", 3).alias("x"), F.round("width", 3).alias("width"), "bold", "italic")
 
 
 @query(f"WITH {LINES} SELECT *, CAST(y + height * CAST(0.75 AS FLOAT) AS FLOAT) AS baseline FROM lines")
@@ -133,19 +173,18 @@ def page_contains_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped, ranges = _shaped(spark, sf_dir), _ranges(spark, sf_dir)
-    # only lines that a highlight touches are cut into clusters, and each for its highlight
-    return H.segments(layout.clusters(H.touched(ranges, layout.paginated(shaped)), shaped, "range_id", "r_start", "r_end"))
+    return H.line_segments(layout.cells(H.touched(ranges, layout.paginated(shaped)), shaped))
 
 
-# with a fixed pitch a highlighted line is one segment: from the first to the last character of the line in the range
+# from the first to the last cluster of the line in the range; characters are clusters here
 _SEGMENTS = f"""
 met AS (
-    SELECT r.book_id, r.range_id, x.page_index, x.line_index, x.y, x.height, s.font_size, s.cols,
-           greatest(0, CASE WHEN x.chapter_index = r.sc AND x.block_index = r.sb THEN s_chars - x.line_in_block * s.cols ELSE 0 END) AS a,
-           least(least(s.cols, length(s.text) - x.line_in_block * s.cols), CASE WHEN x.chapter_index = r.ec AND x.block_index = r.eb THEN e_chars - x.line_in_block * s.cols ELSE 1000000 END) AS b
-    FROM ranges r JOIN lines x ON r.book_id = x.book_id AND {_TOUCH} JOIN shaped s ON s.book_id = x.book_id AND s.chapter_index = x.chapter_index AND s.block_index = x.block_index
+    SELECT r.book_id, r.range_id, x.page_index, x.line_index, x.y, x.height, w.size, w.edges, w.s,
+           greatest(w.s, CASE WHEN x.chapter_index = r.sc AND x.block_index = r.sb THEN s_chars ELSE 0 END) AS a, least(w.e, CASE WHEN x.chapter_index = r.ec AND x.block_index = r.eb THEN e_chars ELSE w.e END) AS b
+    FROM ranges r JOIN lines x ON r.book_id = x.book_id AND {_TOUCH} JOIN wraps w ON w.book_id = x.book_id AND w.chapter_index = x.chapter_index AND w.block_index = x.block_index AND w.line_in_block = x.line_in_block
 ),
-segments AS (SELECT book_id, range_id, page_index, line_index, 50.0::DOUBLE + a * font_size * 0.5::DOUBLE AS x, y, (b - a) * font_size * 0.5::DOUBLE AS width, height FROM met WHERE a < b)"""
+placed_at AS (SELECT *, 50.0::DOUBLE + edges[a - s + 1] * size::DOUBLE / 1000 AS x, 50.0::DOUBLE + edges[b - s + 1] * size::DOUBLE / 1000 AS x_end FROM met WHERE a < b),
+segments AS (SELECT book_id, range_id, page_index, line_index, x, y, x_end - x AS width, height FROM placed_at)"""
 
 
 @query(f"WITH {LINES}, {_RANGES}, {_SEGMENTS} SELECT book_id, range_id, page_index, line_index, round(x, 3) AS x, y, round(width, 3) AS width, height FROM segments")
@@ -163,19 +202,24 @@ def selection_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("book_id", "range_id", "page_index", F.round("x", 3).alias("x"), "y", F.round("width", 3).alias("width"), "height")
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("point_id"), F.concat(F.lit("src"), F.col("event_id") % 20).alias("book_id"), (F.col("user_id") % 7).cast("int").alias("page_index"),
+def _points(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Events as points, over all pages of all books that have any."""
+    pages = lines.groupBy("book_id").agg((F.max("page_index") + 1).alias("n"))
+    own = read(spark, sf_dir, "events").withColumn("book_id", F.concat(F.lit("src"), F.col("event_id") % 20)).join(F.broadcast(pages) if pages.count() <= _FEW_BOOKS else pages, "book_id")
+    return own.select(
+        F.col("event_id").alias("point_id"), "book_id", ((F.col("event_id") * 7 + F.col("user_id")) % F.col("n")).cast("int").alias("page_index"),
         (F.col("event_id") * 37 % 620).cast("double").alias("px"), (F.col("event_id") * 53 % 810).cast("double").alias("py"),
     )
 
 
-def _pointed(lines: DataFrame, points: DataFrame) -> DataFrame:
-    """Lines of pages that have points."""
-    return lines.join(points.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi")
-
-
-_POINTS = "points AS (SELECT event_id AS point_id, 'src' || (event_id % 20) AS book_id, user_id % 7 AS page_index, CAST(event_id * 37 % 620 AS DOUBLE) AS px, CAST(event_id * 53 % 810 AS DOUBLE) AS py FROM events)"
+#: Books whose page counts are sent to all tasks at most.
+_FEW_BOOKS = 100_000
+_POINTS = """
+n_pages AS (SELECT book_id, max(page_index) + 1 AS n FROM lines GROUP BY book_id),
+points AS (
+    SELECT event_id AS point_id, book_id, (event_id * 7 + user_id) % n AS page_index, CAST(event_id * 37 % 620 AS DOUBLE) AS px, CAST(event_id * 53 % 810 AS DOUBLE) AS py
+    FROM events JOIN n_pages ON book_id = 'src' || (event_id % 20)
+)"""
 _UNDER = """
 near AS (
     SELECT p.point_id, p.px, l.*, row_number() OVER (PARTITION BY p.point_id ORDER BY CASE WHEN p.py BETWEEN l.y AND l.y + l.height THEN 0 ELSE 1 END, CASE WHEN p.py BETWEEN l.y AND l.y + l.height THEN 0 ELSE abs(l.y + l.height * 0.5::DOUBLE - p.py) END, l.line_index) AS n
@@ -185,27 +229,23 @@ near AS (
 
 @query(
     f"""WITH {LINES}, {_POINTS}, {_UNDER}, cut AS (
-        SELECT n.point_id, n.chapter_index, n.block_index, n.px, n.line_in_block * s.cols AS before, s.text, s.font_size * 0.5::DOUBLE AS adv, least(s.cols, length(s.text) - n.line_in_block * s.cols) AS len
-        FROM near n JOIN shaped s USING (book_id, chapter_index, block_index) WHERE n.n = 1
+        SELECT n.point_id, n.chapter_index, n.block_index, n.px, w.s, w.e, w.size::DOUBLE AS size, w.parts, w.edges
+        FROM near n JOIN wraps w USING (book_id, chapter_index, block_index, line_in_block) WHERE n.n = 1
     ), cell AS (
-        SELECT *, CASE WHEN px < 50 THEN 0 WHEN px > 50 + len * adv THEN len - 1 ELSE least(len - 1, greatest(0, CAST(ceil((px - 50) / adv) AS INTEGER) - 1)) END AS k FROM cut
-    )
-    SELECT point_id, chapter_index, block_index, CAST(strlen(substring(text, 1, before + k + CASE WHEN greatest(0, least(adv, px - 50 - k * adv)) / adv >= 0.5 THEN 1 ELSE 0 END)) AS BIGINT) AS "offset" FROM cell"""
+        SELECT *, CASE WHEN px < 50 THEN 0 ELSE least(len(list_filter(edges[2:], lambda x: 50 + x * size / 1000 < px)), len(edges) - 2) END AS k FROM cut
+    ), side AS (SELECT *, 50 + edges[k + 1] * size / 1000 AS l, 50 + edges[k + 2] * size / 1000 AS r FROM cell)
+    SELECT point_id, chapter_index, block_index, CAST(strlen(array_to_string(parts[:s + k + CASE WHEN r > l AND least(greatest(px - l, 0), r - l) / (r - l) >= 0.5 THEN 1 ELSE 0 END], '')) AS BIGINT) AS "offset" FROM side"""
 )
 def hit_test_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = _shaped(spark, sf_dir)
-    points = _points(spark, sf_dir)
-    lines = _pointed(layout.paginated(shaped), points)
-    return hits.offsets(points, lines, lambda own: layout.clusters(own, shaped))
-
-
-_FRAGMENT = "CASE WHEN block_index % 3 = 1 THEN 'd' || chapter_index || '.' || block_index END"
+    lines = written(layout.paginated(shaped))
+    return hits.offsets(_points(spark, sf_dir, lines), lines, lambda own: layout.cells(own, shaped))
 
 
 @query(
     f"""WITH {LINES}, {_POINTS}, fragments AS (
-        SELECT l.book_id, l.page_index, l.line_index, l.y, l.height, 50.0::DOUBLE AS x, least(s.cols, length(s.text) - l.line_in_block * s.cols) * s.font_size * 0.5::DOUBLE AS width, 'd' || l.chapter_index || '.' || l.block_index AS noteref_id
-        FROM lines l JOIN shaped s USING (book_id, chapter_index, block_index) WHERE l.block_index % 3 = 1
+        SELECT l.book_id, l.page_index, l.line_index, l.y, l.height, 50.0::DOUBLE AS x, w.edges[w.e - w.s + 1] * w.size::DOUBLE / 1000 AS width, 'd' || l.chapter_index || '.' || l.block_index AS noteref_id
+        FROM lines l JOIN wraps w USING (book_id, chapter_index, block_index, line_in_block) WHERE l.block_index % 3 = 1
     ), met AS (
         SELECT p.point_id, f.noteref_id, row_number() OVER (PARTITION BY p.point_id ORDER BY f.line_index) AS n
         FROM points p JOIN fragments f ON p.book_id = f.book_id AND p.page_index = f.page_index AND p.py BETWEEN f.y AND f.y + f.height AND p.px BETWEEN f.x AND f.x + f.width
@@ -213,13 +253,11 @@ _FRAGMENT = "CASE WHEN block_index % 3 = 1 THEN 'd' || chapter_index || '.' || b
     SELECT p.point_id, m.noteref_id FROM points p LEFT JOIN met m ON p.point_id = m.point_id AND m.n = 1"""
 )
 def hit_test_noteref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third block refers to a note."""
     shaped = _shaped(spark, sf_dir)
-    points = _points(spark, sf_dir)
-    lines = _pointed(layout.paginated(shaped), points)
-    own = lines.join(shaped.select("book_id", "chapter_index", "block_index", "font_size", "columns", F.char_length("text").alias("n")), ["book_id", "chapter_index", "block_index"])
-    width = F.least(F.col("columns"), F.col("n") - F.col("line_in_block") * F.col("columns")) * F.col("font_size").cast("double") * 0.5
-    own = own.select("book_id", "page_index", "line_index", F.lit(0).alias("frag_index"), F.lit(50.0).alias("x"), "y", width.alias("width"), "height", F.expr(_FRAGMENT).alias("noteref_id"))
-    return hits.noterefs(points, own)
+    lines = written(layout.paginated(shaped))
+    named = F.when(F.col("block_index") % 3 == 1, F.concat(F.lit("d"), F.col("chapter_index"), F.lit("."), F.col("block_index")))
+    return hits.noterefs(_points(spark, sf_dir, lines), layout.span_fragments(lines, shaped).withColumn("noteref_id", named))
 
 
 @query(

@@ -14,6 +14,7 @@ from quire.operators import highlights as H
 from quire.operators import hits, layout, search, selections
 from quire.schema import POINT
 from quire.sources import epub
+from quire.tables import written
 
 HIGHLIGHTS = f"book_id string, start {POINT}, end {POINT}"
 TABLES = ("books", "spine", "notes", "note_backlinks", "blocks")
@@ -75,11 +76,11 @@ class Reader:
 
     @cached_property
     def shaped(self) -> DataFrame:
-        return layout.shaped(self.tables["blocks"], self.width)
+        return written(layout.shaped(self.tables["blocks"], self.width))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return layout.paginated(self.shaped, self.height)
+        return written(layout.paginated(self.shaped, self.height))
 
     @cached_property
     def fragments(self) -> DataFrame:
@@ -111,7 +112,7 @@ class Reader:
 
     def hit_test(self, points: DataFrame) -> DataFrame:
         near = self.lines.join(points.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi")
-        return hits.offsets(points, near, lambda own: layout.clusters(own, self.shaped))
+        return hits.offsets(points, near, lambda own: layout.cells(own, self.shaped))
 
     # ---- selections
 
@@ -149,7 +150,7 @@ class Reader:
         return H.boxes(self._segments(own.drop("page_index"), lines)).drop("range_id")
 
     def _segments(self, ranges: DataFrame, lines: DataFrame) -> DataFrame:
-        return H.segments(layout.clusters(H.touched(ranges, lines), self.shaped, "range_id", "r_start", "r_end"))
+        return H.line_segments(layout.cells(H.touched(ranges, lines), self.shaped))
 
     # ---- highlights: book_id, start, end
 

@@ -1,15 +1,17 @@
 """Pages of shaped text: the chapter-wise fold against one global fold in 32-bit floats."""
 
-import math
 import random
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
-from quire.operators import layout
+from quire.functions import metrics
+from quire.operators import hits, layout, shaping
 
 BLOCKS = "book_id string, chapter_index int, block_index int, kind string, level int, text string"
 f32 = np.float32
+R_POINT = "struct<chapter:int,block:int,offset:bigint>"
 SIZES = {1: 28.0, 2: 24.0, 3: 20.0, 4: 16.0, 5: 14.0, 6: 12.0, None: 12.0}
 
 
@@ -46,6 +48,163 @@ def test_chapters_begin_pages(spark):
     assert counts == {"b": 2} and sorted(r.page_index for r in lines.collect()) == [0, 1]
 
 
+def broken(text, bold, limit):
+    """The lines of a text, each as its clusters: the longest head that may end there and fits, one cluster after the other."""
+    clusters = regex.findall(r"\X", text)
+    wide = lambda part: sum(min(sum(metrics.advance(c, bold) for c in own), 1000 if own[0] in "👩🇩" else 10**9) for own in part)
+    spaces, hyphens = " \t\n", "-–"
+
+    def may(k):
+        if k == len(clusters) or clusters[k - 1] == "\n":
+            return True
+        before, after = clusters[k - 1], clusters[k]
+        if before in spaces and after not in spaces:
+            return True
+        if before in hyphens and after[0].isalpha() and k > 1 and clusters[k - 2] not in spaces + hyphens:
+            return True
+        han = lambda c: "一" <= c[0] <= "鿿" or c[0] == "👩"
+        return (han(before) or han(after)) and before not in spaces + "(" and after not in spaces + ").,!"
+
+    out, at = [], 0
+    while at < len(clusters):
+        end = None
+        for k in range(at + 1, len(clusters) + 1):
+            part = clusters[at:k]
+            while part and part[-1] in spaces:
+                part = part[:-1]
+            if wide(part) > limit:
+                break
+            if may(k):
+                end = k
+                if clusters[k - 1] == "\n":
+                    break
+        if end is None:
+            end = at + 1
+            while end < len(clusters) and wide(clusters[at : end + 1]) <= limit:
+                end += 1
+        out.append(clusters[at:end])
+        at = end
+    return out
+
+
+def cut(text, bold, limit):
+    parts, ends, widths, _, firsts = shaping.wrapped(text, [(len(text), bold)], limit)
+    bounds = [*firsts.tolist(), len(parts)]
+    return [parts[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def test_lines_are_those_of_a_breaker_that_tries_each_place():
+    rng = random.Random(3)
+    pieces = ["a", "word", "well-known", "12-13", "-", "–x", " ", "  ", "\t", "漢字", "漢", "e\u0301", "(", ").", ",", "unbreakablyverylong", "👩\u200d👩\u200d👧", "🇩🇪", "\n", "ß", "W"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 25)))
+        for limit, bold in ((900, False), (2500, True), (6000, False)):
+            assert cut(text, bold, limit) == broken(text, bold, limit), (text, limit)
+    assert cut("", False, 5) == [] and ["".join(x) for x in cut("   ", False, 1)] == ["   "]
+
+
+def test_clusters_are_graphemes():
+    rng = random.Random(5)
+    own = ["a", "é", "e", "\u0301", "\u0308", " ", "漢", "\u200d", "👩", "👧", "🏽", "🇩", "🇪", "한", "ᄒ", "ᅡ", "ᆫ", "\ufe0f", "☺", "\n", "x", "क", "ि"]
+    for _ in range(5000):
+        text = "".join(rng.choice(own) for _ in range(rng.randrange(0, 12)))
+        if regex.search(r"[\u200dि\u0301\u0308\ufe0f🏽]\u200d", text):
+            continue  # a joiner after marks of several kinds
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = [*metrics.cluster_starts(metrics.lookup(points)[0]).tolist(), len(text)]
+        assert [text[a:b] for a, b in zip(at, at[1:])] == regex.findall(r"\X", text), ascii(text)
+
+
+def test_advances():
+    assert [metrics.advance(c) for c in "iW é漢\u0301ß"] == [222, 944, 278, 556, 1000, 0, 611] and metrics.advance("i", True) == 278
+    assert all(len(face.split()) == 95 for face in (metrics.REGULAR, metrics.BOLD))
+
+
+def test_faces_and_sizes_make_pages(spark):
+    """Bold text is wider than upright or oblique text of the same letters; spans of one block take their own widths."""
+    spans = lambda *own: [(t, b, i) for t, b, i in own]
+    text = "number of minimum hulls " * 40
+    rows = [("p", 0, 0, "paragraph", None, text, spans((text, False, False))), ("i", 0, 0, "paragraph", None, text, spans((text, False, True))), ("b", 0, 0, "paragraph", None, text, spans((text, True, False))),
+            ("m", 0, 0, "paragraph", None, "abcdef", spans(("ab", True, False), ("c\rd", False, False), ("ef", True, True)))]
+    df = spark.createDataFrame(rows, BLOCKS + ", spans array<struct<text:string,bold:boolean,italic:boolean>>").withColumn("text", F.array_join(F.transform("spans", lambda s: s["text"]), ""))
+    got = {r.book_id: r for r in layout.shaped(df).collect()}
+    assert got["p"].n_lines == got["i"].n_lines < got["b"].n_lines
+    line = got["m"].lines[0]
+    want = np.cumsum([metrics.advance(c, c in "abef") for c in "abcdef"]).tolist()
+    assert line.rights == want and [(r.span, r.until) for r in line.runs] == [(0, 2), (1, 4), (2, 6)]
+    own = layout.shaped(df)
+    parts = layout.span_fragments(layout.paginated(own).filter("book_id = 'm'"), own).orderBy("frag_index").collect()
+    assert [r.text for r in parts] == ["ab", "cd", "ef"] and [r.x for r in parts] == [50 + 12 * w / 1000 for w in (0, want[1], want[3])]
+    assert all(abs(a.x + a.width - b.x) < 1e-9 for a, b in zip(parts, parts[1:]))
+
+
+def test_a_line_of_ten_megabytes(spark):
+    """Linear in the text, for lines, clusters under a point and all."""
+    text = "x" * 3_000_000 + "some words, " * 600_000
+    own = layout.shaped(frame(spark, [paragraph(0, 0, text)]))
+    (row,) = own.select("n_lines").collect()
+    assert row.n_lines > 80_000
+
+
+def test_hits_and_highlights_keep_graphemes(spark):
+    from quire.operators import highlights
+
+    text = "e\u0301a👩\u200d👧 🇩🇪z"
+    own = layout.shaped(frame(spark, [paragraph(0, 0, text)]))
+    lines = layout.paginated(own)
+    edges = {len("".join(regex.findall(r"\X", text)[:k]).encode()) for k in range(8)}
+    points = spark.createDataFrame([(k, "b", 0, 40.0 + k * 0.5, 55.0) for k in range(200)], "point_id long, book_id string, page_index int, px double, py double")
+    got = {r.point_id: r.offset for r in hits.offsets(points, lines, lambda x: layout.cells(x, own)).collect()}
+    assert set(got.values()) == edges and [got[k] for k in sorted(got)] == sorted(got.values())
+    n = len(text.encode())
+    ends = [(0, a, b) for a in range(n + 1) for b in range(a, n + 1)]
+    ranges = spark.createDataFrame([("b", a * 100 + b, (0, 0, a), (0, 0, b)) for _, a, b in ends], f"book_id string, range_id long, start {R_POINT}, end {R_POINT}")
+    segments = {r.range_id: r for r in highlights.line_segments(layout.cells(highlights.touched(ranges, lines), own)).collect()}
+    cells = layout.clusters(lines, own).orderBy("cluster_index").collect()
+    assert [c.text for c in cells] == regex.findall(r"\X", text)
+    for _, a, b in ends:
+        snap = lambda o: max(e for e in edges if e <= o)
+        inside = [c for c in cells if snap(a) <= c.start and c.end <= snap(b)]
+        if not inside:
+            assert a * 100 + b not in segments
+        else:
+            s = segments[a * 100 + b]
+            assert abs(s.x - inside[0].x) < 1e-9 and abs(s.x + s.width - inside[-1].x - inside[-1].width) < 1e-9
+
+
+def test_line_segments_are_merged_clusters(spark):
+    """The same boxes from the ends of lines as from all their clusters."""
+    from quire.operators import highlights
+
+    rng = random.Random(8)
+    own = layout.shaped(frame(spark, [paragraph(c, b, "Some words here, " * rng.randrange(0, 30)) for c in range(3) for b in range(6)]))
+    lines = layout.paginated(own)
+    point = lambda: (rng.randrange(3), rng.randrange(6), rng.randrange(300))
+    ranges = spark.createDataFrame([("b", k, *sorted([point(), point()])) for k in range(40)], f"book_id string, range_id long, start {R_POINT}, end {R_POINT}")
+    got = sorted((r.range_id, r.page_index, r.line_index, round(r.x, 6), round(r.width, 6), r.y) for r in highlights.line_segments(layout.cells(highlights.touched(ranges, lines), own)).collect())
+    want = sorted((r.range_id, r.page_index, r.line_index, round(r.x, 6), round(r.width, 6), r.y) for r in highlights.segments(highlights.touched(ranges, layout.clusters(lines, own))).collect())
+    assert got == want and len(got) > 100
+
+
+def test_points_meet_the_lines_of_their_band(spark):
+    """Nearest lines through bands of the page as by comparing all lines, on a page that is mostly empty too."""
+    rng = random.Random(9)
+    lines, rows = [], []
+    for page in range(6):
+        y = 50.0
+        for k in range(rng.randrange(1, 25)):
+            h = rng.choice([16.8, 39.2])
+            lines.append(("b", page, k, float(f32(y)), float(f32(h))))
+            y += h + rng.choice([0, 8, 8, 200, 640])
+        rows += [(len(rows) + j, "b", page, 60.0, rng.choice([rng.uniform(-90, y + 300), lines[-1][3], lines[-1][3] + lines[-1][4] / 2])) for j in range(60)]
+    near = hits.lines_under(spark.createDataFrame(rows, "point_id long, book_id string, page_index int, px double, py double"), spark.createDataFrame(lines, "book_id string, page_index int, line_index int, y float, height float"))
+    got = {r.point_id: r.line_index for r in near.collect()}
+    for i, _, page, _, py in rows:
+        own = [line for line in lines if line[1] == page]
+        order = lambda line: (0, 0, line[2]) if line[3] <= py <= f32(f32(line[3]) + f32(line[4])) else (1, abs(line[3] + line[4] * 0.5 - py), line[2])
+        assert got[i] == min(own, key=order)[2]
+
+
 def global_fold(rows):
     """(page, line on the page, chapter, block, line of the block, y) of each line of a book."""
     y, page, on, out, chapter = f32(50), 0, 0, [], 0
@@ -58,7 +217,7 @@ def global_fold(rows):
         h = f32(size * f32(1.4))
         if kind == "heading":
             y = f32(y + f32(16))
-        for k in range(math.ceil(len(text.replace("\r", "")) / max(1, int(500 / (size * 0.5))))):
+        for k in range(len(broken(text.replace("\r", ""), bool(level), 500_000 // int(size)))):
             if f32(y + h) > f32(750) and on:
                 page, on, y = page + 1, 0, f32(50)
             out.append((page, on, c, b, k, float(y)))

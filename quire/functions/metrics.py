@@ -114,37 +114,42 @@ def lookup(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds[points], advances[points]
 
 
-def cluster_starts(kinds: np.ndarray) -> np.ndarray:
-    """Where grapheme clusters begin: at no mark, joiner or selector that follows a character, inside no joined picture, pair of regional letters or syllable."""
+def _has(flag: int, at: np.ndarray) -> np.ndarray:
+    return (at & np.uint32(flag)) != 0
+
+
+def cluster_starts(kinds: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Which characters begin a grapheme cluster: those that are fresh (the first of a text), and no mark, joiner or selector that follows a character,
+    nothing inside a joined picture, a pair of regional letters or a syllable."""
     n = len(kinds)
-    if not n:
-        return np.zeros(0, np.int64)
-    has = lambda flag, at=kinds: (at & np.uint32(flag)) != 0
-    before, after = kinds[:-1], kinds[1:]
     begins = np.ones(n, bool)
-    begins[1:] = ~(has(EXTEND, after) & ~has(CONTROL, before))
-    # the character that carries the marks before each place
-    carrier = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    begins[1:] &= ~(has(JOINER, before) & has(PICTURE, after) & has(PICTURE, kinds[carrier[:-1]]))
-    regional = has(REGIONAL)
+    if n < 2:
+        return begins
+    before, after = kinds[:-1], kinds[1:]
+    if _has(EXTEND, kinds).any():
+        begins[1:] = ~(_has(EXTEND, after) & ~_has(CONTROL, before)) | fresh[1:]
+        # the character that carries the marks before each place
+        carrier = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        begins[1:] &= ~(_has(JOINER, before) & _has(PICTURE, after) & _has(PICTURE, kinds[carrier[:-1]]))
+    regional = _has(REGIONAL, kinds)
     if regional.any():
-        first = np.maximum.accumulate(np.where(regional & np.r_[True, ~regional[:-1]], np.arange(n), 0))
+        first = np.maximum.accumulate(np.where(regional & (np.r_[True, ~regional[:-1]] | fresh), np.arange(n), 0))
         begins &= ~(regional & ((np.arange(n) - first) % 2 == 1))
-    begins[1:] &= ~(has(LEAD, before) & has(LEAD | VOWEL | PAIR | TRIPLE, after) | has(PAIR | VOWEL, before) & has(VOWEL | TAIL, after) | has(TRIPLE | TAIL, before) & has(TAIL, after))
-    return np.flatnonzero(begins)
+    if _has(LEAD | VOWEL | TAIL, kinds).any():
+        begins[1:] &= ~(_has(LEAD, before) & _has(LEAD | VOWEL | PAIR | TRIPLE, after) | _has(PAIR | VOWEL, before) & _has(VOWEL | TAIL, after) | _has(TRIPLE | TAIL, before) & _has(TAIL, after))
+    return begins | fresh
 
 
-def opportunities(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of clusters, given by their first characters' kinds: before which a line may end, and before which it must (both without the end).
+def opportunities(kinds: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of clusters, given by their first characters' kinds: before which a line may end inside a text, and before which it must.
 
     A line may end after spaces, after a hyphen between a character and a letter, and beside ideographs; before no closing and after no opening mark,
     and not beside characters that hold their neighbours. It must end after a line end.
     """
-    has = lambda flag, at: (at & np.uint32(flag)) != 0
     before, after = kinds[:-1], kinds[1:]
-    spaced = has(SPACE, before) & ~has(SPACE, after)
-    inside = np.r_[False, ~has(SPACE | HYPHEN, kinds[:-2])] if len(kinds) > 1 else np.zeros(0, bool)
-    hyphen = has(HYPHEN, before) & has(LETTER, after) & inside
-    beside = has(IDEOGRAPH, before | after) & ~has(SPACE, after) & ~has(CLOSING | GLUE, after) & ~has(OPENING | GLUE | SPACE, before)
-    must = has(NEWLINE, before)
-    return np.flatnonzero(spaced | hyphen | beside | must) + 1, np.flatnonzero(must) + 1
+    spaced = _has(SPACE, before) & ~_has(SPACE, after)
+    inside = np.r_[False, ~_has(SPACE | HYPHEN, kinds[:-2]) & ~fresh[1:-1]][: len(after)]
+    hyphen = _has(HYPHEN, before) & _has(LETTER, after) & inside
+    beside = _has(IDEOGRAPH, before | after) & ~_has(SPACE, after) & ~_has(CLOSING | GLUE, after) & ~_has(OPENING | GLUE | SPACE, before)
+    must = _has(NEWLINE, before) & ~fresh[1:]
+    return np.flatnonzero((spaced | hyphen | beside | must) & ~fresh[1:]) + 1, np.flatnonzero(must) + 1

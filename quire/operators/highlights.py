@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
 from quire.functions import text as X
-from quire.operators.layout import place
+from quire.functions.metrics import EM
+from quire.operators import shaping
+from quire.operators.layout import MARGIN, place
 from quire.operators.search import in_ranges
 from quire.schema import POINT
 
@@ -53,15 +55,22 @@ def segments(met: DataFrame) -> DataFrame:
 def line_segments(met: DataFrame) -> DataFrame:
     """The boxes of each highlight on each line, whose clusters follow each other: from the left of the first cluster in the range to the right of the last one.
 
-    met: the cells (layout.cells) of the lines that a highlight touches. An end inside a cluster snaps down to its start, so that none is cut.
+    met: the lines that a highlight touches, with their texts (layout.with_text). Only lines that hold an end of a highlight are cut into clusters; an end
+    inside a cluster snaps down to its start, so that none is cut.
     """
     r = F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"))
-    a, b = R.clipped(r, F.col("chapter_index"), F.col("block_index"), F.col("start").cast("bigint"), F.element_at("ends", -1).cast("bigint"))
+    first, last = F.col("start").cast("bigint"), F.col("start") + X.byte_length(F.col("text"))
+    a, b = R.clipped(r, F.col("chapter_index"), F.col("block_index"), first, last)
     met = met.withColumn("_a", a).withColumn("_b", b).filter("_a < _b")
+    whole = (F.col("_a") == first) & (F.col("_b") == last)
+    within = shaping.cells(met.filter(~whole).drop("r_start", "r_end", "line_in_block", "width"))
     before = lambda at: F.size(F.filter("ends", lambda e: e <= F.col(at)))
-    met = met.withColumn("_i", before("_a")).withColumn("_j", before("_b")).filter("_i < _j")
+    within = within.withColumn("_i", before("_a")).withColumn("_j", before("_b")).filter("_i < _j")
+    line = ["book_id", "range_id", "page_index", "line_index", "y", "height"]
     left = place(F.col("rights"), F.col("_i"), F.col("font_size"))
-    return met.select("book_id", "range_id", "page_index", "line_index", F.lit(0).cast("bigint").alias("segment"), left.alias("x"), "y", (place(F.col("rights"), F.col("_j"), F.col("font_size")) - left).alias("width"), "height")
+    within = within.select(*line, left.alias("x"), (place(F.col("rights"), F.col("_j"), F.col("font_size")) - left).alias("width"))
+    full = met.filter(whole).select(*line, F.lit(MARGIN).alias("x"), (MARGIN + F.col("width") * F.col("font_size").cast("double") / EM - MARGIN).alias("width"))
+    return full.unionByName(within)
 
 
 def boxes(segments: DataFrame) -> DataFrame:

@@ -97,16 +97,21 @@ def page_counts(books: DataFrame, lines: DataFrame) -> DataFrame:
     return books.select("book_id").distinct().join(n, "book_id", "left").select("book_id", F.coalesce("n", F.lit(1)).cast("bigint").alias("n_pages"))
 
 
-def cells(lines: DataFrame, shaped: DataFrame) -> DataFrame:
-    """lines with font_size and what shaping says of each: start, parts, ends, rights, runs."""
+def with_text(lines: DataFrame, shaped: DataFrame) -> DataFrame:
+    """lines with font_size and what shaping says of each: start, text, width, runs."""
     own = shaped.filter("n_lines > 0").select(*KEYS, "font_size", F.posexplode("lines").alias("line_in_block", "_l")).select(*KEYS, "line_in_block", "font_size", "_l.*")
     return lines.join(own, [*KEYS, "line_in_block"])
 
 
+def cells(lines: DataFrame, shaped: DataFrame) -> DataFrame:
+    """lines with their clusters; see shaping.cells."""
+    return shaping.cells(with_text(lines, shaped))
+
+
 def clusters(lines: DataFrame, shaped: DataFrame) -> DataFrame:
     """A row for each grapheme cluster of each line: x, width, and its byte offsets in the block's text."""
-    own = cells(lines, shaped)
-    rest = [c for c in own.columns if c not in ("parts", "ends", "rights", "runs", "start")]
+    own = cells(lines, shaped).drop("text", "width", "runs")
+    rest = [c for c in own.columns if c not in ("parts", "ends", "rights", "start")]
     own = own.select(*rest, "start", "ends", "rights", F.posexplode("parts").alias("cluster_index", "text"))
     k, size = F.col("cluster_index"), F.col("font_size")
     x = place(F.col("rights"), k, size)
@@ -129,14 +134,13 @@ def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:
 
 def span_fragments(lines: DataFrame, shaped: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """The parts of each line that are of one span, in the block's size; with the span's style where spans are given (keys, span_index, ..)."""
-    own = cells(lines, shaped).withColumn("_n", F.size("runs"))
-    own = own.select("*", F.posexplode("runs").alias("frag_index", "_r"))
-    first = F.when(F.col("frag_index") == 0, F.lit(0)).otherwise(F.get("runs", F.col("frag_index") - 1)["until"])
-    own = own.withColumn("_a", first).withColumn("_b", F.col("_r.until"))
-    x = place(F.col("rights"), F.col("_a"), F.col("font_size"))
+    own = with_text(lines, shaped).select("*", F.posexplode("runs").alias("frag_index", "_r"))
+    before = lambda c: F.when(F.col("frag_index") == 0, F.lit(0)).otherwise(F.get("runs", F.col("frag_index") - 1)[c])
+    size = F.col("font_size").cast("double")
+    x = MARGIN + before("right") * size / EM
     own = own.select(
-        *KEYS, "page_index", "line_index", "frag_index", F.col("_r.span").alias("span_index"), F.array_join(F.slice("parts", F.col("_a") + 1, F.col("_b") - F.col("_a")), "").alias("text"),
-        x.alias("x"), "y", (place(F.col("rights"), F.col("_b"), F.col("font_size")) - x).alias("width"), "height", "baseline",
+        *KEYS, "page_index", "line_index", "frag_index", F.col("_r.span").alias("span_index"), F.substring("text", before("until") + 1, F.col("_r.until") - before("until")).alias("text"),
+        x.alias("x"), "y", (MARGIN + F.col("_r.right") * size / EM - x).alias("width"), "height", "baseline",
     )
     if spans is None:
         return own

@@ -10,94 +10,124 @@ doesn't depend on rounding. One pass over the blocks, no shuffle; a block takes
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import metrics
 from quire.functions import text as X
 
-#: start: the line's first byte in its block. parts: its clusters; ends: where each ends, in bytes of the block; rights: their right edges from the line's
-#: left, in thousandths of the size. runs: its spans, each up to a cluster.
-LINE = "struct<start:int,parts:array<string>,ends:array<int>,rights:array<int>,runs:array<struct<span:int,until:int>>>"
+#: start: the line's first byte in its block. width: in thousandths of the size. runs: its spans, each up to a character (until) and a right edge.
+LINE = "struct<start:int,text:string,width:int,runs:array<struct<span:int,until:int,right:int,bold:boolean>>>"
 SHAPED = f"book_id string, chapter_index int, block_index int, font_size float, is_heading boolean, n_lines int, line_height float, lines array<{LINE}>"
 
 
-def line_starts(kinds: np.ndarray, rights: np.ndarray, limit: int) -> np.ndarray:
-    """The first cluster of each line, given the clusters' kinds and right edges."""
+def line_starts(kinds: np.ndarray, rights: np.ndarray, bounds: np.ndarray, limits: list[int]) -> list[int]:
+    """The first cluster of each line of texts that follow each other, each from bounds[i] to bounds[i + 1]; given the clusters' kinds and right edges."""
     n = len(kinds)
-    if not n:
-        return np.zeros(0, np.int64)
-    may, must = metrics.opportunities(kinds)
-    may = np.r_[may, n]
-    ink = np.maximum.accumulate(np.where((kinds & np.uint32(metrics.SPACE)) == 0, np.arange(1, n + 1), 0))
+    fresh = np.zeros(n, bool)
+    fresh[bounds[:-1][bounds[:-1] < n]] = True
+    may, must = metrics.opportunities(kinds, fresh)
+    may = np.union1d(may, bounds[1:][bounds[1:] > 0])
+    ink = np.maximum.accumulate(np.where((kinds & np.uint32(metrics.SPACE)) == 0, np.arange(1, n + 1), 0)) if n else np.zeros(0, np.int64)
     edge = np.r_[0, rights]  # of what lies before a cluster
-    inked = edge[ink[may - 1]]
-    out, at, forced = [], 0, 0
-    must = must.tolist()
-    while at < n:
-        out.append(at)
-        room = edge[at] + limit
-        k = int(np.searchsorted(inked, room, "right")) - 1
-        end = int(may[k]) if k >= 0 else 0
-        if end <= at:  # not one word fits
-            end = max(int(np.searchsorted(rights, room, "right")), at + 1)
-        while forced < len(must) and must[forced] <= at:
-            forced += 1
-        at = min(end, must[forced]) if forced < len(must) else end
-    return np.array(out, np.int64)
-
-
-def wrapped(text: str, spans: list[tuple[int, bool]], limit: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(clusters, their byte ends, their widths, the span of each, the first cluster of each line) of a text whose spans are (characters, bold)."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    kinds, advances = metrics.lookup(points)
-    sizes = np.array([n for n, _ in spans] or [0])
-    span = np.repeat(np.arange(len(sizes)), sizes)[: len(points)]
-    span = np.r_[span, np.full(len(points) - len(span), max(len(sizes) - 1, 0))].astype(np.int64)
-    bold = np.array([b for _, b in spans] or [False])[span].astype(np.int64)
-    starts = metrics.cluster_starts(kinds)
-    widths = np.add.reduceat(advances[np.arange(len(points)), bold], starts) if len(starts) else np.zeros(0, np.int64)
-    # pictures and syllables that join take one place, not one for each of their parts
-    joined = (kinds[starts] & np.uint32(metrics.PICTURE | metrics.REGIONAL | metrics.LEAD)) != 0
-    widths = np.where(joined, np.minimum(widths, metrics.EM), widths).astype(np.int64)
-    size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-    ends = np.cumsum(size)[np.r_[starts[1:], len(points)] - 1] if len(starts) else np.zeros(0, np.int64)
-    cuts = [*starts.tolist(), len(points)]
-    parts = list(text) if len(starts) == len(points) else [text[a:b] for a, b in zip(cuts, cuts[1:])]
-    return parts, ends, widths, span[starts], line_starts(kinds[starts], np.cumsum(widths), limit)
-
-
-def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
-
-
-def _column(blocks: list[tuple], kind: pa.DataType) -> pa.Array:
-    """The lines of blocks, as wrapped() gives them, in Arrow."""
-    n_lines, starts, n_parts, rights, n_runs, run_span, run_until = [], [], [], [], [], [], []
-    for parts, ends, widths, span, firsts in blocks:
-        n_lines.append(len(firsts))
-        until = np.r_[firsts[1:], len(parts)].astype(np.int64)
-        edge = np.r_[0, np.cumsum(widths)]
-        n_parts.extend((until - firsts).tolist())
-        starts.append(np.r_[0, ends][firsts])
-        rights.append(edge[1:] - np.repeat(edge[firsts], until - firsts))
-        change = np.flatnonzero(np.r_[True, np.diff(span) != 0]) if len(span) else np.zeros(0, np.int64)
-        begins = np.union1d(change, firsts)  # runs of one span on one line
-        line = np.searchsorted(firsts, begins, "right") - 1
-        n_runs.extend(np.bincount(line, minlength=len(firsts)).tolist() if len(firsts) else [])
-        run_span.append(span[begins])
-        run_until.append(np.r_[begins[1:], len(parts)].astype(np.int64)[: len(begins)] - firsts[line])
-    flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32))
-    parts = pa.array([p for b in blocks for p in b[0]], pa.string())
-    runs = pa.StructArray.from_arrays([flat(run_span), flat(run_until)], ["span", "until"])
+    inked = edge[ink[may - 1]].tolist() if n else []
+    may, must, edge, out, forced = may.tolist(), must.tolist(), edge.tolist(), [], 0
+    for first, last, limit in zip(bounds[:-1].tolist(), bounds[1:].tolist(), limits):
+        at = first
+        while at < last:
+            out.append(at)
+            room = edge[at] + limit
+            k = bisect_right(inked, room) - 1
+            end = may[k] if k >= 0 else 0
+            if end <= at:  # not one word fits
+                end = max(bisect_right(edge, room, lo=at) - 1, at + 1)
+            while forced < len(must) and must[forced] <= at:
+                forced += 1
+            at = min(end, last, must[forced] if forced < len(must) else last)
+    return out
+
+
+class Cut:
+    """Texts, one after the other in flat arrays, cut into grapheme clusters. faces: of each text its spans (characters, bold)."""
+
+    def __init__(self, texts: list[str], faces: list[list[tuple[int, bool]]]):
+        self.whole = "".join(texts)
+        self.points = np.frombuffer(self.whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.begins = np.r_[0, np.cumsum(lengths)]
+        kinds, advances = metrics.lookup(self.points)
+        fresh = np.zeros(len(self.points), bool)
+        fresh[self.begins[:-1][lengths > 0]] = True
+        sizes, numbers, bold = [], [], []
+        for left, own in zip(lengths.tolist(), faces):
+            for k, (n, b) in enumerate(own or [(left, False)]):
+                n = left if k == max(len(own), 1) - 1 else min(n, left)  # what no span holds belongs to the last one
+                left -= n
+                sizes.append(n)
+                numbers.append(k)
+                bold.append(b)
+        face = np.repeat(np.array(bold, np.int64), sizes)
+        self.starts = np.flatnonzero(metrics.cluster_starts(kinds, fresh)) if len(self.points) else np.zeros(0, np.int64)
+        self.n = len(self.starts)
+        widths = np.add.reduceat(advances[np.arange(len(face)), face], self.starts).astype(np.int64) if self.n else np.zeros(0, np.int64)
+        self.kinds = kinds[self.starts]
+        # pictures and syllables that join take one place, not one for each of their parts
+        joined = (self.kinds & np.uint32(metrics.PICTURE | metrics.REGIONAL | metrics.LEAD)) != 0
+        self.edge = np.r_[0, np.cumsum(np.where(joined, np.minimum(widths, metrics.EM), widths))]
+        self.bounds = np.searchsorted(self.starts, self.begins)  # clusters of each text
+        self.bytes_before = np.r_[0, np.cumsum(1 + (self.points > 0x7F) + (self.points > 0x7FF) + (self.points > 0xFFFF))]
+        self.span, self.bold = (np.repeat(np.array(x, np.int64), sizes)[self.starts] if self.n else np.zeros(0, np.int64) for x in (numbers, bold))
+
+    def strings(self, clusters: np.ndarray) -> pa.Array:
+        """The text from each of these clusters to the next one, the last one's to the end."""
+        ends = self.bytes_before[np.r_[self.starts, len(self.points)][np.r_[clusters, self.n]]]
+        return pa.StringArray.from_buffers(len(clusters), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.whole.encode()))
+
+
+def _ints(x) -> pa.Array:
+    return pa.array(np.asarray(x).astype(np.int32))
+
+
+def wrapped(texts: list[str], faces: list[list[tuple[int, bool]]], limits: list[int]) -> pa.Array:
+    """The lines (LINE) of each text: all texts at once, but for the loop over lines."""
+    c = Cut(texts, faces)
+    firsts = np.array(line_starts(c.kinds, c.edge[1:], c.bounds, limits), np.int64)
+    until = np.r_[firsts[1:], c.n].astype(np.int64)[: len(firsts)]
+    changes = np.r_[True, np.diff(c.span) != 0] if c.n else np.zeros(0, bool)
+    changes[firsts] = True
+    runs = np.flatnonzero(changes)  # of one span on one line
+    ends = np.r_[runs[1:], c.n][: len(runs)]
+    first = firsts[np.searchsorted(firsts, runs, "right") - 1]
+    at = np.r_[c.starts, len(c.points)]
+    run = pa.StructArray.from_arrays([_ints(c.span[runs]), _ints(at[ends] - at[first]), _ints(c.edge[ends] - c.edge[first]), pa.array(c.bold[runs].astype(bool))], ["span", "until", "right", "bold"])
+    base = np.repeat(c.bytes_before[c.begins[:-1]], np.diff(np.searchsorted(firsts, c.bounds)))
     lines = pa.StructArray.from_arrays(
-        [flat(starts), _lists(n_parts, parts), _lists(n_parts, flat([b[1] for b in blocks])), _lists(n_parts, flat(rights)), _lists(n_runs, runs)], ["start", "parts", "ends", "rights", "runs"]
+        [_ints(c.bytes_before[at[firsts]] - base), c.strings(firsts), _ints(c.edge[until] - c.edge[firsts]), pa.ListArray.from_arrays(_ints(np.r_[0, np.searchsorted(runs, until)]), run)], ["start", "text", "width", "runs"]
     )
-    return _lists(n_lines, lines).cast(kind)
+    return pa.ListArray.from_arrays(_ints(np.searchsorted(firsts, c.bounds)), lines)
+
+
+def cells(lines: DataFrame) -> DataFrame:
+    """lines (start, text, runs, ..) with their clusters: parts, ends (where each ends, in bytes of the block) and rights (their right edges from the line's left)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _slices(batch, batch.column("text")):
+                runs = [[(r["until"] - (own[k - 1]["until"] if k else 0), r["bold"]) for k, r in enumerate(own)] for own in b.column("runs").to_pylist()]
+                c = Cut(b.column("text").to_pylist(), runs)
+                text_of = np.repeat(np.arange(b.num_rows), np.diff(c.bounds))
+                ends = c.bytes_before[np.r_[c.starts[1:], len(c.points)]][: c.n] - c.bytes_before[c.begins[:-1]][text_of] + b.column("start").to_numpy()[text_of]
+                listed = [pa.ListArray.from_arrays(_ints(c.bounds), x) for x in (c.strings(np.arange(c.n)), _ints(ends), _ints(c.edge[1:] - c.edge[c.bounds[:-1]][text_of]))]
+                yield pa.record_batch([*b.columns, *listed], [*b.schema.names, "parts", "ends", "rights"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, f"{kinds}, parts array<string>, ends array<int>, rights array<int>")
 
 
 def shaped(blocks: DataFrame, content: float) -> DataFrame:
@@ -110,18 +140,15 @@ def shaped(blocks: DataFrame, content: float) -> DataFrame:
         spans = F.transform("spans", lambda s: F.struct(F.char_length(X.without_returns(s["text"])).alias("n"), F.coalesce(s["bold"], F.lit(False)).alias("bold")))
     else:
         spans = F.array(F.struct(F.char_length(X.without_returns(F.col("text"))).alias("n"), F.col("is_heading").alias("bold")))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("parts", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())), ("rights", pa.list_(pa.int32())), ("runs", pa.list_(pa.struct([("span", pa.int32()), ("until", pa.int32())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["book_id", "chapter_index", "block_index", "font_size", "is_heading", "n_lines", "line_height", "lines"]
         for batch in batches:
-            for b in _slices(batch):
-                sizes = b.column(3).to_pylist()
-                lines = [
-                    wrapped(text or "", [(s["n"] or 0, s["bold"]) for s in spans or ()], int(content * metrics.EM // size))
-                    for size, text, spans in zip(sizes, b.column(6).to_pylist(), b.column(7).to_pylist())
-                ]
-                yield pa.record_batch([*[b.column(k) for k in range(5)], pa.array([len(x[4]) for x in lines], pa.int32()), b.column(5), _column(lines, kind)], names)
+            for b in _slices(batch, batch.column(6)):
+                limits = [int(content * metrics.EM // size) for size in b.column(3).to_pylist()]
+                spans = [[(s["n"] or 0, s["bold"]) for s in own or ()] for own in b.column(7).to_pylist()]
+                lines = wrapped([t or "" for t in b.column(6).to_pylist()], spans, limits)
+                yield pa.record_batch([*[b.column(k) for k in range(5)], lines.value_lengths(), b.column(5), lines], names)
 
     own = own.select(
         F.col("book_id").cast("string").alias("book_id"), F.col("chapter_index").cast("int").alias("chapter_index"), F.col("block_index").cast("int").alias("block_index"), "font_size", "is_heading",
@@ -130,9 +157,9 @@ def shaped(blocks: DataFrame, content: float) -> DataFrame:
     return own.mapInArrow(run, SHAPED)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 128, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 2048, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of few rows and few bytes of text (a single larger text is a slice)."""
-    lengths = np.r_[0, np.cumsum([0 if n is None else n for n in pa.compute.binary_length(batch.column(6)).to_pylist()])]
+    lengths = np.r_[0, np.cumsum([n or 0 for n in pa.compute.binary_length(texts).to_pylist()])]
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, min(at + rows, int(np.searchsorted(lengths, lengths[at] + size, "right")) - 1))

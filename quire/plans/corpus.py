@@ -14,8 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("book_id"))
-    return ordinal(docs, "book_id", "doc_id", "chapter_index").select("book_id", "chapter_index", "text")
+    """book_id, chapter_index, text. Texts are dealt by document, so that those of a large source don't meet in one task; only keys are ranked by source."""
+    docs = read(spark, sf_dir, "documents")
+    keys = ordinal(docs.select("doc_id", F.col("source").alias("book_id")), "book_id", "doc_id", "chapter_index")
+    return docs.select("doc_id", "text").repartition("doc_id").join(keys, "doc_id").select("book_id", "chapter_index", "text")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

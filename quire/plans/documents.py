@@ -50,7 +50,7 @@ def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocks' lines, written once for a query's several uses."""
+    """The blocks' lines, written once for a query's uses."""
     return written(layout.shaped(blocks(spark, sf_dir)))
 
 
@@ -77,8 +77,8 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block's lines: where they begin, their texts and how wide they are, hanging spaces included."""
     own = layout.shaped(blocks(spark, sf_dir))
     own = own.select("book_id", "chapter_index", "block_index", "font_size", F.posexplode("lines").alias("line_in_block", "l"))
-    width = F.element_at("l.rights", -1) * F.col("font_size").cast("double") / 1000
-    return own.select("book_id", "chapter_index", "block_index", "line_in_block", F.col("l.start").cast("bigint").alias("start_offset"), F.array_join("l.parts", "").alias("text"), F.round(width, 3).alias("width"))
+    width = F.col("l.width") * F.col("font_size").cast("double") / 1000
+    return own.select("book_id", "chapter_index", "block_index", "line_in_block", F.col("l.start").cast("bigint").alias("start_offset"), "l.text", F.round(width, 3).alias("width"))
 
 
 #: Blocks as three spans: bold until a character, italic until another, then plain.
@@ -173,7 +173,7 @@ def page_contains_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped, ranges = _shaped(spark, sf_dir), _ranges(spark, sf_dir)
-    return H.line_segments(layout.cells(H.touched(ranges, layout.paginated(shaped)), shaped))
+    return H.line_segments(layout.with_text(H.touched(ranges, written(layout.paginated(shaped))), shaped))
 
 
 # from the first to the last cluster of the line in the range; characters are clusters here

@@ -150,7 +150,7 @@ class Reader:
         return H.boxes(self._segments(own.drop("page_index"), lines)).drop("range_id")
 
     def _segments(self, ranges: DataFrame, lines: DataFrame) -> DataFrame:
-        return H.line_segments(layout.cells(H.touched(ranges, lines), self.shaped))
+        return H.line_segments(layout.with_text(H.touched(ranges, lines), self.shaped))
 
     # ---- highlights: book_id, start, end
 

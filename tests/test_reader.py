@@ -71,7 +71,7 @@ def test_selection_becomes_a_highlight(spark, reader, ids):
     marked = own.add_selection_highlight()
     again = marked.add_selection_highlight()
     assert marked.highlights().count() == again.highlights().count() == 1
-    assert [(s.x, s.width) for s in again.highlight_segments().collect()] == [(50.0, 30.0)]
+    assert [(s.x, s.width) for s in again.highlight_segments().collect()] == [pytest.approx((50.0, 12 * 2.557))]
     assert again.clear_highlights().highlights().count() == 0 and own.clear_selection().selected_range().count() == 0
     text = '[null,{"start":{"chapter":0,"block":0,"offset":5},"end":{"chapter":0,"block":0,"offset":2}}]'
     assert [tuple(r.start) for r in reader.set_highlights(spark.createDataFrame([(one, text)], "book_id string, json string")).highlights().collect()] == [(0, 0, 2)]

@@ -14,10 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book_id, chapter_index, text. Texts are dealt by document, so that those of a large source don't meet in one task; only keys are ranked by source."""
+    """book_id, chapter_index, text. Texts are dealt by document, so that those of a large source don't meet in one task; only keys are ranked by source.
+
+    The merge keeps that deal at every size: else small texts would be broadcast to the few tasks that rank the keys.
+    """
     docs = read(spark, sf_dir, "documents")
     keys = ordinal(docs.select("doc_id", F.col("source").alias("book_id")), "book_id", "doc_id", "chapter_index")
-    return docs.select("doc_id", "text").repartition("doc_id").join(keys, "doc_id").select("book_id", "chapter_index", "text")
+    return docs.select("doc_id", "text").repartition("doc_id").hint("merge").join(keys, "doc_id").select("book_id", "chapter_index", "text")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,10 +78,12 @@ WITH own AS (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
       AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), asked AS (
+    SELECT vec_id, min(v) AS v FROM own WHERE vec_id % 100 = 0 GROUP BY vec_id
 ), pairs AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), lambda a, b: a + b)) AS score
-    FROM own q JOIN own c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+           min(sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), lambda a, b: a + b))) AS score
+    FROM asked q JOIN own c ON q.vec_id <> c.vec_id GROUP BY ALL
 ), ranked AS (
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )

@@ -6,11 +6,13 @@ are merged, mismatches become optional groups, runs of one element become repeat
 slots. The result is a regular expression without unions that every page of the host fits.
 
 A slot of the wrapper is main text by its place and by what the wrapper says of it. Inside an article or main element, if the
-page's shape has one, and inside no menu, header, footer, sidebar, notice, advert, form or comment section, a slot is kept
-unless it is a constant of the wrapper: one text on all pages of the host, MANY different ones at least, such as a line that asks for
-sharing. Of a host's other shapes the slots whose text changes from page to page are kept, and those that never change (and lists made of links) are not. Copies of a page, and
-repeats of a text on one page, say nothing about change: only pages that differ in what may be main text count as several. A header inside an
-article holds its title and byline, and stays.
+page's shape has one, and inside no menu, header, footer, sidebar, notice, advert, form or comment section, every slot is kept, however many
+pages share its text: a series title or a quoted law is the article's. Of a host's other shapes the slots whose text changes from page to page are kept, and those that never
+change (and lists made of links) are not. Copies of a page, and repeats of a text on one page, say nothing about change: only pages that differ in what may be main text count as several. A
+header inside an article holds its title and byline, and stays.
+
+A class or id marks an element only if all its words are marks or words of layout: `ad-slot` does, `ad-blockers` and `share-price` don't. Marked or hidden
+elements inside a line lose their text alone.
 
 Spark does the work in three steps. Each page gives its shape (its own folded wrapper) and shapes are counted by (host,
 shape), within tasks first. The distinct shapes of a host are aligned in a tree, at most about FAN in one task, level by level.
@@ -41,8 +43,8 @@ from quire.llm.shared import slices, written
 BROADCAST = 16 << 20
 #: Shapes or wrappers that one task aligns, about.
 FAN = 32
-#: Different pages that make a constant inside an article part of the template.
-MANY = 5
+#: Different contents of pages that a slot remembers: enough to tell one from several.
+SEVERAL = 2
 #: Shapes that a task counts before it hands them on.
 HELD = 5000
 
@@ -56,6 +58,8 @@ CLOSED_BY_BLOCK = {"p"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 # Words of class names and ids that mark what isn't the article.
 MARKS = set("ad ads adv advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus dfp footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion related recommended replies reply respond share sharing shoutbox sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar warning widget widgets".split())
+# Words that say how such an element is laid out, beside its mark.
+LAYOUT = set("area bar block body bottom box btn button buttons center col column container content cookie email fixed footer form grid group head header icon icons inline inner item items label left link links list main media middle mobile module page panel post posts right row section side site slot small start sticky text title top unit wrap wrapper".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -93,8 +97,11 @@ def dropped(own: str, in_main: bool) -> bool:
         if w.startswith("role="):
             if w[5:] in ROLES:
                 return True
-        elif not w.startswith("itemprop=") and MARKS & {x for x in w.split("-") if not (in_main and x in ("header", "tags", "warning", "notice") and name in ("header", "h1", "h2", "h3"))}:
-            return True
+        elif not w.startswith("itemprop="):
+            own = {x for x in w.split("-") if x.strip("#")}
+            marks = {x for x in own & MARKS if not (in_main and x in ("header", "tags", "warning", "notice") and name in ("header", "h1", "h2", "h3"))}
+            if marks and own <= MARKS | LAYOUT:
+                return True
     return False
 
 
@@ -108,11 +115,12 @@ def parsed(page: str) -> list:
     """The page's elements as nested lists [label, *children]; a text is (text, characters in links)."""
     root: list = ["#page"]
     path, names, texts, link, linked = [root], ["#page"], [], 0, 0
+    muted: list[str] = []  # inline elements that are marked or hidden, and those in them
     at, size = 0, len(page)
 
     def text(end: int) -> None:
         nonlocal linked
-        if end > at:
+        if end > at and not muted:
             own = entities.unescape(page[at:end]) if "&" in page[at:end] else page[at:end]
             texts.append(own)
             if link:
@@ -148,10 +156,13 @@ def parsed(page: str) -> list:
             if name == "a":
                 link = max(0, link - 1)
             if name in INLINE:
+                if name in muted:
+                    del muted[len(muted) - 1 - muted[::-1].index(name) :]
                 continue
             if name == "br":
                 flush()
                 continue
+            muted.clear()
             if name in names[1:]:
                 k = len(names) - 1 - names[::-1].index(name)
                 close(k)
@@ -160,8 +171,12 @@ def parsed(page: str) -> list:
             continue
         if name in INLINE:
             link += name == "a"
+            if name not in VOID and (muted or attributes and (_HIDDEN.search(attributes) or "=" in attributes and dropped(label(name, attributes), True))):
+                muted.append(name)
             continue
         flush()
+        if name not in VOID:
+            muted.clear()
         if name in CLOSES:
             k = len(names) - 1
             while k > 0 and names[k] in CLOSES[name]:
@@ -183,8 +198,8 @@ def parsed(page: str) -> list:
     return root
 
 
-# ---- wrappers: ["#", hash or null, contents, chars, link chars, ids] for slots (contents: the MANY smallest hashes of its pages'
-# texts, enough to tell one from several and many), [label, many, optional, children] for elements
+# ---- wrappers: ["#", hash or null, contents, chars, link chars, ids] for slots (contents: the SEVERAL smallest hashes of its pages'
+# texts), [label, many, optional, children] for elements
 
 
 def same(a: list, b: list) -> bool:
@@ -223,8 +238,8 @@ def _repeated(parts: list) -> Generator:
 
 
 def either(a: list[int], b: list[int]) -> list[int]:
-    """The contents of two slots: at most MANY, whatever the order and the number of copies."""
-    return a if a == b else sorted({*a, *b})[:MANY]
+    """The contents of two slots: at most SEVERAL, whatever the order and the number of copies."""
+    return a if a == b else sorted({*a, *b})[:SEVERAL]
 
 
 def _merged(a: list, b: list, run: bool = False) -> Generator:
@@ -384,9 +399,7 @@ def decided(wrapper: list) -> set[tuple[int, int]]:
     own = [x for x in slots if not x[1]]
     inside = [(p, tuple(k)) for p, _, main in own if main for k in p[5]]
     with_main = {tag for _, (tag, _) in inside}
-    keep = {k for p, k in inside if p[1] is None or len(p[2]) < MANY}
-    bare = with_main - {tag for tag, _ in keep}  # shapes that are nothing but constants keep them
-    keep |= {k for _, k in inside if k[0] in bare}
+    keep = {k for _, k in inside}
     # the other shapes' slots; a slot's counts are those of all pages that share it
     others = [(p, ids) for p, _, main in own if not main and (ids := [tuple(k) for k in p[5] if k[0] not in with_main])]
     varies = any(p[1] is None for p, _ in others)

@@ -29,6 +29,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Generator, Iterator
 from functools import lru_cache
 
@@ -45,6 +47,8 @@ BROADCAST = 16 << 20
 FAN = 32
 #: Different contents of pages that a slot remembers: enough to tell one from several.
 SEVERAL = 2
+#: Cells of a table of common subsequences at most.
+CELLS = 1 << 18
 #: Shapes that a task counts before it hands them on.
 HELD = 5000
 
@@ -221,17 +225,17 @@ def stepped(step: Generator):
     return value
 
 
-def _repeated(parts: list) -> Generator:
-    """Runs of one element become one repeated group whose content is the alignment of theirs."""
+def _repeated(parts: list, one: bool) -> Generator:
+    """Runs of one element become one repeated group whose content is the alignment of theirs. one: all parts are of one page."""
     out: list = []
     for part in parts:
         if out and same(out[-1], part):
-            out[-1] = yield _merged(out[-1], part, True)
+            out[-1] = yield _merged(out[-1], part, True, one)
         elif len(out) >= 3 and same(out[-1], out[-3]) and same(out[-2], part) and part[0] != "#" and out[-1][0] != "#":
             # a b a b: fold the second pair into the first
             last = out.pop()
-            out[-2] = yield _merged(out[-2], last, True)
-            out[-1] = yield _merged(out[-1], part, True)
+            out[-2] = yield _merged(out[-2], last, True, one)
+            out[-1] = yield _merged(out[-1], part, True, one)
         else:
             out.append(part)
     return out
@@ -242,42 +246,90 @@ def either(a: list[int], b: list[int]) -> list[int]:
     return a if a == b else sorted({*a, *b})[:SEVERAL]
 
 
-def _merged(a: list, b: list, run: bool = False) -> Generator:
-    """One part that fits what either fits. run: b follows a on one page, so the group repeats."""
+def _merged(a: list, b: list, run: bool = False, one: bool = False) -> Generator:
+    """One part that fits what either fits. run: b follows a, so the group repeats; one: on one page."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, either(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5]]
-    return [a[0], int(run or a[1] or b[1]), int(a[2] or b[2]), (yield _aligned(a[3], b[3]))]
+        # the texts of a repeated group on one page together are its text: a constant if they are the same ones on every page
+        both = one and a[1] is not None and b[1] is not None
+        own = a[1] if a[1] == b[1] else xxhash.xxh32_intdigest(f"{a[1]},{b[1]}") if both else None
+        return ["#", own, either(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+    return [a[0], int(run or a[1] or b[1]), int(a[2] or b[2]), (yield _aligned(a[3], b[3], one))]
 
 
 def aligned(a: list, b: list) -> list:
-    """The parts of a and b in one order: a longest common subsequence merges, the rest becomes optional."""
+    """The parts of a and b in one order: what matches() pairs merges, the rest becomes optional."""
     return stepped(_aligned(a, b))
 
 
-def _aligned(a: list, b: list) -> Generator:
-    if [x[0] for x in a] == [y[0] for y in b]:
-        out = []
-        for x, y in zip(a, b):
-            out.append((yield _merged(x, y)))
-        return out
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as pairs of places."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    option = lambda x: x if x[0] == "#" else [x[0], x[1], 1, x[3]]
-    while i < n or j < m:
-        if i < n and j < m and same(a[i], b[j]):
-            out.append((yield _merged(a[i], b[j])))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append(option(a[i]))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(option(b[j]))
             j += 1
-    return (yield _repeated(out))
+    return out
+
+
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of equal labels in the order of both: a longest common subsequence where its table is small. Of wider elements, equal heads and tails match, then
+    the longest increasing run of labels that both have once, then what lies between two of these, if its table is small. Time n log n and the tables'."""
+    if len(a) * len(b) <= CELLS:
+        return common(a, b)
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    once_a, once_b = Counter(a[head : len(a) - tail]), Counter(b[head : len(b) - tail])
+    at = {x: j for j, x in enumerate(b[head : len(b) - tail], head) if once_b[x] == 1}
+    pairs = [(i, at[x]) for i, x in enumerate(a[head : len(a) - tail], head) if once_a[x] == 1 and x in at]
+    ends: list[int] = []  # the least last place of a run of each length
+    runs: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(ends, j)
+        before[k] = runs[n - 1] if n else -1
+        ends[n : n + 1], runs[n : n + 1] = [j], [k]
+    anchors, k = [], runs[-1] if runs else -1
+    while k >= 0:
+        anchors.append(pairs[k])
+        k = before[k]
+    out, i, j = [(k, k) for k in range(head)], head, head
+    for x, y in [*anchors[::-1], (len(a) - tail, len(b) - tail)]:
+        if (x - i) * (y - j) <= CELLS:
+            out += [(i + p, j + q) for p, q in common(a[i:x], b[j:y])]
+        out.append((x, y))
+        i, j = x + 1, y + 1
+    out.pop()
+    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+
+
+def _aligned(a: list, b: list, one: bool = False) -> Generator:
+    labels_a, labels_b = [x[0] for x in a], [y[0] for y in b]
+    out = []
+    if labels_a == labels_b:
+        for x, y in zip(a, b):
+            out.append((yield _merged(x, y, False, one)))
+        return out
+    option = lambda x: x if x[0] == "#" else [x[0], x[1], 1, x[3]]
+    i = j = 0
+    for x, y in [*matches(labels_a, labels_b), (len(a), len(b))]:
+        out += [option(p) for p in [*a[i:x], *b[j:y]]]
+        if x < len(a):
+            out.append((yield _merged(a[x], b[y], False, one)))
+        i, j = x + 1, y + 1
+    return (yield _repeated(out, one))
 
 
 def flat(parts: list) -> list:
@@ -357,7 +409,7 @@ def shape(root: list) -> tuple[list, list[int]]:
                 parts.append(["#", xxhash.xxh32_intdigest(child[0].encode("utf-8", "replace")), content, len(child[0]), child[1], [k]])
             else:
                 parts.append([child[0], 0, 0, (yield walk(child, paths.setdefault((path, child[0]), len(paths) + 1)))])
-        return parts if len(parts) < 2 else (yield _repeated(parts))
+        return parts if len(parts) < 2 else (yield _repeated(parts, True))
 
     return stepped(walk(root, 0)), order
 

@@ -132,6 +132,24 @@ def test_hosts_of_plain_divisions_by_their_wrapper(spark):
     assert all(got[k][0] == f"Text {k} of the page. More {k}." for k in range(7))
 
 
+def test_wide_elements_align_in_little_memory():
+    """Twenty thousand children of different labels on either side; and matches() is an order-keeping pairing at every size."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    for n in (5, 40, 900):
+        a, b = ([f"e{rng.randrange(n)}" for _ in range(n)] for _ in "ab")
+        pairs = W.matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    a = [f"e{k}" for k in range(20_000)]
+    b = [x for x in a if rng.random() < 0.9]
+    assert len(W.matches(a, b)) == len(b)
+    began = time.perf_counter()
+    parts = [[["body", 0, 0, [[x, 0, 0, [["#", hash(x), [1], 1, 0, [0]]]] for x in own]]] for own in (a, rng.sample(a, len(a)))]
+    assert len(W.aligned(*parts)[0][3]) >= 20_000 and time.perf_counter() - began < 20
+
+
 def plain_texts(rows):
     """Brute force: all pages of a host aligned one after the other, in the order of their shapes."""
     by_host, out = {}, {}

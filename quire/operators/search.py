@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
 from quire.functions import text as X
+from quire.tables import written
 
 
 def search(blocks: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -38,22 +39,57 @@ def block_text(blocks: DataFrame, chapter: int, block: int) -> DataFrame:
     return at.select("book_id", X.without_returns(F.col("text")).alias("text"))
 
 
-#: Ranges of more chapters meet the rows of their whole book.
-WIDE = 4096
+#: Positions of a book meet ranges in aligned intervals of 1, 4, 16, .. up to 4 ** TOP positions.
+TOP = 6
 
 
-def in_ranges(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """rows (book_id, chapter_index, block_index, ..) with range_id and the ends of each range that touches their block.
+def _units(level: int, first: Column, last: Column) -> Column:
+    """The aligned intervals of a level that the positions first..last hold, but for those of which they hold the next level's interval too."""
+    bits = 2 * level
+    a, b = F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(last + 1, bits)  # from a to before b
+    listed = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    if level == TOP:
+        units = listed(a, b)
+    else:
+        up, down = F.shiftleft(F.shiftright(a + 3, 2), 2), F.shiftleft(F.shiftright(b, 2), 2)
+        units = F.concat(listed(a, F.least(up, b)), listed(F.greatest(up, down), b))
+    return F.transform(units, lambda u: F.struct(F.lit(level).alias("level"), u.alias("unit")))
+
 
-    An equi join on book and chapter with the block test beside it. Each row also asks, under no chapter, for the ranges that are too wide
-    to be listed by chapter.
+def block_links(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """book_id, chapter_index, block_index, range_id and the ends of each range that touches a block of rows.
+
+    Blocks have positions in their book's order, which chapters' counts give. A range is cut into aligned intervals of positions, few for each size and a
+    number that grows with its length over 4 ** TOP; a block belongs to one interval of each size. So the join is one on equal
+    intervals, which meets no pair in vain, and no interval holds more than 4 ** TOP positions, however long a range is.
     """
-    first, last = F.col(f"{start}.chapter"), F.col(f"{end}.chapter")
-    listed = F.when(last - first < WIDE, F.sequence(first, F.greatest(first, F.least(last, first + WIDE)))).otherwise(F.array(F.lit(-1)))
-    spread = ranges.select("book_id", "range_id", start, end, F.explode(listed).alias("_chapter"))
-    asking = rows.withColumn("_chapter", F.explode(F.array(F.col("chapter_index").cast("int"), F.lit(-1))))
-    met = asking.join(spread, ["book_id", "_chapter"]).drop("_chapter")
-    return met.filter(R.touches_block(F.struct(F.col(start).alias("start"), F.col(end).alias("end")), F.col("chapter_index"), F.col("block_index")))
+    keys = written(rows.select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), F.col("block_index").cast("int").alias("block_index")).distinct())
+    chapters = keys.groupBy("book_id", "chapter_index").agg((F.max("block_index") + 1).cast("bigint").alias("_n"))
+    # chapters that only ranges know have no blocks
+    named = ranges.select("book_id", F.explode(F.array(f"{start}.chapter", f"{end}.chapter")).alias("chapter_index")).distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    chapters = chapters.unionByName(named).groupBy("book_id", "chapter_index").agg(F.max("_n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1))
+    chapters = written(chapters.withColumn("_base", F.coalesce(before, F.lit(0).cast("bigint"))))
+
+    ends = ranges.select("book_id", "range_id", start, end)
+    at = lambda e: chapters.select("book_id", F.col("chapter_index").alias(f"_c_{e}"), F.col("_n").alias(f"_n_{e}"), F.col("_base").alias(f"_base_{e}"))
+    for e, column in (("s", start), ("e", end)):
+        ends = ends.withColumn(f"_c_{e}", F.col(f"{column}.chapter")).join(at(e), ["book_id", f"_c_{e}"])
+    first = F.col("_base_s") + F.least(F.col(f"{start}.block").cast("bigint"), F.col("_n_s"))
+    last = F.col("_base_e") + F.least(F.col(f"{end}.block").cast("bigint"), F.col("_n_e") - 1)
+    pieces = ends.select("book_id", "range_id", start, end, first.alias("_first"), last.alias("_last"))
+    pieces = pieces.select("book_id", "range_id", start, end, F.inline(F.concat(*[_units(k, F.col("_first"), F.col("_last")) for k in range(TOP + 1)])))
+    place = F.col("_base") + F.col("block_index")
+    own = keys.join(chapters, ["book_id", "chapter_index"]).select(
+        "book_id", "chapter_index", "block_index", F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place, 2 * k).alias("unit")) for k in range(TOP + 1)]))
+    )
+    return own.join(pieces, ["book_id", "level", "unit"]).drop("level", "unit")
+
+
+def in_ranges(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """rows (book_id, chapter_index, block_index, ..) with range_id and the ends of each range that touches their block."""
+    links = block_links(rows, ranges, start, end)
+    return rows.join(links, ["book_id", "chapter_index", "block_index"])
 
 
 def extract(blocks: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +55,37 @@ def islands(df: DataFrame, partition: list[str], order: list[str], changes: Colu
     """Number the runs of rows; `changes` says that a row begins a new one (it may look at F.lag over the same order)."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(name, F.sum(changes.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def resumed(df: DataFrame, key: str, order: str, columns: list[str], begin: Callable[[], Any], step: Callable[[Any, dict], Any], result: Callable[[Any], dict | None], kind: pa.Schema, schema: str) -> DataFrame:
+    """An ordered fold over the rows of each key: step(state, row) in order from begin(); then a row of result(state), with the key, unless that is None.
+
+    Rows are dealt by key and sorted by Spark, which spills; a task steps through its sorted batches and carries one state. So a key's log of any length takes
+    the memory of a batch, never a table of its own. result's dict has the columns of kind but for the key, which comes first.
+    """
+    own = df.select(key, order, *columns).repartition(key).sortWithinPartitions(key, order)
+    names = [order, *columns]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state, out = False, None, None, []
+
+        def close() -> None:
+            row = result(state) if begun else None
+            if row is not None:
+                out.append({key: now, **row})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                for own, *values in zip(*(c.to_pylist() for c in b.columns)):
+                    if not begun or own != now:
+                        close()
+                        begun, now, state = True, own, begin()
+                    state = step(state, dict(zip(names, values)))
+                if len(out) >= 1024:
+                    yield pa.RecordBatch.from_pylist(out, kind)
+                    out.clear()
+        close()
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+    return own.mapInArrow(fold, schema)

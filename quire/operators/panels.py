@@ -1,6 +1,7 @@
-"""Panel layouts: events folded into weights, in order of seq, one group a layout.
+"""Panel layouts: events folded into weights, in order of seq.
 
-Steps clamp, so they don't associate and a layout's events fold in sequence; layouts are independent.
+Steps clamp, so they don't associate and a layout's events fold in sequence; layouts are independent. The fold goes through sorted batches and carries the
+panels, so a log of any length takes little memory.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.order import islands, last_by
+from quire.operators.order import islands, last_by, resumed
 from quire.schema import PANEL
 
 EVENTS = "layout_id string, seq bigint, type string, panel_id string, delta double, weights map<string,double>"
@@ -73,16 +74,16 @@ def overlaid(panels: DataFrame, persisted: DataFrame) -> DataFrame:
 def folded(events: DataFrame, model: list[dict]) -> DataFrame:
     """layout_id, n_events, panels: each layout's panels after its events; model lists id, weight and min_weight."""
     start = [{"id": m["id"], "weight": float(m["weight"]), "min_weight": m.get("min_weight"), "collapsed": False, "pre_collapse_weight": None} for m in model]
-    kind = pa.list_(pa.struct([("id", pa.string()), ("weight", pa.float64()), ("min_weight", pa.float64()), ("collapsed", pa.bool_()), ("pre_collapse_weight", pa.float64())]))
+    panel = pa.struct([("id", pa.string()), ("weight", pa.float64()), ("min_weight", pa.float64()), ("collapsed", pa.bool_()), ("pre_collapse_weight", pa.float64())])
+    kind = pa.schema([("layout_id", pa.string()), ("n_events", pa.int64()), ("panels", pa.list_(panel))])
 
-    def fold(t: pa.Table) -> pa.Table:
-        panels = start
-        for e in t.sort_by("seq").to_pylist():
-            panels = step(panels, e["type"], e["panel_id"], e["delta"], dict(e["weights"]) if e["weights"] else None)
-        return pa.table({"layout_id": t.column("layout_id")[:1], "n_events": pa.array([t.num_rows], pa.int64()), "panels": pa.array([panels], kind)})
+    def after(state: tuple[int, list[dict]], e: dict) -> tuple[int, list[dict]]:
+        return state[0] + 1, step(state[1], e["type"], e["panel_id"], e["delta"], dict(e["weights"]) if e["weights"] else None)
 
-    own = events.select("layout_id", "seq", "type", "panel_id", "delta", "weights")
-    return own.groupBy("layout_id").applyInArrow(fold, f"layout_id string, n_events bigint, panels array<{PANEL}>")
+    return resumed(
+        events, "layout_id", "seq", ["type", "panel_id", "delta", "weights"], lambda: (0, start), after, lambda state: {"n_events": state[0], "panels": state[1]},
+        kind, f"layout_id string, n_events bigint, panels array<{PANEL}>",
+    )
 
 
 def stored(folded: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The selection machine: begin, update, clear and relayout events folded in order, one group a session."""
+"""The selection machine: begin, update, clear and relayout events folded in order."""
 
 from __future__ import annotations
 
@@ -7,32 +7,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import ranges as R
+from quire.operators.order import resumed
+from quire.schema import POINT
 
-STATE = "session_id string, page_index int, anchor struct<chapter:int,block:int,offset:bigint>, focus struct<chapter:int,block:int,offset:bigint>"
+STATE = f"session_id string, page_index int, anchor {POINT}, focus {POINT}"
+
+
+def step(now: tuple | None, kind: str, page_index: int | None, hit: object) -> tuple | None:
+    """The selection (page, anchor, focus), or none, after an event. begin takes the point or drops the selection; update moves its end on the same page
+    only; clear and relayout drop it."""
+    if kind == "begin":
+        return (page_index, hit, hit) if hit is not None else None
+    if kind == "update" and now is not None and hit is not None and page_index == now[0]:
+        return now[0], now[1], hit
+    return None if kind in ("clear", "relayout") else now
 
 
 def folded(events: DataFrame) -> DataFrame:
     """session_id, page_index, range of the sessions with a selection at the end.
 
-    events: session_id, seq, type, page_index, hit (the point under the pointer, or null). begin takes the point or drops
-    the selection; update moves its end on the same page only; clear and relayout drop it.
+    events: session_id, seq, type, page_index, hit (the point under the pointer, or null).
     """
     point = pa.struct([("chapter", pa.int32()), ("block", pa.int32()), ("offset", pa.int64())])
-
-    def fold(t: pa.Table) -> pa.Table:
-        now = None
-        for e in t.sort_by("seq").to_pylist():
-            if e["type"] == "begin":
-                now = (e["page_index"], e["hit"], e["hit"]) if e["hit"] else None
-            elif e["type"] == "update" and now and e["hit"] and e["page_index"] == now[0]:
-                now = (now[0], now[1], e["hit"])
-            elif e["type"] in ("clear", "relayout"):
-                now = None
-        rows = [now] if now else []
-        return pa.table({
-            "session_id": t.column("session_id")[: len(rows)], "page_index": pa.array([r[0] for r in rows], pa.int32()),
-            "anchor": pa.array([r[1] for r in rows], point), "focus": pa.array([r[2] for r in rows], point),
-        })
-
-    own = events.select("session_id", "seq", "type", "page_index", "hit").groupBy("session_id").applyInArrow(fold, STATE)
+    kind = pa.schema([("session_id", pa.string()), ("page_index", pa.int32()), ("anchor", point), ("focus", point)])
+    own = resumed(
+        events, "session_id", "seq", ["type", "page_index", "hit"], lambda: None, lambda now, e: step(now, e["type"], e["page_index"], e["hit"]),
+        lambda now: now and {"page_index": now[0], "anchor": now[1], "focus": now[2]}, kind, STATE,
+    )
     return own.select("session_id", "page_index", R.range_of(F.col("anchor"), F.col("focus")).alias("range"))

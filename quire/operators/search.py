@@ -33,6 +33,12 @@ def with_pages(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("page_index", F.coalesce("page_index", F.lit(0)).cast("int"))
 
 
+def up_to(blocks: DataFrame, hits: DataFrame) -> DataFrame:
+    """The blocks that the pages of hits depend on: those of each book's chapters up to the last one with a hit."""
+    last = hits.groupBy("book_id").agg(F.max("chapter_index").alias("_last"))
+    return blocks.join(last, "book_id").filter(F.col("chapter_index") <= F.col("_last")).drop("_last")
+
+
 def block_text(blocks: DataFrame, chapter: int, block: int) -> DataFrame:
     """The text at these coordinates of each book, carriage returns removed; no row where there is no such block."""
     at = blocks.filter((F.col("chapter_index") == chapter) & (F.col("block_index") == block))

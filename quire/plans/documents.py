@@ -61,7 +61,9 @@ def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = blocks(spark, sf_dir)
-    return search.with_pages(search.search(own, "the", 50), layout.paginated(layout.shaped(own))).drop("snippet")
+    found = written(search.search(own, "the", 50))
+    # only chapters up to a book's last hit are laid out
+    return search.with_pages(found, layout.paginated(written(layout.shaped(search.up_to(own, found))))).drop("snippet")
 
 
 @query(f"WITH {SHAPED} SELECT book_id, chapter_index, block_index, font_size, is_heading, n_lines, line_height FROM shaped")

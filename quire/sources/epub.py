@@ -14,6 +14,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import dropwhile
 
 import pandas as pd
 import pyarrow as pa
@@ -107,36 +108,40 @@ def package(xml: str) -> dict:
     return out
 
 
+def paragraphs(xml: str) -> Iterator[list[tuple[str, str, dict[str, str]]]]:
+    """What each paragraph of the body holds, up to its end or the next one's start; the last one, if nothing closes it, up to where the markup breaks."""
+    inside, held = False, None
+    for event in events(xml):
+        match event[:2]:
+            case ("start" | "end") as kind, "body":
+                inside = kind == "start"
+            case ("start", "p") if inside:
+                if held is not None:
+                    yield held
+                held = []
+            case "end", "p":
+                if held is not None:
+                    yield held
+                held = None
+            case _ if held is not None:
+                held.append(event)
+    if held is not None:
+        yield held
+
+
 def notes_of(xml: str) -> dict:
     """The notes and the back links of a notes page, in order; a note is the paragraph whose first named anchor names it."""
     notes, links = [], []
-    body = para = False
-    own, text = None, []
-
-    def flush() -> None:
-        words = "".join(text).strip()
-        if own is not None and words:
-            notes.append({"position": len(notes), "note_id": own, "text": words})
-
-    for kind, name, a in events(xml):
-        if kind == "start" and name == "body":
-            body = True
-        elif kind == "start" and name == "p" and body:
-            flush()
-            own, text, para = None, [], True
-        elif kind == "start" and name == "a" and para:
-            own = a.get("id") if own is None else own
-            back = a.get("href", "").split("#")[1:2]
-            if own is not None and back:
-                links.append({"position": len(links), "note_id": own, "source_id": back[0]})
-        elif kind == "text" and para:
-            text.append(unescaped(name) or "")
-        elif kind == "end" and name == "p":
-            para = False
-        elif kind == "end" and name == "body":
-            body = False
-    flush()
-    return {"notes": notes, "links": links}
+    for held in paragraphs(xml):
+        named = [*dropwhile(lambda a: "id" not in a, (a for kind, name, a in held if (kind, name) == ("start", "a")))]
+        words = "".join(unescaped(name) or "" for kind, name, _ in held if kind == "text").strip()
+        if named and words:
+            notes.append((named[0]["id"], words))
+        links += [(named[0]["id"], a["href"].split("#")[1]) for a in named if "#" in a.get("href", "")]
+    return {
+        "notes": [{"position": k, "note_id": own, "text": words} for k, (own, words) in enumerate(notes)],
+        "links": [{"position": k, "note_id": own, "source_id": back} for k, (own, back) in enumerate(links)],
+    }
 
 
 _MARK = re.compile(r"[0-9]+|\[[0-9]*\]|\([0-9]*\)|[*†‡§]+")

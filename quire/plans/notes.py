@@ -192,3 +192,26 @@ def epub_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of notes pages with what links back to them."""
     out = epub.parse(_archives(spark, sf_dir, _styled))
     return out["notes"].join(out["note_backlinks"], ["book_id", "note_id"])
+
+
+def _planted(_: int, lines: list[str]) -> Chapters:
+    """Line ends in a heading, ignored sections, a paragraph inside a heading, white space alone, and a line end that isn't one."""
+    forms = ["<p>{}<br></br>end</p>", "<p>{}<!-- no --><![CDATA[no]]><?no no?></p>", "<h1><p>{}</p></h1>", "<p> </p><p><i> </i>{}</p>"]
+    return [("c.xhtml", "".join((forms[n % 4] if n else "<h2>{}<br/>tail</h2>").format(escape(line)) for n, line in enumerate(lines)))]
+
+
+@query(
+    """WITH lines AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, n - 1 AS n, string_split(text, chr(10))[n] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(n)),
+    planted AS (
+        SELECT book_id, n, 0 AS part, n = 0 AS heads,
+               CASE WHEN n = 0 THEN [(line, 'b24'), (chr(10), '12'), ('tail', 'b24')] WHEN n % 4 = 0 THEN [(line, '12'), ('end', '12')] WHEN n % 4 = 1 THEN [(line, '12')] WHEN n % 4 = 2 THEN [(line, 'b12')] ELSE [(' ', '12')] END AS spans FROM lines
+        UNION ALL SELECT book_id, n, 1, false, [(' ', 'i12'), (line, '12')] FROM lines WHERE n % 4 = 3
+    ), kept AS (SELECT * REPLACE (list_filter(spans, lambda s: s[1] <> '') AS spans) FROM planted)
+    SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY n, part) - 1 AS INTEGER) AS block_index, CASE WHEN heads THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN heads THEN 2 END AS level,
+           array_to_string(list_transform(spans, lambda s: s[1]), '') AS text, array_to_string(list_transform(spans, lambda s: s[2]), ',') AS styles FROM kept WHERE heads OR len(spans) > 0"""
+)
+def planted_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of chapters with planted oddities: their kinds, plain texts, and the style and size of each span."""
+    blocks = epub.parse(_archives(spark, sf_dir, _planted))["blocks"]
+    style = lambda s: F.concat(F.when(s["bold"], "b").otherwise(""), F.when(s["italic"], "i").otherwise(""), s["font_size"].cast("int").cast("string"))
+    return blocks.select("book_id", "block_index", "kind", "level", X.plain_text(F.col("spans")).alias("text"), F.array_join(F.transform("spans", style), ",").alias("styles"))

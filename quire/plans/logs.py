@@ -251,3 +251,15 @@ def panel_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rails, splitters and panels of layouts: a user's events are its panels, views the collapsed ones."""
     own = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("layout_id"), F.col("event_id").alias("position"), F.col("event_id").cast("string").alias("id"), (F.col("event_type") == "view").alias("collapsed"))
     return panels.items(own).withColumn("ids", F.array_join("ids", ","))
+
+
+@query(
+    """WITH c AS (SELECT CAST(user_id AS VARCHAR) AS layout_id, event_id AS position, chr(CAST(97 + event_id % 5 AS INTEGER)) AS id, event_type AS content FROM events),
+    p AS (SELECT DISTINCT layout_id, unnest(['a', 'b', 'c']) AS id FROM c)
+    SELECT layout_id, id, arg_max(content, position) AS content FROM c JOIN p USING (layout_id, id) GROUP BY ALL"""
+)
+def declared_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as children of their user's layout, of five panels named; three are declared, and the last child of each counts."""
+    own = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("layout_id"), F.col("event_id").alias("position"), F.char(97 + F.col("event_id") % 5).alias("id"), F.col("event_type").alias("content"))
+    declared = own.select("layout_id").distinct().select("layout_id", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("id"))
+    return panels.declared(own, declared)

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators import layout
 from quire.plans.corpus import read
 from quire.plans.registry import query
+from quire.reader import Reader
 from quire.sources import epub
+from quire.tables import written
 
 
 @query(
@@ -215,3 +218,31 @@ def planted_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = epub.parse(_archives(spark, sf_dir, _planted))["blocks"]
     style = lambda s: F.concat(F.when(s["bold"], "b").otherwise(""), F.when(s["italic"], "i").otherwise(""), s["font_size"].cast("int").cast("string"))
     return blocks.select("book_id", "block_index", "kind", "level", X.plain_text(F.col("spans")).alias("text"), F.array_join(F.transform("spans", style), ",").alias("styles"))
+
+
+@query(
+    f"""WITH {_WORDS}, refs AS (SELECT book_id, count(*) FILTER (WHERE is_last AND n % 3 <> 0) AS r FROM words GROUP BY book_id)
+    SELECT book_id, count(*) AS n_notes, CAST(2 AS BIGINT) AS n_chapters, coalesce(any_value(r), 0) AS n_noterefs FROM lines LEFT JOIN refs USING (book_id) GROUP BY book_id"""
+)
+def note_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reader's totals of books whose every line has a note."""
+    return Reader(spark, epub.parse(_archives(spark, sf_dir, _styled))).noteref_count().select("book_id", "n_notes", "n_chapters", "n_noterefs")
+
+
+_PICKED = 7
+
+
+@query(
+    f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, string_split(text, chr(10))[1] AS head FROM documents)
+    SELECT book_id, substring(head, 1, {_PICKED}) AS text FROM l WHERE head <> ''"""
+)
+def selected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's first letters selected by a pointer that goes back from behind the seventh one to the left of the first, and read."""
+    tables = epub.parse(_archives(spark, sf_dir))
+    reader = Reader(spark, tables | {"blocks": written(tables["blocks"])})
+    heads = layout.cells(reader.lines.filter("chapter_index = 0 and block_index = 0 and line_in_block = 0"), reader.shaped)
+    k = F.least(F.lit(_PICKED), F.size("rights"))
+    at = heads.select("book_id", (layout.place(F.col("rights"), k, F.col("font_size")) - 0.1).alias("px"), (F.col("y") + 1).cast("double").alias("py"))
+    event = lambda seq, kind, px: at.select("book_id", F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("type"), F.lit(0).alias("page_index"), px.alias("px"), "py")
+    pointer = event(1, "begin", F.col("px")).unionByName(event(2, "update", F.lit(0.0)))
+    return reader.select(pointer).selected_text().select("book_id", "text")

@@ -120,7 +120,7 @@ def _archives(spark: SparkSession, sf_dir: str, chapters: Callable[[int, list[st
             rows = [(str(d), f"{d}.epub", archive(f"Book {d}", (chapters or plain)(d, text.split("\n")))) for d, text in zip(b.doc_id, b.text)]
             yield pd.DataFrame(rows, columns=["book_id", "path", "content"])
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return docs.mapInPandas(run, "book_id string, path string, content binary")
 
 

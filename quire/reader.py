@@ -131,7 +131,8 @@ class Reader:
         at = self.hit_test(events.filter("px is not null").select("point_id", "book_id", "page_index", "px", "py"))
         at = at.select("point_id", R.point(F.col("chapter_index"), F.col("block_index"), F.col("offset")).alias("hit"))
         own = events.join(at, "point_id", "left").withColumnRenamed("book_id", "session_id")
-        return selections.folded(own).withColumnRenamed("session_id", "book_id")
+        # a row a book, which what is done with a selection reads several times
+        return written(selections.folded(own).withColumnRenamed("session_id", "book_id"))
 
     def has_selection(self) -> DataFrame:
         own = self.selected_range().select("book_id", F.lit(True).alias("s"))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
@@ -240,9 +240,14 @@ def selected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each book's first letters selected by a pointer that goes back from behind the seventh one to the left of the first, and read."""
     tables = epub.parse(_archives(spark, sf_dir))
     reader = Reader(spark, tables | {"blocks": written(tables["blocks"])})
-    heads = layout.cells(reader.lines.filter("chapter_index = 0 and block_index = 0 and line_in_block = 0"), reader.shaped)
-    k = F.least(F.lit(_PICKED), F.size("rights"))
-    at = heads.select("book_id", (layout.place(F.col("rights"), k, F.col("font_size")) - 0.1).alias("px"), (F.col("y") + 1).cast("double").alias("py"))
-    event = lambda seq, kind, px: at.select("book_id", F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("type"), F.lit(0).alias("page_index"), px.alias("px"), "py")
-    pointer = event(1, "begin", F.col("px")).unionByName(event(2, "update", F.lit(0.0)))
+    # letters count over the heading's lines, as a wide word may begin a line before the last letter; a line holds one at least
+    heads = layout.cells(reader.lines.filter(f"chapter_index = 0 and block_index = 0 and line_in_block < {_PICKED}"), reader.shaped)
+    before = F.sum(F.size("rights")).over(Window.partitionBy("book_id").orderBy("line_in_block").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumn("_k", F.least(F.lit(_PICKED) - F.coalesce(before, F.lit(0)), F.size("rights")).cast("int")).filter("_k > 0")
+    at = heads.groupBy("book_id").agg(
+        F.max_by(F.struct("page_index", (layout.place(F.col("rights"), F.col("_k"), F.col("font_size")) - 0.1).alias("px"), (F.col("y") + 1).cast("double").alias("py")), "line_in_block").alias("behind"),
+        F.min_by(F.struct("page_index", F.lit(0.0).alias("px"), (F.col("y") + 1).cast("double").alias("py")), "line_in_block").alias("left"),
+    )
+    event = lambda seq, kind, place: at.select("book_id", F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("type"), f"{place}.*")
+    pointer = event(1, "begin", "behind").unionByName(event(2, "update", "left"))
     return reader.select(pointer).selected_text().select("book_id", "text")

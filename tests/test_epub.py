@@ -189,3 +189,12 @@ def test_archives_from_files(spark, tmp_path):
     own = epub.read_archives(spark, str(tmp_path))
     assert own.count() == 2
     assert sorted(r.title for r in epub.parse(own)["books"].collect()) == ["A", "B"]
+
+
+def test_selected_letters_go_on_in_the_next_line(spark, tmp_path):
+    from quire.plans.notes import selected_texts
+
+    heads = {1: "Be to kskbgbbk.26@mail4.example.com is anorsh", 2: "A b cccccccccccccccccccccccccccccccccccccccccccccccc", 3: "short", 4: "", 5: "An ordinary heading"}
+    spark.createDataFrame([(k, f"{h}\nA paragraph.") for k, h in heads.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.book_id: r.text for r in selected_texts(spark, str(tmp_path)).collect()}
+    assert got == {str(k): h[:7] for k, h in heads.items() if h}

@@ -118,7 +118,7 @@ def cells(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in _slices(batch, batch.column("text")):
+            for b in slices(batch, batch.column("text")):
                 runs = [[(r["until"] - (own[k - 1]["until"] if k else 0), r["bold"]) for k, r in enumerate(own)] for own in b.column("runs").to_pylist()]
                 c = Cut(b.column("text").to_pylist(), runs)
                 text_of = np.repeat(np.arange(b.num_rows), np.diff(c.bounds))
@@ -144,7 +144,7 @@ def shaped(blocks: DataFrame, content: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["book_id", "chapter_index", "block_index", "font_size", "is_heading", "n_lines", "line_height", "lines"]
         for batch in batches:
-            for b in _slices(batch, batch.column(6)):
+            for b in slices(batch, batch.column(6)):
                 limits = [int(content * metrics.EM // size) for size in b.column(3).to_pylist()]
                 spans = [[(s["n"] or 0, s["bold"]) for s in own or ()] for own in b.column(7).to_pylist()]
                 lines = wrapped([t or "" for t in b.column(6).to_pylist()], spans, limits)
@@ -157,7 +157,7 @@ def shaped(blocks: DataFrame, content: float) -> DataFrame:
     return own.mapInArrow(run, SHAPED)
 
 
-def _slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 2048, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, texts: pa.Array, rows: int = 2048, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of few rows and few bytes of text (a single larger text is a slice)."""
     lengths = np.r_[0, np.cumsum([n or 0 for n in pa.compute.binary_length(texts).to_pylist()])]
     at = 0

@@ -7,12 +7,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import layout
+from quire.operators.shaping import slices
 from quire.plans.corpus import read
 from quire.plans.registry import query
 from quire.reader import Reader
@@ -115,13 +116,14 @@ def _archives(spark: SparkSession, sf_dir: str, chapters: Callable[[int, list[st
     def plain(_: int, lines: list[str]) -> Chapters:
         return [("chapter.xhtml", f"<h1>{escape(lines[0])}</h1>" + "".join(f"<p>{escape(line)}</p>" for line in lines[1:]))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(str(d), f"{d}.epub", archive(f"Book {d}", (chapters or plain)(d, text.split("\n")))) for d, text in zip(b.doc_id, b.text)]
-            yield pd.DataFrame(rows, columns=["book_id", "path", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, batch.column(1), epub.ROWS, epub.BYTES):
+                rows = [(str(d), f"{d}.epub", archive(f"Book {d}", (chapters or plain)(d, text.split("\n")))) for d, text in zip(*(c.to_pylist() for c in b.columns))]
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["book_id", "path", "content"])
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return docs.mapInPandas(run, "book_id string, path string, content binary")
+    return docs.mapInArrow(run, "book_id string, path string, content binary")
 
 
 @query(

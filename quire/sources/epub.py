@@ -1,7 +1,7 @@
 """EPUB archives as DataFrames of books, spine, notes and blocks.
 
 Archives come from Spark's binaryFile source and are unzipped once, into a written table of the entries that their package
-file names; three small parsers (package file, notes page, chapter) run as Pandas UDFs on one file each. What relates
+file names; three small parsers (package file, notes page, chapter) run in Arrow batches, on one file each and few files at once. What relates
 files to each other is joins: manifest to spine, spine to archive entries, notes to chapters. Contents take part in one join only.
 Reading is strict: a parser stops at the first malformed markup and keeps what it has. A damaged archive or entry, or one under a
 password, gives its book an error and no other book.
@@ -13,16 +13,16 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import dropwhile
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators.order import last_by
+from quire.operators.shaping import slices
 from quire.schema import BLOCK_COLUMNS
 from quire.tables import written
 
@@ -240,8 +240,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.sha2("path", 256).alias("book_id"), "path", "content")
 
 
-#: Characters of unzipped text that leave a task at once.
-UNZIPPED = 8 << 20
+#: Characters of unzipped text that leave a task at once, and rows and bytes of files that are parsed at once: a task's memory
+#: depends on these and on its largest file, not on how many rows Spark puts into a batch.
+UNZIPPED = 1 << 20
+ROWS, BYTES = 64, 1 << 18
 
 
 CONTAINER = "META-INF/container.xml"
@@ -291,36 +293,43 @@ def entries(archives: DataFrame) -> DataFrame:
     An archive that can't be opened, or has no package file, gives one row of the role "archive" with its error.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in ENTRY.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(c.split(" ")[0], pa.string()) for c in ENTRY.split(", ")])
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [[]] * len(kind)], schema=kind)
         for batch in batches:
             rows, size = [], 0
-            for book, content in zip(batch.book_id, batch.content):
-                own = _unzipped(book, content)
+            for book, content in zip(*batch.columns):
+                own = _unzipped(book.as_py(), content.as_py())
                 rows += own
                 size += sum(len(r[3] or "") for r in own)
-                if size > UNZIPPED:
-                    yield pd.DataFrame(rows, columns=names)
+                if size > UNZIPPED or len(rows) > 8 * ROWS:
+                    yield of(rows)
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=names)
+            yield of(rows)
 
-    return archives.select("book_id", "content").mapInPandas(run, ENTRY)
+    return archives.select("book_id", "content").mapInArrow(run, ENTRY)
 
 
-_NOTES = "notes array<struct<position:int,note_id:string,text:string>>, links array<struct<position:int,note_id:string,source_id:string>>"
-_PACKAGE = "title string, author string, manifest array<struct<position:int,id:string,href:string>>, spine array<struct<position:int,idref:string>>"
+_NOTES = "notes:array<struct<position:int,note_id:string,text:string>>,links:array<struct<position:int,note_id:string,source_id:string>>"
+_PACKAGE = "title:string,author:string,manifest:array<struct<position:int,id:string,href:string>>,spine:array<struct<position:int,idref:string>>"
 
 
-def _rootfiles(xml: pd.Series) -> pd.Series:
-    return xml.map(lambda x: rootfile(x) if x else None)
+_POSITIONED = lambda *names: pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in names)]))
+_NOTES_KIND = pa.struct([("notes", _POSITIONED("note_id", "text")), ("links", _POSITIONED("note_id", "source_id"))])
+_PACKAGE_KIND = pa.struct([("title", pa.string()), ("author", pa.string()), ("manifest", _POSITIONED("id", "href")), ("spine", _POSITIONED("idref"))])
 
 
-def _packages(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([package(x or "") for x in xml], columns=["title", "author", "manifest", "spine"])
+def _parsed(files: DataFrame, parser: Callable[[str], dict], name: str, schema: str, kind: pa.DataType) -> DataFrame:
+    """files (string columns, content the last) with what a parser says of each content, in its place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, batch.column(batch.num_columns - 1), ROWS, BYTES):
+                own = pa.array([parser(x or "") for x in b.column(b.num_columns - 1).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], own], [*b.schema.names[:-1], name])
 
-def _notes_pages(xml: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([notes_of(x) for x in xml], columns=["notes", "links"])
+    kept = "".join(f"{c} string, " for c in files.columns[:-1])
+    return files.mapInArrow(run, f"{kept}{name} struct<{schema}>")
 
 
 _SPANS = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("superscript", pa.bool_()), ("debug_noteref_candidate", pa.bool_()), ("noteref_id", pa.string()), ("font_size", pa.float32())]))
@@ -335,31 +344,18 @@ def chapters(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
+            for b in slices(batch, batch.column(2), ROWS, BYTES):
                 rows = []
-                for p in batch.slice(start, 64).to_pylist():
+                for p in b.to_pylist():
                     back = {n["note_id"]: n["source_id"] for n in p["known"] or ()}
-                    for b in chapter(p["content"], {*(p["files"] or ())}, back, bool(p["is_notes_file"])):
-                        rows.append(b | {"book_id": p["book_id"], "chapter_index": p["chapter_index"]})
+                    for block in chapter(p["content"], {*(p["files"] or ())}, back, bool(p["is_notes_file"])):
+                        rows.append(block | {"book_id": p["book_id"], "chapter_index": p["chapter_index"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
 
     own = pages.select("book_id", F.col("chapter_index").cast("int"), "content", "files", "known", "is_notes_file")
     return own.mapInArrow(run, f"book_id string, chapter_index int, {BLOCK_COLUMNS}")
 
 
-# the UDFs are made where they are used, as their types need a session
-def parse_rootfile(xml: str) -> Column:
-    return F.pandas_udf(_rootfiles, "string")(xml)
-
-
-def parse_package(xml: str) -> Column:
-    return F.pandas_udf(_packages, _PACKAGE)(xml)
-
-
-def parse_notes(xml: str) -> Column:
-    return F.pandas_udf(_notes_pages, _NOTES)(xml)
-
-
 def spine_of(manifest: DataFrame, spine: DataFrame) -> DataFrame:
     """book_id, chapter_index, href: spine items in order, each with its manifest item; the last of an id counts, unmatched items go."""
     items = last_by(manifest, ["book_id", "id"], F.col("position"), "href").withColumnRenamed("id", "idref")
@@ -386,14 +382,14 @@ def parse(archives: DataFrame, to: str | None = None) -> dict[str, DataFrame]:
     parse_error and no blocks: a broken archive, no package file, a missing or damaged chapter.
     """
     files = written(entries(archives), to)
-    opf = files.filter("role = 'package'").select("book_id", F.col("name").alias("opf_path"), F.col("error").alias("unread"), parse_package("content").alias("p"))
-    opf = written(opf, f"{to}-packages" if to else None)
+    opf = files.filter("role = 'package'").select("book_id", F.col("name").alias("opf_path"), F.col("error").alias("unread"), "content")
+    opf = written(_parsed(opf, package, "p", _PACKAGE, _PACKAGE_KIND), f"{to}-packages" if to else None)
     spine = spine_of(opf.select("book_id", F.inline("p.manifest")), opf.select("book_id", F.inline("p.spine"))).join(opf.select("book_id", "opf_path"), "book_id")
     spine = spine.select("book_id", "chapter_index", "href", F.concat(X.folder_of(F.col("opf_path")), "href").alias("full_path"), X.file_of(F.col("href")).alias("filename"))
     spine = written(spine, f"{to}-spine" if to else None)
     pages = files.filter("role = 'file'").withColumnRenamed("name", "full_path")
-    noted = pages.filter("content is not null").filter(X.is_notes_section(F.col("content"))).select("book_id", "full_path", parse_notes("content").alias("n"))
-    noted = written(noted.join(spine, ["book_id", "full_path"]), f"{to}-notes-pages" if to else None)
+    noted = pages.filter("content is not null").filter(X.is_notes_section(F.col("content"))).select("book_id", "full_path", "content")
+    noted = written(_parsed(noted, notes_of, "n", _NOTES, _NOTES_KIND).join(spine, ["book_id", "full_path"]), f"{to}-notes-pages" if to else None)
     notes = last_notes(noted.select("book_id", "chapter_index", F.inline("n.notes")))
     links = first_links(noted.select("book_id", "chapter_index", F.inline("n.links")))
     names = noted.groupBy("book_id").agg(F.collect_set("filename").alias("files"))

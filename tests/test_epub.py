@@ -198,3 +198,41 @@ def test_selected_letters_go_on_in_the_next_line(spark, tmp_path):
     spark.createDataFrame([(k, f"{h}\nA paragraph.") for k, h in heads.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.book_id: r.text for r in selected_texts(spark, str(tmp_path)).collect()}
     assert got == {str(k): h[:7] for k, h in heads.items() if h}
+
+
+class _Caught:
+    """Takes what a mapInArrow would run, to be run on batches of any size here."""
+
+    columns = ["book_id", "content"]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_memory_does_not_grow_with_the_batch(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = CHAPTER.format('<section epub:type="footnotes">' + "".join(f'<p><a href="c.xhtml#r{k}" id="n{k}">{k}</a> <b>word</b></p>' for k in range(200)) + "</section>")
+    book = archive("Book", [("c.xhtml", page), ("notes.xhtml", page)])
+
+    def peak(run, batch):
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        own = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return own
+
+    def batches(n):
+        ids = pa.array([f"b{k}" for k in range(n)])
+        pages = {"book_id": ids, "chapter_index": pa.array([0] * n, pa.int32()), "content": pa.array([page] * n), "files": pa.array([["notes.xhtml"]] * n), "known": pa.array([[{"note_id": "n1", "source_id": "r1"}]] * n), "is_notes_file": pa.array([False] * n)}
+        return pa.record_batch({"book_id": ids, "content": pa.array([page] * n)}), pa.record_batch({"book_id": ids, "content": pa.array([book] * n, pa.binary())}), pa.record_batch(pages)
+
+    runs = epub._parsed(_Caught(), epub.notes_of, "n", epub._NOTES, epub._NOTES_KIND), epub.entries(_Caught()), epub.chapters(_Caught())
+    for run, few, many in zip(runs, batches(64), batches(320)):
+        assert peak(run, many) < 1.5 * peak(run, few)

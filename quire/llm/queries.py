@@ -31,7 +31,7 @@ def op4_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.samples(table(spark, sf_dir, "documents"), k=2, ids=False)
+    return pieces.samples(table(spark, sf_dir, "documents"), k=2)
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

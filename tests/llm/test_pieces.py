@@ -99,3 +99,11 @@ def test_draws_do_not_depend_on_the_batch():
         alone = P.sampled(b, [b.starts], 4, [np.random.default_rng(n % 3)])[0]
         assert [(a.ids(e, V).tolist(), lp, q) for e, lp, q in got] == [(b.ids(e, V).tolist(), lp, q) for e, lp, q in alone]
     assert P.sampled(a, [], 2, []) == []
+
+
+def test_the_query_gives_the_pieces(spark, small):
+    from quire.llm.queries import op5_piece_samples
+
+    rows = P.decoded(op5_piece_samples(spark, small).filter("doc_id < 20")).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 20").collect()}
+    assert rows and all(len(r.ids) == r.n_pieces and r.decoded == texts[r.doc_id] for r in rows)

@@ -45,12 +45,12 @@ def block_text(blocks: DataFrame, chapter: int, block: int) -> DataFrame:
     return at.select("book_id", X.without_returns(F.col("text")).alias("text"))
 
 
-#: Positions of a book meet ranges in aligned intervals of 1, 4, 16, .. up to 4 ** TOP positions.
+#: Chapters of a book meet ranges in aligned intervals of 1, 4, 16, .. up to 4 ** TOP chapters.
 TOP = 6
 
 
 def _units(level: int, first: Column, last: Column) -> Column:
-    """The aligned intervals of a level that the positions first..last hold, but for those of which they hold the next level's interval too."""
+    """The aligned intervals of a level that the places first..last hold, but for those of which they hold the next level's interval too."""
     bits = 2 * level
     a, b = F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(last + 1, bits)  # from a to before b
     listed = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -63,33 +63,34 @@ def _units(level: int, first: Column, last: Column) -> Column:
 
 
 def block_links(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """book_id, chapter_index, block_index, range_id and the ends of each range that touches a block of rows.
+    """book_id, chapter_index, block_index, range_id and the ends of each range that touches a block of the chapters of rows.
 
-    Blocks have positions in their book's order, which chapters' counts give. A range is cut into aligned intervals of positions, few for each size and a
-    number that grows with its length over 4 ** TOP; a block belongs to one interval of each size. So the join is one on equal
-    intervals, which meets no pair in vain, and no interval holds more than 4 ** TOP positions, however long a range is.
+    A range's first and last chapter give their blocks by their counts, without a join on blocks; a block that rows don't have goes when they are joined. The
+    chapters between have places in their book's order: a range is cut into aligned intervals of places, few for each size and a number that grows
+    with its length over 4 ** TOP; a chapter belongs to one interval of each size. So that join is one on equal intervals, which meets no pair in vain.
     """
-    keys = written(rows.select("book_id", F.col("chapter_index").cast("int").alias("chapter_index"), F.col("block_index").cast("int").alias("block_index")).distinct())
-    chapters = keys.groupBy("book_id", "chapter_index").agg((F.max("block_index") + 1).cast("bigint").alias("_n"))
+    chapters = rows.groupBy("book_id", F.col("chapter_index").cast("int").alias("chapter_index")).agg((F.max("block_index") + 1).cast("int").alias("_n"))
     # chapters that only ranges know have no blocks
-    named = ranges.select("book_id", F.explode(F.array(f"{start}.chapter", f"{end}.chapter")).alias("chapter_index")).distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    named = ranges.select("book_id", F.explode(F.array(f"{start}.chapter", f"{end}.chapter")).alias("chapter_index")).distinct().withColumn("_n", F.lit(0))
     chapters = chapters.unionByName(named).groupBy("book_id", "chapter_index").agg(F.max("_n").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1))
-    chapters = written(chapters.withColumn("_base", F.coalesce(before, F.lit(0).cast("bigint"))))
+    chapters = written(chapters.withColumn("_at", F.row_number().over(Window.partitionBy("book_id").orderBy("chapter_index")).cast("bigint")))
 
-    ends = ranges.select("book_id", "range_id", start, end)
-    at = lambda e: chapters.select("book_id", F.col("chapter_index").alias(f"_c_{e}"), F.col("_n").alias(f"_n_{e}"), F.col("_base").alias(f"_base_{e}"))
+    own = ["book_id", "range_id", start, end]
+    ends = ranges.select(*own)
+    at = lambda e: chapters.select("book_id", F.col("chapter_index").alias(f"_c_{e}"), F.col("_n").alias(f"_n_{e}"), F.col("_at").alias(f"_at_{e}"))
     for e, column in (("s", start), ("e", end)):
         ends = ends.withColumn(f"_c_{e}", F.col(f"{column}.chapter")).join(at(e), ["book_id", f"_c_{e}"])
-    first = F.col("_base_s") + F.least(F.col(f"{start}.block").cast("bigint"), F.col("_n_s"))
-    last = F.col("_base_e") + F.least(F.col(f"{end}.block").cast("bigint"), F.col("_n_e") - 1)
-    pieces = ends.select("book_id", "range_id", start, end, first.alias("_first"), last.alias("_last"))
-    pieces = pieces.select("book_id", "range_id", start, end, F.inline(F.concat(*[_units(k, F.col("_first"), F.col("_last")) for k in range(TOP + 1)])))
-    place = F.col("_base") + F.col("block_index")
-    own = keys.join(chapters, ["book_id", "chapter_index"]).select(
-        "book_id", "chapter_index", "block_index", F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(place, 2 * k).alias("unit")) for k in range(TOP + 1)]))
-    )
-    return own.join(pieces, ["book_id", "level", "unit"]).drop("level", "unit")
+    ends = ends.filter("_at_s <= _at_e")
+    part = lambda c, first, last: F.struct(c.alias("chapter_index"), first.cast("int").alias("_first"), last.cast("int").alias("_last"))
+    first, last = F.greatest(F.col(f"{start}.block"), F.lit(0)), F.least(F.col(f"{end}.block"), F.col("_n_e") - 1)
+    one = F.array(part(F.col("_c_s"), first, last))
+    two = F.array(part(F.col("_c_s"), first, F.col("_n_s") - 1), part(F.col("_c_e"), F.lit(0), last))
+    outer = ends.select(*own, F.inline(F.when(F.col("_at_s") == F.col("_at_e"), one).otherwise(two)))
+    pieces = ends.filter("_at_e - _at_s > 1").select(*own, F.inline(F.concat(*[_units(k, F.col("_at_s") + 1, F.col("_at_e") - 1) for k in range(TOP + 1)])))
+    units = chapters.filter("_n > 0").select("book_id", "chapter_index", F.lit(0).alias("_first"), (F.col("_n") - 1).alias("_last"), F.inline(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_at", 2 * k).alias("unit")) for k in range(TOP + 1)])))
+    inner = units.join(pieces, ["book_id", "level", "unit"]).select(*own, "chapter_index", "_first", "_last")
+    parts = outer.unionByName(inner).filter("_first <= _last")
+    return parts.select("book_id", "chapter_index", F.explode(F.sequence("_first", "_last")).alias("block_index"), "range_id", start, end)
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

@@ -40,3 +40,15 @@ def test_extraction_of_a_whole_book(spark):
     ranges = [("b", 1, (0, 0, 0), (49, 39, 9)), ("b", 2, (3, 39, 1), (5, 0, 2))]
     got = {r.range_id: r.text for r in search.extract(spark.createDataFrame(rows, "book_id string, chapter_index int, block_index int, text string"), spark.createDataFrame(ranges, RANGES)).collect()}
     assert got[1] == "\n".join(t for *_, t in rows) and got[2] == "\n".join([".39", *[f"4.{k}" for k in range(40)], "5."])
+
+
+def test_links_write_a_row_a_chapter_and_none_a_block(spark, monkeypatch):
+    written, sizes = search.written, []
+    monkeypatch.setattr(search, "written", lambda df: sizes.append(df.count()) or written(df))
+    rows = spark.createDataFrame([("b", c, k) for c in range(0, 12, 2) for k in range(9) if k != 4], "book_id string, chapter_index int, block_index int")
+    point = "struct<chapter:int,block:int,offset:bigint>"
+    spans = {1: ((0, 7, 0), (10, 1, 0)), 2: ((2, 3, 0), (2, 5, 0)), 3: ((3, 0, 0), (5, 0, 0)), 4: ((8, 8, 0), (99, 0, 0)), 5: ((6, 20, 0), (8, 0, 0))}
+    ranges = spark.createDataFrame([("b", k, a, z) for k, (a, z) in spans.items()], f"book_id string, range_id long, start {point}, end {point}")
+    got = sorted((r.range_id, r.chapter_index, r.block_index) for r in search.in_ranges(rows, ranges).collect())
+    assert got == sorted((k, r.chapter_index, r.block_index) for k, (a, z) in spans.items() for r in rows.collect() if a[:2] <= (r.chapter_index, r.block_index) <= z[:2])
+    assert sizes == [9]  # six chapters, and three that only ranges name

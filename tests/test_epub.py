@@ -234,5 +234,5 @@ def test_memory_does_not_grow_with_the_batch(spark):
         return pa.record_batch({"book_id": ids, "content": pa.array([page] * n)}), pa.record_batch({"book_id": ids, "content": pa.array([book] * n, pa.binary())}), pa.record_batch(pages)
 
     runs = epub._parsed(_Caught(), epub.notes_of, "n", epub._NOTES, epub._NOTES_KIND), epub.entries(_Caught()), epub.chapters(_Caught())
-    for run, few, many in zip(runs, batches(64), batches(320)):
+    for run, few, many in zip(runs, batches(128), batches(640)):
         assert peak(run, many) < 1.5 * peak(run, few)

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.metrics import EM
-from quire.operators.layout import MARGIN, place
+from quire.operators import shaping
+from quire.operators.layout import MARGIN
 from quire.operators.order import first_by
 
 #: Height of a band of a page.
@@ -66,14 +66,8 @@ def lines_under(points: DataFrame, lines: DataFrame) -> DataFrame:
 def offsets(points: DataFrame, lines: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """point_id, chapter_index, block_index, offset: the text position under or nearest to each point, always an end of a grapheme cluster.
 
-    A point's line is found first; cut (lines to their cells, see layout.cells) sees these lines only. On its line the cluster that holds the
-    point counts, before the first one the first, and behind the last one the last; its nearer end is the position.
+    A point's line is found first; cut (lines to their texts, see layout.with_text) sees these lines only. On its line the cluster that holds the
+    point counts, before the first one the first, and behind the last one the last; its nearer end is the position. A point's line is cut into clusters where it
+    is looked at: no cluster becomes a value of a row.
     """
-    own = cut(lines_under(points, lines))
-    size = F.col("font_size").cast("double")
-    own = own.withColumn("_k", F.size(F.filter("rights", lambda r: MARGIN + r * size / EM < F.col("px"))))
-    own = own.withColumn("_k", F.when(F.col("px") < MARGIN, F.lit(0)).otherwise(F.least(F.col("_k"), F.size("rights") - 1)))
-    left, right = place(F.col("rights"), F.col("_k"), F.col("font_size")), place(F.col("rights"), F.col("_k") + 1, F.col("font_size"))
-    later = (right > left) & ((F.least(F.greatest(F.col("px") - left, F.lit(0.0)), right - left) / (right - left)) >= 0.5)
-    before = F.when(F.col("_k") == 0, F.col("start")).otherwise(F.get("ends", F.col("_k") - 1))
-    return own.select("point_id", "chapter_index", "block_index", F.when(later, F.get("ends", F.col("_k"))).otherwise(before).cast("bigint").alias("offset"))
+    return shaping.nearest_ends(cut(lines_under(points, lines)), MARGIN, "point_id", "chapter_index", "block_index")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.functions.metrics import EM
 from quire.operators import shaping
+from quire.tables import written
 
 # Fixed values of the page.
 WIDTH, HEIGHT, MARGIN = 600.0, 800.0, 50.0
@@ -28,9 +29,14 @@ BLOCK_SPACE, HEADING_SPACE = 8.0, 16.0
 KEYS = ["book_id", "chapter_index", "block_index"]
 
 
-def shaped(blocks: DataFrame, width: float = WIDTH) -> DataFrame:
+def shaped(blocks: DataFrame, width: float = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each block, with its lines at a page's content width; see shaping.shaped."""
-    return shaping.shaped(blocks, width - 2 * MARGIN)
+    return shaping.shaped(blocks, width - 2 * MARGIN, keep=keep)
+
+
+def counted(blocks: DataFrame, width: float = WIDTH) -> DataFrame:
+    """shaped() without the lines: their numbers and heights are all that pages depend on."""
+    return shaping.shaped(blocks, width - 2 * MARGIN, lines=False)
 
 
 def place(rights: Column, k: Column, size: Column) -> Column:
@@ -48,22 +54,32 @@ def _folded(height: float):
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, page, line, y = None, 0, 0, top
-        for b in batches:
-            out = []
-            for book, chapter, block, is_heading, n, line_height, start in zip(*(c.to_pylist() for c in b.columns)):
-                if (book, chapter) != own:
-                    own, page, line, y = (book, chapter), 0, 0, np.float32(start)
-                if is_heading:
-                    y = y + heading
-                h = np.float32(line_height)
-                for k in range(n):
-                    if y + h > limit and line:
-                        page, line, y = page + 1, 0, top
-                    out.append((book, chapter, block, k, page, line, y, h))
-                    line, y = line + 1, y + h
-                y = y + space
-            cols = list(zip(*out)) or [[]] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        for batch in batches:
+            # few blocks at a time, as each may have many lines
+            for b in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+                book, chapter, _, is_heading, n, line_height, start = b.columns
+                now = list(zip(book.to_pylist(), chapter.to_pylist()))
+                pages, places, ys = [], [], []
+                for key, head, count, h, begin in zip(now, is_heading.to_pylist(), n.to_pylist(), line_height.to_numpy(), start.to_pylist()):
+                    if key != own:
+                        own, page, line, y = key, 0, 0, np.float32(begin)
+                    if head:
+                        y = y + heading
+                    for _ in range(count):
+                        below = y + h
+                        if below > limit and line:
+                            page, line, y = page + 1, 0, top
+                            below = y + h
+                        pages.append(page)
+                        places.append(line)
+                        ys.append(y)
+                        line, y = line + 1, below
+                    y = y + space
+                counts = n.to_numpy()
+                block = np.repeat(np.arange(b.num_rows), counts)
+                in_block = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+                cols = [*[b.column(k).take(pa.array(block)) for k in range(3)], in_block, pages, places, np.array(ys, np.float32), line_height.take(pa.array(block))]
+                yield pa.record_batch([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds)], names)
 
     return fold
 
@@ -72,7 +88,7 @@ LINES = "book_id string, chapter_index int, block_index int, line_in_block int,
 
 
 def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
-    """A row for each line: its page of the book, index and place on it."""
+    """A row for each line: its page of the book, index and place on it. The fold runs once: its lines are written, as their pages are counted before they are numbered."""
     flat = F.when(F.col("is_heading"), HEADING_SPACE).otherwise(0.0) + BLOCK_SPACE
     chapters = shaped.groupBy("book_id", "chapter_index").agg(F.max(F.col("n_lines") > 0).alias("full"), F.sum(flat).alias("fall"))
     before = Window.partitionBy("book_id").orderBy("chapter_index")
@@ -83,7 +99,7 @@ def paginated(shaped: DataFrame, height: float = HEIGHT) -> DataFrame:
     starts = chapters.withColumn("start", MARGIN + F.coalesce(carried, F.lit(0.0))).filter("full").select("book_id", "chapter_index", "start")
     rows = shaped.join(starts, ["book_id", "chapter_index"])
     rows = rows.select("book_id", "chapter_index", "block_index", "is_heading", "n_lines", "line_height", "start")
-    lines = rows.repartition("book_id", "chapter_index").sortWithinPartitions("book_id", "chapter_index", "block_index").mapInArrow(_folded(height), LINES)
+    lines = written(rows.repartition("book_id", "chapter_index").sortWithinPartitions("book_id", "chapter_index", "block_index").mapInArrow(_folded(height), LINES))
     pages = lines.groupBy("book_id", "chapter_index").agg((F.max("page") + 1).alias("n"))
     offset = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pages = pages.select("book_id", "chapter_index", offset.alias("offset"))
@@ -98,9 +114,10 @@ def page_counts(books: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def with_text(lines: DataFrame, shaped: DataFrame) -> DataFrame:
-    """lines with font_size and what shaping says of each: start, text, width, runs."""
-    own = shaped.filter("n_lines > 0").select(*KEYS, "font_size", F.posexplode("lines").alias("line_in_block", "_l")).select(*KEYS, "line_in_block", "font_size", "_l.*")
-    return lines.join(own, [*KEYS, "line_in_block"])
+    """lines with font_size and what shaping says of each: start, text, width, runs. They are taken from their blocks' arrays, so that a block is one row of the join."""
+    own = lines.join(shaped.select(*KEYS, "font_size", F.col("lines").alias("_lines")), KEYS)
+    own = own.filter((F.col("line_in_block") >= 0) & (F.col("line_in_block") < F.size("_lines")))
+    return own.withColumn("_l", F.get("_lines", F.col("line_in_block"))).select(*lines.columns, "font_size", "_l.*")
 
 
 def cells(lines: DataFrame, shaped: DataFrame) -> DataFrame:
@@ -134,15 +151,20 @@ def fragments(glyphs: DataFrame, line: list[str]) -> DataFrame:
 
 def span_fragments(lines: DataFrame, shaped: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """The parts of each line that are of one span, in the block's size; with the span's style where spans are given (keys, span_index, ..)."""
-    own = with_text(lines, shaped).select("*", F.posexplode("runs").alias("frag_index", "_r"))
-    before = lambda c: F.when(F.col("frag_index") == 0, F.lit(0)).otherwise(F.get("runs", F.col("frag_index") - 1)[c])
-    size = F.col("font_size").cast("double")
-    x = MARGIN + before("right") * size / EM
-    own = own.select(
-        *KEYS, "page_index", "line_index", "frag_index", F.col("_r.span").alias("span_index"), F.substring("text", before("until") + 1, F.col("_r.until") - before("until")).alias("text"),
-        x.alias("x"), "y", (MARGIN + F.col("_r.right") * size / EM - x).alias("width"), "height", "baseline",
-    )
+    own = parts(with_text(lines, shaped), "page_index", "line_index", "y", "height", "baseline")
     if spans is None:
         return own
     style = spans.select(*KEYS, "span_index", "font_size", "bold", "italic", "superscript", "noteref_id")
     return own.join(style, [*KEYS, "span_index"]).drop("span_index")
+
+
+def parts(lines: DataFrame, *keep: str) -> DataFrame:
+    """The parts (frag_index, span_index, text, x, width) of each line that are of one span. lines: as with_text() gives them; keep: what else of theirs."""
+    own = lines.select(*KEYS, *keep, "text", "runs", "font_size", F.posexplode("runs").alias("frag_index", "_r"))
+    before = lambda c: F.when(F.col("frag_index") == 0, F.lit(0)).otherwise(F.get("runs", F.col("frag_index") - 1)[c])
+    size = F.col("font_size").cast("double")
+    x = MARGIN + before("right") * size / EM
+    return own.select(
+        *KEYS, *keep, "frag_index", F.col("_r.span").alias("span_index"), F.substring("text", before("until") + 1, F.col("_r.until") - before("until")).alias("text"),
+        x.alias("x"), (MARGIN + F.col("_r.right") * size / EM - x).alias("width"),
+    )

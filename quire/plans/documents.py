@@ -241,7 +241,7 @@ near AS (
 def hit_test_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = _shaped(spark, sf_dir)
     lines = written(layout.paginated(shaped))
-    return hits.offsets(_points(spark, sf_dir, lines), lines, lambda own: layout.cells(own, shaped))
+    return hits.offsets(_points(spark, sf_dir, lines), lines, lambda own: layout.with_text(own, shaped))
 
 
 @query(

@@ -112,7 +112,7 @@ class Reader:
 
     def hit_test(self, points: DataFrame) -> DataFrame:
         near = self.lines.join(points.select("book_id", "page_index").distinct(), ["book_id", "page_index"], "left_semi")
-        return hits.offsets(points, near, lambda own: layout.cells(own, self.shaped))
+        return hits.offsets(points, near, lambda own: layout.with_text(own, self.shaped))
 
     # ---- selections
 

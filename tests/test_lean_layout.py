@@ -53,6 +53,13 @@ def test_f10_a_block_is_one_row_of_the_join_for_texts(spark):
     assert layout.with_text(lines.withColumn("line_in_block", F.lit(100_000)), shaped).count() == 0
 
 
+def test_f13_the_fold_runs_once(spark):
+    """Pages are counted and numbered on lines that are there."""
+    shaped = layout.shaped(some(spark))
+    lines = layout.paginated(shaped)
+    assert "MapInArrow" not in plan(lines) and "MapInArrow" not in plan(hits.noterefs(spark.createDataFrame([(0, "b", 0, 60.0, 60.0)], "point_id long, book_id string, page_index int, px double, py double"), lines.withColumns({"frag_index": F.lit(0), "x": F.lit(50.0), "width": F.lit(9.0), "noteref_id": F.lit("n")})))
+
+
 def test_f10_lines_end_where_a_word_goes_on(spark):
     """Words wider than a line, before and after words that fit, in texts that follow each other."""
     texts = ["x" * 7 + " yy", "", "aaa xxxxxxxxx", " ", "x" * 9]

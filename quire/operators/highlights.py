@@ -27,8 +27,16 @@ def touched(highlights: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def pages_with(highlights: DataFrame, lines: DataFrame) -> DataFrame:
-    """book_id, range_id, page_index: pages that have any line of the range."""
-    return overlaps(highlights, lines).select("book_id", "range_id", "page_index").distinct()
+    """book_id, range_id, page_index: pages that have any line of the range. Ranges meet a block's pages, not each of its lines."""
+    own = lines.select("book_id", "chapter_index", "block_index", "page_index").distinct()
+    return overlaps(highlights, own).select("book_id", "range_id", "page_index").distinct()
+
+
+def counts(highlights: DataFrame, lines: DataFrame) -> DataFrame:
+    """book_id, range_id, n_lines, n_pages: how many lines and pages each highlight touches, if any. Ranges meet a block's pages, not each of its lines."""
+    own = lines.groupBy("book_id", "chapter_index", "block_index", "page_index").agg(F.count("*").alias("_lines"))
+    met = overlaps(highlights, own).groupBy("book_id", "range_id", "page_index").agg(F.sum("_lines").alias("_lines"))
+    return met.groupBy("book_id", "range_id").agg(F.sum("_lines").alias("n_lines"), F.count("*").alias("n_pages"))
 
 
 def segments(met: DataFrame) -> DataFrame:

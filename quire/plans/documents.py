@@ -9,6 +9,7 @@ from quire.functions import ranges as R
 from quire.functions import text as X
 from quire.operators import highlights as H
 from quire.operators import hits, layout, search
+from quire.operators.order import ordinal
 from quire.plans.corpus import BLOCKS, LINES, SHAPED, blocks, read, shaped_sql
 from quire.plans.registry import query
 from quire.tables import written
@@ -54,6 +55,11 @@ def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(layout.shaped(blocks(spark, sf_dir)))
 
 
+def _paginated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines on pages, for queries that don't look at their texts."""
+    return layout.paginated(written(layout.counted(blocks(spark, sf_dir))))
+
+
 @query(
     f"""WITH {LINES}, {_HITS}, first_pages AS (SELECT book_id, chapter_index, block_index, min(page_index) AS page_index FROM lines GROUP BY ALL)
     SELECT h.book_id, h.chapter_index, h.block_index, h.start_offset, h.start_offset + 3 AS end_offset, coalesce(p.page_index, 0) AS page_index
@@ -63,12 +69,12 @@ def search_with_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = blocks(spark, sf_dir)
     found = written(search.search(own, "the", 50))
     # only chapters up to a book's last hit are laid out
-    return search.with_pages(found, layout.paginated(written(layout.shaped(search.up_to(own, found))))).drop("snippet")
+    return search.with_pages(found, layout.paginated(written(layout.counted(search.up_to(own, found))))).drop("snippet")
 
 
 @query(f"WITH {SHAPED} SELECT book_id, chapter_index, block_index, font_size, is_heading, n_lines, line_height FROM shaped")
 def shaped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.shaped(blocks(spark, sf_dir)).drop("lines")
+    return layout.counted(blocks(spark, sf_dir))
 
 
 @query(
@@ -112,23 +118,26 @@ def styled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT *, CAST(y + height * CAST(0.75 AS FLOAT) AS FLOAT) AS baseline FROM lines")
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.paginated(_shaped(spark, sf_dir))
+    return _paginated(spark, sf_dir)
 
 
 @query(f"WITH {LINES} SELECT book_id, CAST(max(page_index) + 1 AS BIGINT) AS n_pages FROM lines GROUP BY book_id")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = blocks(spark, sf_dir)
-    return layout.page_counts(own, layout.paginated(layout.shaped(own)))
+    return layout.page_counts(own, _paginated(spark, sf_dir))
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges that follow each other through all chapters: from the third character of a chapter to that of the next one, or to
     the end of the book; ends in either order."""
-    own = blocks(spark, sf_dir)
-    chapters = own.groupBy("book_id", "chapter_index").agg(
-        F.min_by(X.byte_length(F.substring("text", 1, 3)), "block_index").alias("o"), F.max_by(F.struct("block_index", X.byte_length(F.col("text")).alias("o")), "block_index").alias("last")
+    lines, size = F.split("text", "\n"), X.byte_length
+    # all that a range needs of a chapter is known of its document alone, so no text is dealt for it
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("book_id"), size(F.substring(F.get(lines, F.lit(0)), 1, 3)).alias("o"),
+        F.struct((F.size(lines) - 1).alias("block_index"), size(F.get(lines, F.size(lines) - 1)).alias("o")).alias("last"), F.col("text").isNotNull().alias("_any"),
     )
-    chapters = written(chapters)
+    # a document without text counts as a chapter, but has no block
+    chapters = written(ordinal(docs, "book_id", "doc_id", "chapter_index").filter("_any").select("book_id", "chapter_index", "o", "last"))
     after = chapters.select("book_id", (F.col("chapter_index") - 1).alias("chapter_index"), R.point(F.col("chapter_index"), F.lit(0), F.col("o")).alias("next"))
     both = chapters.join(after, ["book_id", "chapter_index"], "left")
     here, there = R.point(F.col("chapter_index"), F.lit(0), F.col("o")), F.coalesce("next", R.point(F.col("chapter_index"), F.col("last.block_index"), F.col("last.o")))
@@ -164,13 +173,12 @@ def extract_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ranges r JOIN lines x ON r.book_id = x.book_id AND {_TOUCH} GROUP BY ALL"""
 )
 def highlight_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = H.overlaps(_ranges(spark, sf_dir), layout.paginated(_shaped(spark, sf_dir)))
-    return met.groupBy("book_id", "range_id").agg(F.count("*").alias("n_lines"), F.countDistinct("page_index").alias("n_pages"))
+    return H.counts(_ranges(spark, sf_dir), _paginated(spark, sf_dir))
 
 
 @query(f"WITH {LINES}, {_RANGES} SELECT DISTINCT r.book_id, r.range_id, x.page_index FROM ranges r JOIN lines x ON r.book_id = x.book_id AND {_TOUCH}")
 def page_contains_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.pages_with(_ranges(spark, sf_dir), layout.paginated(_shaped(spark, sf_dir)))
+    return H.pages_with(_ranges(spark, sf_dir), _paginated(spark, sf_dir))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions.metrics import EM
-from quire.operators import hits, layout, shaping
+from quire.operators import highlights, hits, layout, shaping
+from quire.plans import corpus, documents, registry
 
 BLOCKS = "book_id string, chapter_index int, block_index int, kind string, level int, text string"
+POINT = "struct<chapter:int,block:int,offset:bigint>"
 
 
 def plan(df):
@@ -66,3 +68,33 @@ def test_f10_lines_end_where_a_word_goes_on(spark):
     got = [["".join(line["text"]) for line in own] for own in shaping.wrapped(texts, [[(len(t), False)] for t in texts], [2000] * 5).to_pylist()]
     assert got == [["xxxx", "xxx ", "yy"], [], ["aaa ", "xxxx", "xxxx", "x"], [" "], ["xxxx", "xxxx", "x"]]
     assert shaping.counted(texts, [[(len(t), False)] for t in texts], [2000] * 5).equals(pa.array([3, 0, 4, 1, 3], pa.int32()))
+
+
+def test_f11_f14_pages_need_no_texts(spark, small):
+    """Blocks' counts give the same pages; ranges come without a join of texts."""
+    own = some(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(layout.counted(own)) == rows(layout.shaped(own).drop("lines")) and rows(layout.paginated(layout.counted(own))) == rows(layout.paginated(layout.shaped(own)))
+    for name in ("highlight_overlap", "page_contains_range"):
+        assert "text" not in plan(registry.queries()[name](spark, small))
+    ranges = documents._ranges(spark, small)
+    assert ranges.count() == corpus.chapters(spark, small).filter("text is not null").count()
+
+
+def test_f11_counts_are_those_of_all_lines(spark):
+    lines = layout.paginated(layout.counted(some(spark)))
+    rng = random.Random(8)
+    point = lambda: (rng.randrange(3), rng.randrange(8), rng.randrange(300))
+    ranges = spark.createDataFrame([("b", k, *sorted([point(), point()])) for k in range(40)], f"book_id string, range_id long, start {POINT}, end {POINT}")
+    met = highlights.overlaps(ranges, lines)
+    want = met.groupBy("book_id", "range_id").agg(F.count("*").alias("n_lines"), F.countDistinct("page_index").alias("n_pages"))
+    assert sorted(highlights.counts(ranges, lines).collect()) == sorted(want.collect())
+    assert sorted(highlights.pages_with(ranges, lines).collect()) == sorted(met.select("book_id", "range_id", "page_index").distinct().collect())
+
+
+def test_f11_ranges_of_documents_without_text(spark, tmp_path):
+    """A document without text counts as a chapter but has no range; texts without or ending with a line end have one."""
+    rows = [(0, "ä\r", "s"), (1, None, "s"), (2, "", "s"), (3, "abcd\n", "s"), (4, "a\n\nbé", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.book_id, r.range_id): (tuple(r.start), tuple(r.end)) for r in documents._ranges(spark, str(tmp_path)).collect()}
+    assert got == {("s", 0): ((0, 0, 3), (0, 0, 3)), ("s", 2): ((2, 0, 0), (3, 0, 3)), ("s", 3): ((3, 0, 3), (3, 1, 0)), ("t", 0): ((0, 0, 1), (0, 2, 3))}

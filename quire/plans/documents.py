@@ -106,14 +106,12 @@ def styled_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     part = lambda text, bold, italic: F.struct(text.alias("text"), F.lit(bold).alias("bold"), F.lit(italic).alias("italic"))
     spans = F.array(part(F.substring(t, 1, _BOLD), True, False), part(F.substring(t, _BOLD + 1, _ITALIC - _BOLD), False, True), part(F.substring(t, F.lit(_ITALIC + 1), F.greatest(F.char_length(t) - _ITALIC, F.lit(0))), False, False))
-    own = blocks(spark, sf_dir).withColumn("spans", spans)
-    shaped = written(layout.shaped(own))
-    unplaced = shaped.filter("n_lines > 0").select("book_id", "chapter_index", "block_index", F.explode(F.sequence(F.lit(0), F.col("n_lines") - 1)).alias("line_in_block"))
-    lines = unplaced.withColumns({"page_index": F.lit(0), "line_index": F.col("line_in_block"), "y": F.lit(0.0), "height": F.lit(0.0), "baseline": F.lit(0.0)})
-    styles = own.select("book_id", "chapter_index", "block_index", F.posexplode("spans").alias("span_index", "s")).select("book_id", "chapter_index", "block_index", "span_index", "s.bold", "s.italic")
-    styles = styles.withColumns({"font_size": F.lit(12.0), "superscript": F.lit(False), "noteref_id": F.lit(None).cast("string")})
-    out = layout.span_fragments(lines, shaped, styles)
-    return out.select("book_id", "chapter_index", "block_index", F.col("line_index").alias("line_in_block"), "frag_index", "text", F.round("x", 3).alias("x"), F.round("width", 3).alias("width"), "bold", "italic")
+    # the spans' styles stay beside their block's lines, so that neither meets the other again
+    styles = F.transform("spans", lambda s: F.struct(s["bold"].alias("bold"), s["italic"].alias("italic")))
+    own = layout.shaped(blocks(spark, sf_dir).withColumn("spans", spans).withColumn("styles", styles), keep=("styles",))
+    lines = own.select(*layout.KEYS, "font_size", "styles", F.posexplode("lines").alias("line_in_block", "_l")).select("*", "_l.*")
+    out = layout.parts(lines, "line_in_block", "styles").withColumn("_s", F.get("styles", F.col("span_index")))
+    return out.select(*layout.KEYS, "line_in_block", "frag_index", "text", F.round("x", 3).alias("x"), F.round("width", 3).alias("width"), "_s.bold", "_s.italic")
 
 
 @query(f"WITH {LINES} SELECT *, CAST(y + height * CAST(0.75 AS FLOAT) AS FLOAT) AS baseline FROM lines")

@@ -98,3 +98,21 @@ def test_f11_ranges_of_documents_without_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.book_id, r.range_id): (tuple(r.start), tuple(r.end)) for r in documents._ranges(spark, str(tmp_path)).collect()}
     assert got == {("s", 0): ((0, 0, 3), (0, 0, 3)), ("s", 2): ((2, 0, 0), (3, 0, 3)), ("s", 3): ((3, 0, 3), (3, 1, 0)), ("t", 0): ((0, 0, 1), (0, 2, 3))}
+
+
+def test_f12_styled_fragments_join_only_chapters(spark, small):
+    """Styles stay beside their lines: the one join left is that of chapters with their texts."""
+    own = plan(registry.queries()["styled_fragments"](spark, small))
+    assert own.count("Join ") == plan(corpus.chapters(spark, small)).count("Join ")
+
+
+def test_f12_parts_are_those_of_the_join(spark):
+    spans = F.array(*[F.struct(F.substring("text", a, n).alias("text"), F.lit(bold).alias("bold")) for a, n, bold in ((1, 20, True), (21, 10**6, False))])
+    own = some(spark).withColumn("spans", spans)
+    shaped = layout.shaped(own, keep=("level",))
+    assert shaped.columns[-1] == "level" and shaped.filter("level is null").count() == 21
+    lines = shaped.select(*layout.KEYS, "font_size", F.posexplode("lines").alias("line_in_block", "_l")).select("*", "_l.*")
+    got = layout.parts(lines, "line_in_block")
+    pages = layout.paginated(shaped)
+    want = layout.span_fragments(pages, shaped).join(pages.select(*layout.KEYS, "line_in_block", "page_index", "line_index"), [*layout.KEYS, "page_index", "line_index"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))

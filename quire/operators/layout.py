@@ -115,9 +115,11 @@ def page_counts(books: DataFrame, lines: DataFrame) -> DataFrame:
 
 def with_text(lines: DataFrame, shaped: DataFrame) -> DataFrame:
     """lines with font_size and what shaping says of each: start, text, width, runs. They are taken from their blocks' arrays, so that a block is one row of the join."""
-    own = lines.join(shaped.select(*KEYS, "font_size", F.col("lines").alias("_lines")), KEYS)
-    own = own.filter((F.col("line_in_block") >= 0) & (F.col("line_in_block") < F.size("_lines")))
-    return own.withColumn("_l", F.get("_lines", F.col("line_in_block"))).select(*lines.columns, "font_size", "_l.*")
+    fields = ["start", "text", "width", "runs"]
+    # an array a field, so that what isn't asked for is neither read nor dealt
+    own = lines.join(shaped.select(*KEYS, "font_size", "n_lines", *[F.col(f"lines.{c}").alias(f"_{c}") for c in fields]), KEYS)
+    own = own.filter((F.col("line_in_block") >= 0) & (F.col("line_in_block") < F.col("n_lines")))
+    return own.select(*lines.columns, "font_size", *[F.get(f"_{c}", F.col("line_in_block")).alias(c) for c in fields])
 
 
 def cells(lines: DataFrame, shaped: DataFrame) -> DataFrame:

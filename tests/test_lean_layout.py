@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions.metrics import EM
 from quire.operators import highlights, hits, layout, shaping
 from quire.plans import corpus, documents, registry
+from quire.tables import written
 
 BLOCKS = "book_id string, chapter_index int, block_index int, kind string, level int, text string"
 POINT = "struct<chapter:int,block:int,offset:bigint>"
@@ -62,6 +63,13 @@ def test_f13_the_fold_runs_once(spark):
     assert "MapInArrow" not in plan(lines) and "MapInArrow" not in plan(hits.noterefs(spark.createDataFrame([(0, "b", 0, 60.0, 60.0)], "point_id long, book_id string, page_index int, px double, py double"), lines.withColumns({"frag_index": F.lit(0), "x": F.lit(50.0), "width": F.lit(9.0), "noteref_id": F.lit("n")})))
 
 
+def test_f13_texts_that_are_not_asked_for_are_not_read(spark):
+    """Where notes are hit takes the lines' spans, not their texts."""
+    shaped = written(layout.shaped(some(spark)))
+    own = layout.span_fragments(layout.paginated(shaped), shaped).select("x", "width")
+    assert "text:" not in own._jdf.queryExecution().executedPlan().toString() and own.count() > 0
+
+
 def test_f10_lines_end_where_a_word_goes_on(spark):
     """Words wider than a line, before and after words that fit, in texts that follow each other."""
     texts = ["x" * 7 + " yy", "", "aaa xxxxxxxxx", " ", "x" * 9]

@@ -101,6 +101,25 @@ def test_draws_do_not_depend_on_the_batch():
     assert P.sampled(a, [], 2, []) == []
 
 
+def test_equal_endings_share_their_nodes():
+    words = [" walking", " talking", "king", "\n", " 漢字king", "x" * 40, "x" * 39, " talking☃", " a-name-of-many-letters-walking", " the-name-of-many-letters-walking"]
+    a = P.Lattice(V, words)
+    endings = {w[i:] for w in words for i in range(len(w))}
+    assert len(a.left) == len(endings) and a.left.tolist() == sorted(map(len, endings))
+    for w, start in zip(words, a.starts):
+        b = P.Lattice(V, [w])
+        node, alone = int(start), int(b.starts[0])
+        while node >= 0:  # character by character, as the last edge is the shortest
+            x, y = slice(*a.first[node : node + 2]), slice(*b.first[alone : alone + 2])
+            assert a.piece[x].tolist() == b.piece[y].tolist() and a.p[x].tolist() == b.p[y].tolist() and a.log_rest[x].tolist() == b.log_rest[y].tolist()
+            node, alone = int(a.following[x][-1]), int(b.following[y][-1])
+        assert alone < 0
+
+
+def test_a_worker_reads_the_vocabulary_once():
+    assert P.vocabulary(P.MODEL) is P.vocabulary(P.MODEL)
+
+
 def test_the_query_gives_the_pieces(spark, small):
     from quire.llm.queries import op5_piece_samples
 

@@ -146,10 +146,12 @@ def is_notes_section(xhtml: Column) -> Column:
     def says(chunk: Column) -> Column:
         named = F.lit(False)
         for mark in NOTE_MARKS:
-            named = named | (F.instr(chunk, mark) > 0)
-        return named | (F.regexp_count(chunk, F.lit("#a")) >= 3) & (F.regexp_count(chunk, F.lit('id="d')) >= 3)
+            named = named | F.contains(chunk, F.lit(mark))
+        thrice = lambda mark: F.octet_length(chunk) - F.octet_length(F.replace(chunk, F.lit(mark), F.lit(""))) >= 3 * len(mark)
+        return named | thrice("#a") & thrice('id="d')
 
-    body = once(F.lower(xhtml), lambda low: F.when(F.instr(low, "<body") > 0, F.substring(low, F.instr(low, "<body"), F.lit(1000))))
+    # only the head of the body is lower-cased, not the page; a letter's lower case may be longer, so it is cut again
+    body = F.substring(F.lower(F.regexp_extract(xhtml, "(?is)<body.{0,1000}", 0)), 1, 1000)
     return F.coalesce(once(body, lambda b: once(head_of_bytes(b, F.lit(1000)), says)), F.lit(False))
 
 

@@ -160,13 +160,15 @@ def strict_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _styled(_: int, lines: list[str]) -> Chapters:
     """Words in turn plain, bold, italic and superscript, a line's last one a link to its note; and the notes, of which every third links back to elsewhere."""
-    tags = ["{}", "<b>{}</b>", "<i>{}</i>", "<sup>{}</sup>"]
     body, notes = [], []
     for n, line in enumerate(lines):
-        words = [tags[k % 4].format(escape(w)) for k, w in enumerate(line.split(" "))]
+        words = escape(line).split(" ")  # escapes have no spaces
+        note = words[0]
+        for k, tag in enumerate(("b", "i", "sup"), 1):
+            words[k::4] = [f"<{tag}>{w}</{tag}>" for w in words[k::4]]
         words[-1] = f'<a href="notes.xhtml#n{n}" id="r{n}">{words[-1]}</a>'
         body.append(f"<blockquote>dropped<p>{''.join(words)}</p></blockquote>")
-        notes.append(f'<p><a href="c.xhtml#{"x" if n % 3 == 0 else "r"}{n}" id="n{n}">{n}</a> {escape(line.split(" ")[0])}</p>')
+        notes.append(f'<p><a href="c.xhtml#{"x" if n % 3 == 0 else "r"}{n}" id="n{n}">{n}</a> {note}</p>')
     return [("c.xhtml", "".join(body)), ("notes.xhtml", f'<section epub:type="footnotes">{"".join(notes)}</section>')]
 
 

@@ -39,8 +39,8 @@ class Reader:
         """Books from the archives under `path`, unzipped once. With `to`, parsed tables are written there and read from then on."""
         tables = epub.parse(epub.read_archives(spark, path), f"{to}/entries" if to is not None else None)
         if to is not None:
-            for name, df in tables.items():
-                df.write.mode("overwrite").parquet(f"{to}/{name}")
+            for name in TABLES:
+                tables[name].write.mode("overwrite").parquet(f"{to}/{name}")
             tables = {name: spark.read.parquet(f"{to}/{name}") for name in TABLES}
         return cls(spark, tables)
 
@@ -69,7 +69,10 @@ class Reader:
 
     def noteref_count(self) -> DataFrame:
         """book_id, n_chapters, n_notes, n_noterefs: totals of each book, and its spans that refer to notes."""
-        refs = self.tables["blocks"].groupBy("book_id").agg(F.sum(F.size(F.filter("spans", lambda s: s["noteref_id"].isNotNull()))).cast("bigint").alias("r"))
+        counts = self.tables.get("noteref_counts")  # where chapters are still to be read; else their blocks' spans are there
+        if counts is None:
+            counts = self.tables["blocks"].select("book_id", F.size(F.filter("spans", lambda s: s["noteref_id"].isNotNull())).alias("n_noterefs"))
+        refs = counts.groupBy("book_id").agg(F.sum("n_noterefs").cast("bigint").alias("r"))
         chapters = self.tables["spine"].groupBy("book_id").agg(F.count("*").alias("c"))
         own = self.note_count().join(refs, "book_id", "left").join(chapters, "book_id", "left")
         return own.select("book_id", F.coalesce("c", F.lit(0)).alias("n_chapters"), "n_notes", F.coalesce("r", F.lit(0)).alias("n_noterefs"))

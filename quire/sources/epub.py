@@ -1,7 +1,7 @@
 """EPUB archives as DataFrames of books, spine, notes and blocks.
 
 Archives come from Spark's binaryFile source and are unzipped once, into a written table of the entries that their package
-file names; three small parsers (package file, notes page, chapter) run in Arrow batches, on one file each and few files at once. What relates
+file names, with what that says; three small parsers (package file, notes page, chapter) run in Arrow batches, on one file each and few files at once. What relates
 files to each other is joins: manifest to spine, spine to archive entries, notes to chapters. Contents take part in one join only.
 Reading is strict: a parser stops at the first malformed markup and keeps what it has. A damaged archive or entry, or one under a
 password, gives its book an error and no other book.
@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from itertools import dropwhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 _ENTITY = re.compile(r"&([^;&\s]*);?")
 # The entities every XML text may use.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
-STYLES = {"em": "italic", "i": "italic", "strong": "bold", "b": "bold", "sup": "superscript"}
+BOLD, ITALIC, SUPERSCRIPT, CANDIDATE = 1, 2, 4, 8
+STYLES = {"em": ITALIC, "i": ITALIC, "strong": BOLD, "b": BOLD, "sup": SUPERSCRIPT}
+HEADINGS = {f"h{n}": n for n in X.FONT_SIZES}
 
 
 def unescaped(text: str) -> str | None:
@@ -57,33 +60,52 @@ def unescaped(text: str) -> str | None:
     return None if bad else own
 
 
-def events(xml: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """(start | empty | end | text, local name or text, attributes). Stops at an end tag that closes nothing open, or broken markup."""
-    at, path = 0, []
-    while at < len(xml):
-        m = _TOKEN.search(xml, at)
-        head = xml[at : m.start() if m else len(xml)]
-        if head:
-            if "<" in head:
-                return
-            yield "text", head, {}
-        if not m:
-            return
-        at = m.end()
-        if m[2] is None:
-            continue
-        local = m[2].rpartition(":")[2]
-        if m[1]:
-            if not path or path.pop() != m[2]:
+def tokens(xml: str) -> Iterator[tuple[str, str | None, str, str]]:
+    """(text before it, start | empty | end, local name, attributes) of each tag; None for what is no tag, as the end. Stops at an end tag that closes nothing open, or broken markup."""
+    pieces = iter(xml.split("<"))
+    text = next(pieces)
+    stop, path, plain = len(text), [], {}
+    for piece in pieces:
+        start, stop = stop, stop + len(piece) + 1
+        tag, closed, after = piece.partition(">")
+        own = plain.get(tag) if closed else None
+        if own is None:
+            m = _TOKEN.match(xml, start)
+            if not m:
                 return
-            yield "end", local, {}
-        else:
-            attributes = {}
-            for a in _ATTRIBUTE.finditer(m[3]):
-                attributes.setdefault(a[1], a[2] if a[2] is not None else a[3])
-            if not m[4]:
-                path.append(m[2])
-            yield ("empty" if m[4] else "start"), local, attributes
+            while stop < m.end():
+                stop += len(next(pieces)) + 1
+            after = xml[m.end() : stop]
+            name = m[2] or ""
+            own = ("end" if m[1] else "empty" if m[4] else "start") if name else None, name, name.rpartition(":")[2], m[3] or ""
+            # a tag without attributes is the same wherever it stands
+            if name and not m[3] and m.end() == start + len(tag) + 2 and tag[0] not in "!?":
+                plain[tag] = own
+        kind, name, local, attributes = own
+        if kind == "start":
+            path.append(name)
+        elif kind == "end" and (not path or path.pop() != name):
+            break
+        yield text, kind, local, attributes
+        text = after
+    yield text, None, "", ""
+
+
+def attributes_of(own: str) -> dict[str, str]:
+    """A tag's attributes; the first of a name counts."""
+    out = {}
+    for a in _ATTRIBUTE.finditer(own):
+        out.setdefault(a[1], a[2] if a[2] is not None else a[3])
+    return out
+
+
+def events(xml: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(start | empty | end | text, local name or text, attributes) of the tokens."""
+    for text, kind, name, attributes in tokens(xml):
+        if text:
+            yield "text", text, {}
+        if kind:
+            yield kind, name, attributes_of(attributes) if attributes else {}
 
 
 def rootfile(xml: str) -> str | None:
@@ -152,71 +174,104 @@ def is_mark(text: str) -> bool:
     return len(own.encode()) <= 10 and bool(_MARK.fullmatch(own))
 
 
-def chapter(xml: str, notes_files: set[str], back: dict[str, str | None], is_notes: bool) -> list[dict]:
-    """Blocks of a chapter's body. back: the back link of each known note (None if it has none)."""
-    out, spans, stack = [], [], []
-    body = inside = anchor = False
-    level = reference = since = None
-
-    def block(kind: str, n: int | None) -> None:
-        size = X.FONT_SIZES[n] if n else X.TEXT_SIZE
-        out.append({"block_index": len(out), "kind": kind, "level": n, "font_size": size, "text": "".join(s["text"] for s in spans), "spans": list(spans)})
-        spans.clear()
+class Blocks:
+    """Blocks of chapters and their spans, in columns. A span's styles are bits; from the fifth on they are its heading's level (0: text)."""
+
+    def __init__(self) -> None:
+        self.chapters, self.numbers, self.levels, self.texts, self.ends = [], [], [], [], []
+        self.spans, self.styles, self.references = [], bytearray(), {}
+
+    def add(self, xml: str, notes_files: set[str], back: dict[str, str | None], is_notes: bool, name: tuple = ("", 0)) -> int:
+        """Reads a chapter's body under a name. back: the back link of each known note (None if it has none). The number of its spans that refer to notes."""
+        spans, styles, references = self.spans, self.styles, self.references
+        first, before = len(spans), len(references)  # first: of the block that is open
+        stack, style, level, number = [], 0, 0, 0
+        body = inside = anchor = False
+        reference = since = None
+
+        def block(n: int) -> None:
+            nonlocal first, number
+            self.chapters.append(name)
+            self.numbers.append(number)
+            self.levels.append(n)
+            self.texts.append("".join(spans[first:]))
+            self.ends.append(len(spans))
+            first, number = len(spans), number + 1
+
+        for text, kind, tag, attributes in tokens(xml):
+            if text and inside and body:
+                if "&" in text:
+                    text = unescaped(text)
+                if text:
+                    spans.append(text)
+                    styles.append(style | level << 4 | (CANDIDATE if anchor and is_mark(text) else 0))
+            if not body:
+                body = kind == "start" and tag == "body"
+            elif kind == "start":
+                if tag in STYLES:
+                    stack.append(style)
+                    style |= STYLES[tag]
+                elif tag == "p":
+                    inside, level = True, 0
+                elif tag in HEADINGS:
+                    inside, level = True, HEADINGS[tag]
+                    stack.append(style)
+                    style |= BOLD
+                elif tag == "a":
+                    anchor = not is_notes
+                    if anchor and refers(a := attributes_of(attributes), notes_files, back):
+                        stack.append(style)
+                        style |= SUPERSCRIPT
+                        since, reference = len(spans) - first, (a.get("href", "").split("#") + [None])[1] if "#" in a.get("href", "") else None
+            elif kind == "end":
+                if tag in STYLES:
+                    if stack:
+                        style = stack.pop()
+                elif tag == "body":
+                    body = False
+                elif tag == "p":
+                    if len(spans) > first:
+                        block(0)
+                    inside = False
+                elif tag in HEADINGS:
+                    if stack:
+                        style = stack.pop()
+                    if level:
+                        block(level)
+                    level, inside = 0, False
+                elif tag == "a":
+                    anchor = False
+                    if since is not None and not is_notes:
+                        if stack:
+                            style = stack.pop()
+                        if reference is not None:
+                            references.update(dict.fromkeys(range(first + since, len(spans)), reference))
+                        since = reference = None
+            elif kind and tag == "br" and inside:
+                spans.append("\n")
+                styles.append(0)
+        for k in range(first, len(spans)):  # of a block that nothing closes
+            references.pop(k, None)
+        del spans[first:], styles[first:]
+        return len(references) - before
+
+    def batch(self) -> pa.RecordBatch:
+        styles, levels = np.frombuffer(bytes(self.styles), np.uint8), np.array(self.levels, np.uint8)
+        bits = [pa.array((styles & k) != 0) for k in (BOLD, ITALIC, SUPERSCRIPT, CANDIDATE)]
+        spans = pa.StructArray.from_arrays([pa.array(self.spans, pa.string()), *bits, pa.array(map(self.references.get, range(len(styles))), pa.string()), pa.array(_SIZES[styles >> 4])], fields=list(_SPANS.value_type))
+        books, chapters = zip(*self.chapters) if self.chapters else ((), ())
+        own = [
+            pa.array(books, pa.string()), pa.array(chapters, pa.int32()), pa.array(self.numbers, pa.int32()), pa.array(["heading" if n else "paragraph" for n in self.levels], pa.string()),
+            pa.array(levels.astype(np.int32), mask=levels == 0), pa.array(_SIZES[levels]), pa.array(self.texts, pa.string()), pa.ListArray.from_arrays(pa.array([0, *self.ends], pa.int32()), spans),
+        ]
+        return pa.RecordBatch.from_arrays(own, schema=_BLOCKS)
 
-    def span(text: str, size: float, **more) -> None:
-        spans.append({"text": text, "bold": False, "italic": False, "superscript": False, "debug_noteref_candidate": False, "noteref_id": None, "font_size": size} | more)
 
-    for kind, name, a in events(xml):
-        heading = int(name[1]) if kind != "text" and re.fullmatch("h[1-6]", name) else None
-        if kind == "start" and name == "body":
-            body = True
-        elif not body:
-            continue
-        elif kind == "text":
-            text = unescaped(name) if inside else None
-            if text:
-                styles = {s: True for s in stack}
-                span(text, X.FONT_SIZES[level] if level else X.TEXT_SIZE, debug_noteref_candidate=anchor and is_mark(text), **styles)
-        elif kind == "empty":
-            if name == "br" and inside:
-                span("\n", X.TEXT_SIZE)
-        elif kind == "start":
-            if name == "p":
-                inside, level = True, None
-            elif heading:
-                inside, level = True, heading
-                stack.append("bold")
-            elif name in STYLES:
-                stack.append(STYLES[name])
-            elif name == "a":
-                anchor = not is_notes
-                if anchor and refers(a, notes_files, back):
-                    stack.append("superscript")
-                    since, reference = len(spans), (a.get("href", "").split("#") + [None])[1] if "#" in a.get("href", "") else None
-        elif name == "body":
-            body = False
-        elif name == "p":
-            if spans:
-                block("paragraph", None)
-            inside = False
-        elif heading:
-            if stack:
-                stack.pop()
-            if level:
-                block("heading", level)
-            level, inside = None, False
-        elif name in STYLES:
-            if stack:
-                stack.pop()
-        elif name == "a":
-            anchor = False
-            if since is not None and not is_notes:
-                if stack:
-                    stack.pop()
-                for s in spans[since:] if reference is not None else ():
-                    s["noteref_id"] = reference
-                since = reference = None
-    return out
+def chapter(xml: str, notes_files: set[str], back: dict[str, str | None], is_notes: bool) -> list[dict]:
+    """Blocks of a chapter's body."""
+    own = Blocks()
+    own.add(xml, notes_files, back, is_notes)
+    return own.batch().drop_columns(["book_id", "chapter_index"]).to_pylist()
 
 
 def refers(a: dict[str, str], notes_files: set[str], back: dict[str, str | None]) -> bool:
@@ -263,43 +318,52 @@ def _read(z: zipfile.ZipFile, name: str) -> tuple[str | None, str | None]:
         return None, f"Zip: {e}"
 
 
-def _unzipped(book: str, content: bytes | None) -> list[tuple]:
+_NOTES = "notes:array<struct<position:int,note_id:string,text:string>>,links:array<struct<position:int,note_id:string,source_id:string>>"
+_PACKAGE = "title:string,author:string,manifest:array<struct<position:int,id:string,href:string>>,spine:array<struct<position:int,idref:string>>"
+
+
+_POSITIONED = lambda *names: pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in names)]))
+_NOTES_KIND = pa.struct([("notes", _POSITIONED("note_id", "text")), ("links", _POSITIONED("note_id", "source_id"))])
+_PACKAGE_KIND = pa.struct([("title", pa.string()), ("author", pa.string()), ("manifest", _POSITIONED("id", "href")), ("spine", _POSITIONED("idref"))])
+
+
+def _unzipped(book: str, content: bytes | None, at: str | None) -> list[tuple]:
     """Rows of ENTRY: the package file, and each file of the spine that is there, whatever its name."""
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
     except _DAMAGED as e:
-        return [(book, None, "archive", None, f"Zip: {e}")]
+        return [(book, None, "archive", None, f"Zip: {e}", at, None)]
     text, error = _read(z, CONTAINER)
     path = rootfile(text) if text else None
     if path is None:
-        return [(book, None, "archive", None, error if error and not error.startswith("Missing") else "Parse: no package file")]
+        return [(book, None, "archive", None, error if error and not error.startswith("Missing") else "Parse: no package file", at, None)]
     text, error = _read(z, path)
-    rows = [(book, path, "package", text, error)]
-    if text is not None:
-        own = package(text)
+    own = package(text) if text is not None else None
+    rows = [(book, path, "package", text, error, at, own)]
+    if own:
         files = {i["id"]: i["href"] for i in own["manifest"]}
         folder = path[: path.rfind("/") + 1]
         for name in sorted({folder + files[i["idref"]] for i in own["spine"] if i["idref"] in files} & {*z.namelist()}):
-            rows.append((book, name, "file", *_read(z, name)))
+            rows.append((book, name, "file", *_read(z, name), at, None))
     return rows
 
 
-ENTRY = "book_id string, name string, role string, content string, error string"
+ENTRY = f"book_id string, name string, role string, content string, error string, path string, p struct<{_PACKAGE}>"
+_ENTRY_KIND = pa.schema([*((c, pa.string()) for c in ("book_id", "name", "role", "content", "error", "path")), ("p", _PACKAGE_KIND)])
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """book_id, name, role, content (null where it can't be read), error: each archive's package file and the files of its spine.
+    """book_id, name, role, content (null where it can't be read: it has an error then), error, path, p: each archive's package file, as text and read, and the files of its spine.
 
-    An archive that can't be opened, or has no package file, gives one row of the role "archive" with its error.
+    An archive that can't be opened, or has no package file, gives one row of the role "archive" with its error; so one row that is no file stands for each archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([(c.split(" ")[0], pa.string()) for c in ENTRY.split(", ")])
-        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows)) or [[]] * len(kind)], schema=kind)
+        of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [[]] * len(_ENTRY_KIND), _ENTRY_KIND.types)], schema=_ENTRY_KIND)
         for batch in batches:
             rows, size = [], 0
-            for book, content in zip(*batch.columns):
-                own = _unzipped(book.as_py(), content.as_py())
+            for book, content, *path in zip(*batch.columns):
+                own = _unzipped(book.as_py(), content.as_py(), path[0].as_py() if path else None)
                 rows += own
                 size += sum(len(r[3] or "") for r in own)
                 if size > UNZIPPED or len(rows) > 8 * ROWS:
@@ -307,16 +371,7 @@ def entries(archives: DataFrame) -> DataFrame:
                     rows, size = [], 0
             yield of(rows)
 
-    return archives.select("book_id", "content").mapInArrow(run, ENTRY)
-
-
-_NOTES = "notes:array<struct<position:int,note_id:string,text:string>>,links:array<struct<position:int,note_id:string,source_id:string>>"
-_PACKAGE = "title:string,author:string,manifest:array<struct<position:int,id:string,href:string>>,spine:array<struct<position:int,idref:string>>"
-
-
-_POSITIONED = lambda *names: pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in names)]))
-_NOTES_KIND = pa.struct([("notes", _POSITIONED("note_id", "text")), ("links", _POSITIONED("note_id", "source_id"))])
-_PACKAGE_KIND = pa.struct([("title", pa.string()), ("author", pa.string()), ("manifest", _POSITIONED("id", "href")), ("spine", _POSITIONED("idref"))])
+    return archives.select("book_id", "content", "path").mapInArrow(run, ENTRY)
 
 
 def _parsed(files: DataFrame, parser: Callable[[str], dict], name: str, schema: str, kind: pa.DataType) -> DataFrame:
@@ -336,8 +391,11 @@ _SPANS = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("ital
 _BLOCKS = pa.schema([("book_id", pa.string()), ("chapter_index", pa.int32()), ("block_index", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("font_size", pa.float32()), ("text", pa.string()), ("spans", _SPANS)])
 
 
-def chapters(pages: DataFrame) -> DataFrame:
-    """book_id, chapter_index and the columns of BLOCK: the blocks of pages (book_id, chapter_index, content, files, known, is_notes_file).
+_SIZES = np.array([X.TEXT_SIZE, *X.FONT_SIZES.values()], np.float32)
+
+
+def _pages(pages: DataFrame, read: Callable[[Iterator[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `read` makes of slices of pages (book_id, chapter_index, content, files, known, is_notes_file), each as a name and the arguments of Blocks.add.
 
     files: the book's notes files. known: its notes' ids, each with the id that links back.
     """
@@ -345,15 +403,37 @@ def chapters(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, batch.column(2), ROWS, BYTES):
-                rows = []
-                for p in b.to_pylist():
-                    back = {n["note_id"]: n["source_id"] for n in p["known"] or ()}
-                    for block in chapter(p["content"], {*(p["files"] or ())}, back, bool(p["is_notes_file"])):
-                        rows.append(block | {"book_id": p["book_id"], "chapter_index": p["chapter_index"]})
-                yield pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
+                yield read(
+                    ((book, place), (content, {*(files or ())}, {n["note_id"]: n["source_id"] for n in known or ()}, bool(is_notes)))
+                    for book, place, content, files, known, is_notes in zip(*(c.to_pylist() for c in b.columns))
+                )
+
+    return pages.select("book_id", F.col("chapter_index").cast("int"), "content", "files", "known", "is_notes_file").mapInArrow(run, schema)
+
+
+def chapters(pages: DataFrame) -> DataFrame:
+    """book_id, chapter_index and the columns of BLOCK: the blocks of pages."""
+
+    def read(own: Iterator[tuple]) -> pa.RecordBatch:
+        out = Blocks()
+        for name, page in own:
+            out.add(*page, name)
+        return out.batch()
+
+    return _pages(pages, read, f"book_id string, chapter_index int, {BLOCK_COLUMNS}")
+
+
+def noteref_counts(pages: DataFrame) -> DataFrame:
+    """book_id, chapter_index, n_noterefs: of pages, read like chapters, the spans that refer to notes; the blocks themselves stay in the task. Notes pages refer to none and have no row."""
+
+    def read(own: Iterator[tuple]) -> pa.RecordBatch:
+        rows = [(*name, Blocks().add(*page)) for name, page in own]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _COUNTS.types)], schema=_COUNTS)
+
+    return _pages(pages.filter(~F.col("is_notes_file")), read, "book_id string, chapter_index int, n_noterefs bigint")
+
 
-    own = pages.select("book_id", F.col("chapter_index").cast("int"), "content", "files", "known", "is_notes_file")
-    return own.mapInArrow(run, f"book_id string, chapter_index int, {BLOCK_COLUMNS}")
+_COUNTS = pa.schema([("book_id", pa.string()), ("chapter_index", pa.int32()), ("n_noterefs", pa.int64())])
 
 
 def spine_of(manifest: DataFrame, spine: DataFrame) -> DataFrame:
@@ -376,14 +456,13 @@ def first_links(links: DataFrame) -> DataFrame:
 
 
 def parse(archives: DataFrame, to: str | None = None) -> dict[str, DataFrame]:
-    """books, spine, notes, note_backlinks, blocks of archives (book_id, path, content).
+    """books, spine, notes, note_backlinks, blocks, noteref_counts (by chapter) of archives (book_id, path, content).
 
-    The archives are unzipped once, into a table at `to` or in the shared folder. Books that can't be parsed have a
+    The archives are read and unzipped once, into a table at `to` or in the shared folder. Books that can't be parsed have a
     parse_error and no blocks: a broken archive, no package file, a missing or damaged chapter.
     """
     files = written(entries(archives), to)
-    opf = files.filter("role = 'package'").select("book_id", F.col("name").alias("opf_path"), F.col("error").alias("unread"), "content")
-    opf = written(_parsed(opf, package, "p", _PACKAGE, _PACKAGE_KIND), f"{to}-packages" if to else None)
+    opf = files.filter("role = 'package'").select("book_id", F.col("name").alias("opf_path"), "p")
     spine = spine_of(opf.select("book_id", F.inline("p.manifest")), opf.select("book_id", F.inline("p.spine"))).join(opf.select("book_id", "opf_path"), "book_id")
     spine = spine.select("book_id", "chapter_index", "href", F.concat(X.folder_of(F.col("opf_path")), "href").alias("full_path"), X.file_of(F.col("href")).alias("filename"))
     spine = written(spine, f"{to}-spine" if to else None)
@@ -395,16 +474,16 @@ def parse(archives: DataFrame, to: str | None = None) -> dict[str, DataFrame]:
     names = noted.groupBy("book_id").agg(F.collect_set("filename").alias("files"))
     known = notes.select("book_id", "note_id").join(links, ["book_id", "note_id"], "left").groupBy("book_id").agg(F.collect_list(F.struct("note_id", "source_id")).alias("known"))
     placed = spine.join(names, "book_id", "left").withColumn("is_notes_file", F.coalesce(F.array_contains("files", F.col("filename")), F.lit(False)))
-    there = pages.select("book_id", "full_path", F.col("content").isNotNull().alias("read"), "error")
+    there = pages.select("book_id", "full_path", F.col("error").isNull().alias("read"), "error")
     lost = spine.join(there, ["book_id", "full_path"], "left").filter(~F.coalesce("read", F.lit(False)))
     lost = lost.groupBy("book_id").agg(F.min_by(F.coalesce("error", F.concat(F.lit("MissingFile: "), "full_path")), "chapter_index").alias("lost"))
-    broken = files.filter("role = 'archive'").select("book_id", F.col("error").alias("broken"))
-    books = archives.select("book_id", "path").join(opf, "book_id", "left").join(lost, "book_id", "left").join(broken, "book_id", "left")
-    books = books.select("book_id", "path", "p.title", "p.author", "opf_path", F.coalesce("broken", "unread", "lost").alias("parse_error"))
+    # each archive has one row that is no file of its spine: archives themselves, which may be costly to make, aren't asked again
+    books = files.filter("role <> 'file'").join(lost, "book_id", "left")
+    books = books.select("book_id", "path", "p.title", "p.author", F.col("name").alias("opf_path"), F.coalesce("error", "lost").alias("parse_error"))
     whole = placed.join(lost, "book_id", "left_anti").join(known, "book_id", "left").drop("href", "filename")
     whole = pages.select("book_id", "full_path", "content").join(whole, ["book_id", "full_path"])
-    blocks = chapters(whole)
-    return {"books": books, "spine": placed.select("book_id", "chapter_index", "href", "full_path", "filename", "is_notes_file"), "notes": notes, "note_backlinks": links, "blocks": blocks}
+    spine = placed.select("book_id", "chapter_index", "href", "full_path", "filename", "is_notes_file")
+    return {"books": books, "spine": spine, "notes": notes, "note_backlinks": links, "blocks": chapters(whole), "noteref_counts": noteref_counts(whole)}
 
 
 def spans(blocks: DataFrame) -> DataFrame:

@@ -236,3 +236,61 @@ def test_memory_does_not_grow_with_the_batch(spark):
     runs = epub._parsed(_Caught(), epub.notes_of, "n", epub._NOTES, epub._NOTES_KIND), epub.entries(_Caught()), epub.chapters(_Caught())
     for run, few, many in zip(runs, batches(128), batches(640)):
         assert peak(run, many) < 1.5 * peak(run, few)
+
+
+def test_archives_are_made_and_read_once(spark):
+    from quire.reader import Reader
+
+    made = spark.sparkContext.accumulator(0)
+    book = archive("Book", [("c.xhtml", "<p>a</p>")])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made.add(b.num_rows)
+            names = [f"b{k}" for k in b.column(0).to_pylist()]
+            yield pa.record_batch({"book_id": names, "path": names, "content": [book] * len(names)})
+
+    out = epub.parse(spark.range(20).mapInArrow(run, ARCHIVES))
+    assert {r.parse_error for r in out["books"].collect()} == {None} and Reader(spark, out).noteref_count().count() == 20 and out["blocks"].count() == 20
+    assert made.value == 20
+
+
+def test_noterefs_are_counted_as_the_spans_of_blocks(spark):
+    from quire.reader import Reader
+
+    link = '<a href="n.xhtml#n{0}" id="r{0}">{1}</a>'
+    bodies = [
+        f"<p>a{link.format(1, '<b>1</b>x')}b</p><p>{link.format(2, '2')}</p>",  # two spans, and one
+        f"<p>{link.format(1, '1')}</p><p>open {link.format(2, '2')}",  # a block that nothing closes
+        f"<p>{link.format(1, '1')}</p></div><p>{link.format(2, '2')}</p>",  # a stray end tag
+        f"<h2>{link.format(1, '<br/>&nbsp;1')}</h2><p>{link.format(3, '3')}</p>",  # a dropped run; no such note
+        '<p><a epub:type="noteref" href="#q">a<a role="doc-noteref" href="#z">b</a></a></p>',  # the inner one
+        "<p>none</p>",
+    ]
+    notes = '<section epub:type="footnotes">' + "".join(f'<p><a href="c.xhtml#r{k}" id="n{k}">{k}</a> note</p>' for k in (1, 2)) + "</section>"
+    out = parsed(spark, *[archive("Book", [("c.xhtml", b), ("n.xhtml", notes)]) for b in bodies])
+    got = {r.book_id: (r.n_chapters, r.n_notes, r.n_noterefs) for r in Reader(spark, out).noteref_count().collect()}
+    assert got == {f"b{k}": (2, 2, n) for k, n in enumerate([3, 1, 1, 1, 1, 0])}
+    of_blocks = {r.book_id: (r.n_chapters, r.n_notes, r.n_noterefs) for r in Reader(spark, {k: v for k, v in out.items() if k != "noteref_counts"}).noteref_count().collect()}
+    assert of_blocks == got
+    plan = Reader(spark, out).noteref_count()._jdf.queryExecution().executedPlan().toString()
+    assert "spans" not in plan
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('<p title="a>b">x</p>', [("paragraph", "x")]),
+        ("<p title='<b>'>x</p>", [("paragraph", "x")]),  # a tag's quotes may hold what looks like one
+        ("<p>a<!-- <b> > --><b>b</b></p>", [("paragraph", "ab")]),
+        ("<p>a</p><p>b < c</p>", [("paragraph", "a")]),  # the text before a stray sign goes too
+        ("<p>a<b >b</b >c</p >", [("paragraph", "abc")]),
+        ("<p>a</p><P>b</P><p>c</p>", [("paragraph", "a"), ("paragraph", "c")]),
+        ("<x:p>a<x:b>b</x:b></x:p><p>c</x:p>", [("paragraph", "ab")]),  # names lose their prefix but close with it
+        ("<p>a<?b?><![CDATA[<i>]]>c</p>", [("paragraph", "ac")]),
+    ],
+)
+def test_tokens(body, want):
+    assert [(b["kind"], b["text"]) for b in blocks_of(body)] == want

@@ -14,6 +14,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import dropwhile
 
 import numpy as np
@@ -108,6 +109,7 @@ def events(xml: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield kind, name, attributes_of(attributes) if attributes else {}
 
 
+@lru_cache(maxsize=64)  # few texts in many archives
 def rootfile(xml: str) -> str | None:
     return next((a["full-path"] for kind, name, a in events(xml) if kind in ("start", "empty") and name == "rootfile" and "full-path" in a), None)
 
@@ -130,23 +132,20 @@ def package(xml: str) -> dict:
     return out
 
 
-def paragraphs(xml: str) -> Iterator[list[tuple[str, str, dict[str, str]]]]:
-    """What each paragraph of the body holds, up to its end or the next one's start; the last one, if nothing closes it, up to where the markup breaks."""
+def paragraphs(xml: str) -> Iterator[list[tuple[str, str, str]]]:
+    """What each paragraph of the body holds (text, start, end or empty; text or name; attributes), up to its end or the next one's start; the last one, if nothing closes it, up to where the markup breaks."""
     inside, held = False, None
-    for event in events(xml):
-        match event[:2]:
-            case ("start" | "end") as kind, "body":
-                inside = kind == "start"
-            case ("start", "p") if inside:
-                if held is not None:
-                    yield held
-                held = []
-            case "end", "p":
-                if held is not None:
-                    yield held
-                held = None
-            case _ if held is not None:
-                held.append(event)
+    for text, kind, name, attributes in tokens(xml):
+        if text and held is not None:
+            held.append(("text", text, ""))
+        if name == "body" and kind != "empty":
+            inside = kind == "start"
+        elif name == "p" and (kind == "end" or kind == "start" and inside):
+            if held is not None:
+                yield held
+            held = [] if kind == "start" else None
+        elif kind and held is not None:
+            held.append((kind, name, attributes))
     if held is not None:
         yield held
 
@@ -155,7 +154,7 @@ def notes_of(xml: str) -> dict:
     """The notes and the back links of a notes page, in order; a note is the paragraph whose first named anchor names it."""
     notes, links = [], []
     for held in paragraphs(xml):
-        named = [*dropwhile(lambda a: "id" not in a, (a for kind, name, a in held if (kind, name) == ("start", "a")))]
+        named = [*dropwhile(lambda a: "id" not in a, (attributes_of(a) for kind, name, a in held if kind == "start" and name == "a"))]
         words = "".join(unescaped(name) or "" for kind, name, _ in held if kind == "text").strip()
         if named and words:
             notes.append((named[0]["id"], words))
@@ -174,6 +173,12 @@ def is_mark(text: str) -> bool:
     return len(own.encode()) <= 10 and bool(_MARK.fullmatch(own))
 
 
+#: Markup without this sign whose every tag or instruction ends at its first ">"; and in it a style around a mere run of text, which leaves nothing open.
+_RUN = "\x01"
+_EVEN = re.compile(r"""[^<>\x01]*+(?:<(?:/?+[^\s/<>!?"'\x01][^\s/<>"'\x01]*+(?:[\s/](?:[^<>"'\x01]|"[^"<>\x01]*+"|'[^'<>\x01]*+')*+)?+|\?[^<>\x01]*\?)>[^<>\x01]*+)*+""")
+_STYLED = re.compile(rf"<({'|'.join(STYLES)})>([^<>]*+)</\1>")
+
+
 class Blocks:
     """Blocks of chapters and their spans, in columns. A span's styles are bits; from the fifth on they are its heading's level (0: text)."""
 
@@ -181,8 +186,13 @@ class Blocks:
         self.chapters, self.numbers, self.levels, self.texts, self.ends = [], [], [], [], []
         self.spans, self.styles, self.references = [], bytearray(), {}
 
-    def add(self, xml: str, notes_files: set[str], back: dict[str, str | None], is_notes: bool, name: tuple = ("", 0)) -> int:
-        """Reads a chapter's body under a name. back: the back link of each known note (None if it has none). The number of its spans that refer to notes."""
+    def add(self, xml: str, notes_files: set[str], back: dict[str, str | None], is_notes: bool, name: tuple = ("", 0), plain: bool = False) -> int:
+        """Reads a chapter's body under a name. back: the back link of each known note (None if it has none). The number of its spans that refer to notes.
+
+        plain: styles aren't asked for; then styled runs of text are read at once with what is beside them, where the markup allows it.
+        """
+        if plain := plain and _EVEN.fullmatch(xml) is not None:
+            xml = _STYLED.sub(rf"{_RUN}\2{_RUN}", xml)
         spans, styles, references = self.spans, self.styles, self.references
         first, before = len(spans), len(references)  # first: of the block that is open
         stack, style, level, number = [], 0, 0, 0
@@ -199,7 +209,11 @@ class Blocks:
             first, number = len(spans), number + 1
 
         for text, kind, tag, attributes in tokens(xml):
-            if text and inside and body:
+            if text and inside and body and plain:
+                runs = [r for r in (map(unescaped, text.split(_RUN)) if "&" in text else text.split(_RUN)) if r]
+                spans += runs
+                styles += bytes(len(runs))
+            elif text and inside and body:
                 if "&" in text:
                     text = unescaped(text)
                 if text:
@@ -427,7 +441,7 @@ def noteref_counts(pages: DataFrame) -> DataFrame:
     """book_id, chapter_index, n_noterefs: of pages, read like chapters, the spans that refer to notes; the blocks themselves stay in the task. Notes pages refer to none and have no row."""
 
     def read(own: Iterator[tuple]) -> pa.RecordBatch:
-        rows = [(*name, Blocks().add(*page)) for name, page in own]
+        rows = [(*name, Blocks().add(*page, plain=True)) for name, page in own]
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _COUNTS.types)], schema=_COUNTS)
 
     return _pages(pages.filter(~F.col("is_notes_file")), read, "book_id string, chapter_index int, n_noterefs bigint")
@@ -477,6 +491,7 @@ def parse(archives: DataFrame, to: str | None = None) -> dict[str, DataFrame]:
     there = pages.select("book_id", "full_path", F.col("error").isNull().alias("read"), "error")
     lost = spine.join(there, ["book_id", "full_path"], "left").filter(~F.coalesce("read", F.lit(False)))
     lost = lost.groupBy("book_id").agg(F.min_by(F.coalesce("error", F.concat(F.lit("MissingFile: "), "full_path")), "chapter_index").alias("lost"))
+    lost = written(lost, f"{to}-lost" if to else None)
     # each archive has one row that is no file of its spine: archives themselves, which may be costly to make, aren't asked again
     books = files.filter("role <> 'file'").join(lost, "book_id", "left")
     books = books.select("book_id", "path", "p.title", "p.author", F.col("name").alias("opf_path"), F.coalesce("error", "lost").alias("parse_error"))

@@ -294,3 +294,19 @@ def test_noterefs_are_counted_as_the_spans_of_blocks(spark):
 )
 def test_tokens(body, want):
     assert [(b["kind"], b["text"]) for b in blocks_of(body)] == want
+
+
+@pytest.mark.parametrize(
+    "body, n",
+    [
+        ('<p>a<a role="doc-noteref" href="#q"><b>1</b>2<i>&nbsp;</i><sup></sup><i>3&amp;</i></a><b>4</b></p>', 3),  # a dropped run and an empty one
+        ('<p><b><a role="doc-noteref" href="#q"><i>1</i></a></b></p><p><a role="doc-noteref" href="#q">2</a>', 1),
+        ('<p><a role="doc-noteref" href="<b>#q</b>"><b>1</b></a></p>', 1),  # styles in quotes
+        ('<p><!-->--><b>1</b><a role="doc-noteref" href="#q">\x01<b>2</b></a></p>', 2),  # the sign that stands for a run
+        ('<p><a role="doc-noteref" href="#q"><b>1</i></b></a></p>', 0),  # reading stops
+    ],
+)
+def test_plain_runs_are_counted_as_styled_ones(body, n):
+    xml = CHAPTER.format(body)
+    assert sum(s["noteref_id"] is not None for b in blocks_of(body) for s in b["spans"]) == n
+    assert [epub.Blocks().add(xml, set(), {}, False, plain=p) for p in (False, True)] == [n, n]

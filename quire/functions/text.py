@@ -150,8 +150,10 @@ def is_notes_section(xhtml: Column) -> Column:
         thrice = lambda mark: F.octet_length(chunk) - F.octet_length(F.replace(chunk, F.lit(mark), F.lit(""))) >= 3 * len(mark)
         return named | thrice("#a") & thrice('id="d')
 
-    # only the head of the body is lower-cased, not the page; a letter's lower case may be longer, so it is cut again
-    body = F.substring(F.lower(F.regexp_extract(xhtml, "(?is)<body.{0,1000}", 0)), 1, 1000)
+    # only the head of the body is lower-cased, not the page; a letter's lower case may be longer, so it is cut again. What is read ends behind the first body in small letters
+    at = F.instr(xhtml, "<body")
+    body = F.regexp_extract(F.when(at > 0, F.substring(xhtml, F.lit(1), at + 1005)).otherwise(xhtml), "(?is)<body.{0,1000}", 0)
+    body = F.substring(F.lower(body), 1, 1000)
     return F.coalesce(once(body, lambda b: once(head_of_bytes(b, F.lit(1000)), says)), F.lit(False))
 
 

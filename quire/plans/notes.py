@@ -97,7 +97,7 @@ def archive(title: str, chapters: list[tuple[str, str]], author: str = "") -> by
     """An EPUB archive of XHTML chapters (file name, body)."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("mimetype", "application/epub+zip")
+        z.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)  # as the format asks
         z.writestr("META-INF/container.xml", '<?xml version="1.0"?><container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')
         items = "".join(f'<item id="c{k}" href="{name}" media-type="application/xhtml+xml"/>' for k, (name, _) in enumerate(chapters))
         refs = "".join(f'<itemref idref="c{k}"/>' for k in range(len(chapters)))
